@@ -1 +1,99 @@
-"""Pending."""
+"""Keyword and hybrid scores: K1 to K6."""
+
+from pyspark.sql import Window as W, functions as F
+
+from ..functions import rules as R
+from ..functions.text import tokens
+from ..operators import keyword as K, vector as V
+from . import shared, sqltext as S
+from .registry import query
+
+
+@query("tokens", sql=f"""
+SELECT doc_id, unnest({S.toks('text')}) AS token, generate_subscripts({S.toks('text')}, 1)::INT - 1 AS pos FROM documents""")
+def _(t):
+    return t.documents.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+
+
+SEARCH_TEXT = "concat_ws(' ', nullif(content, ''), nullif(heading, ''), nullif(doc_id::VARCHAR, ''))"
+
+
+@query("search_text", sql=f"WITH {shared.VECTORS} SELECT key, {SEARCH_TEXT} AS text FROM vectors")
+def _(t):
+    return shared.vectors(t).select("key", K.search_text(F.col("content"), F.col("heading"), F.col("doc_id")).alias("text"))
+
+
+@query("term_stats", sql=f"""
+SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({S.toks('text')})) AS term FROM documents) GROUP BY term""")
+def _(t):
+    return K.term_stats(t.documents, "doc_id", "text")
+
+
+@query("corpus_stats", sql=f"""
+SELECT count(*) AS total_docs, sum(len({S.toks('text')}))::BIGINT AS total_tokens, round(avg(len({S.toks('text')})), 6) AS avg_length FROM documents""")
+def _(t):
+    return K.corpus_stats(t.documents, "text").withColumn("avg_length", F.round("avg_length", 6))
+
+
+@query("postings", sql=f"""
+SELECT key, term, count(*) AS tf FROM (SELECT doc_id AS key, unnest({S.toks('text')}) AS term FROM documents) GROUP BY ALL""")
+def _(t):
+    return K.postings(t.documents.withColumnRenamed("doc_id", "key"), "key", "text")
+
+
+NEAR = f"""WITH {shared.VECTORS}, {shared.QUERY_SET}, {shared.PAIRS},
+near AS (SELECT query_id, key, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, key) AS rank FROM pairs QUALIFY rank <= 20),
+cand AS (SELECT n.*, v.content, v.heading, v.doc_id, {SEARCH_TEXT} AS text FROM near n JOIN vectors v USING (key))"""
+
+
+def bm25_sql(running: bool, source: str = "cand") -> str:
+    """Chain of CTEs from ``source`` (query_id, key, rank, text) to ``scored`` (query_id, key, bm25)."""
+    frame = "PARTITION BY query_id" + (" ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW" if running else "")
+    term = "PARTITION BY query_id, term" + (" ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW" if running else "")
+    return f"""sized AS (SELECT query_id, key, rank, {S.toks('text')} AS tk FROM {source}),
+st AS (SELECT *, len(tk) AS n_tokens, count(*) OVER ({frame}) AS n_docs, avg(len(tk)) OVER ({frame}) AS avg_tokens FROM sized),
+qt AS (SELECT query_id, term, count(*) AS uses FROM (SELECT query_id, unnest({S.toks('query_text')}) AS term FROM questions) GROUP BY ALL),
+tf AS (SELECT query_id, key, rank, n_tokens, n_docs, avg_tokens, term, count(*) AS tf FROM (SELECT * EXCLUDE (tk), unnest(tk) AS term FROM st) GROUP BY ALL),
+hit AS (SELECT tf.*, uses FROM tf JOIN qt USING (query_id, term)),
+dfs AS (SELECT *, count(*) OVER ({term}) AS df FROM hit),
+part AS (SELECT query_id, key, sum(uses * ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (n_tokens / avg_tokens)))) AS raw FROM dfs GROUP BY ALL),
+scored AS (SELECT c.query_id, c.key, greatest(0, coalesce(raw, 0))::DOUBLE AS bm25 FROM {source} c LEFT JOIN part USING (query_id, key))"""
+
+
+def _candidates(t, k=20):
+    near = V.knn_topk(shared.vectors(t), shared.query_set(t), k)
+    hits = near.join(shared.vectors(t).select(*V.META), "key")
+    return hits.withColumn("text", K.search_text(F.col("content"), F.col("heading"), F.col("doc_id")))
+
+
+@query("bm25", sql=f"{NEAR}, {bm25_sql(False)} SELECT query_id, key, round(bm25, 6) AS bm25 FROM scored")
+def _(t):
+    return K.bm25(_candidates(t), shared.query_set(t)).withColumn("bm25", F.round("bm25", 6))
+
+
+@query("bm25_running", sql=f"{NEAR}, {bm25_sql(True)} SELECT query_id, key, round(bm25, 6) AS bm25 FROM scored")
+def _(t):
+    return K.bm25(_candidates(t), shared.query_set(t), running=True).withColumn("bm25", F.round("bm25", 6))
+
+
+HYBRID = "round(similarity * 0.7::DOUBLE + least(1.0::DOUBLE, bm25 / 10) * 0.3::DOUBLE, 9)"
+
+
+@query("hybrid_score", sql=f"""
+{NEAR}, {bm25_sql(False)}, h AS (SELECT query_id, key, similarity, bm25, {HYBRID} AS hybrid FROM cand JOIN scored USING (query_id, key))
+SELECT query_id, key, round(least(1.0::DOUBLE, bm25 / 10), 6) AS keyword_score, round(hybrid, 6) AS hybrid_score,
+  (row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, key))::INT AS hybrid_rank FROM h QUALIFY hybrid_rank <= 5""")
+def _(t):
+    rows = K.hybrid_search(_candidates(t), shared.query_set(t), 5)
+    return rows.select("query_id", "key", F.round("keyword_score", 6).alias("keyword_score"), F.round("hybrid_score", 6).alias("hybrid_score"), "hybrid_rank")
+
+
+@query("empty_query_passthrough", sql=f"""
+{NEAR.replace('text AS query_text', "CASE WHEN item_id % 2 = 0 THEN '?!' ELSE text END AS query_text")}, {bm25_sql(False)},
+h AS (SELECT query_id, key, rank, CASE WHEN query_id % 2 = 1 THEN {HYBRID} END AS hybrid FROM cand JOIN scored USING (query_id, key))
+SELECT query_id, key, round(hybrid, 6) AS hybrid_score, (row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC NULLS LAST, CASE WHEN hybrid IS NULL THEN rank END, key))::INT AS hybrid_rank
+FROM h QUALIFY hybrid_rank <= 5""")
+def _(t):
+    q = shared.query_set(t).withColumn("query_text", F.when(F.col("query_id") % 2 == 0, "?!").otherwise(F.col("query_text")))
+    rows = K.hybrid_search(_candidates(t), q, 5)
+    return rows.select("query_id", "key", F.round("hybrid_score", 6).alias("hybrid_score"), "hybrid_rank")

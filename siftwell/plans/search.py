@@ -1 +1,155 @@
-"""Pending."""
+"""Vector search: V1 to V11. Questions are the benchmark items; none finds itself."""
+
+from pyspark.sql import functions as F
+
+from ..functions import rules as R
+from ..functions.vectors import cosine01, metric_score, similarity_from_distance
+from ..operators import vector as V
+from . import shared, sqltext as S
+from .registry import query
+
+WITH = f"WITH {shared.VECTORS}, {shared.QUERY_SET}, {shared.PAIRS}"
+BASE = ["key", "embedding"]
+NEIGHBOURS = """n AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+
+
+def _neighbours(t):
+    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return t.embeddings.select("vec_id", "embedding").join(b, "vec_id")
+
+
+def _keys(t):
+    return t.embeddings.select(F.col("vec_id").alias("key"), "embedding", "label")
+
+
+@query("cosine01", sql=f"""
+WITH {NEIGHBOURS}
+SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 ELSE round((list_cosine_similarity(x, y) + 1) / 2, 6) END::DOUBLE AS score FROM n""")
+def _(t):
+    other = F.when(F.col("vec_id") % 5 == 0, F.transform("other", lambda x: x * 0)).when(
+        F.col("vec_id") % 5 == 1, F.slice("other", 1, 7)).otherwise(F.col("other"))
+    return _neighbours(t).select("vec_id", F.round(cosine01(F.col("embedding"), other), 6).alias("score"))
+
+
+@query("batch_cosine", sql="""
+WITH u AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT list(m ORDER BY i) AS centre FROM (SELECT i, avg(x) AS m FROM u GROUP BY i))
+SELECT vec_id AS key, round((list_cosine_similarity(embedding::DOUBLE[], centre) + 1) / 2, 6) AS score FROM embeddings, c""")
+def _(t):
+    vectors = _keys(t)
+    return V.batch_cosine(vectors, V.centroid(vectors)).select("key", F.round("cosine01", 6).alias("score"))
+
+
+@query("metric_score", sql=f"""
+WITH {NEIGHBOURS}
+SELECT vec_id, round(list_cosine_similarity(x, y), 6) AS cosine, round(list_inner_product(x, y), 6) AS dot, round(-list_distance(x, y), 6) AS euclidean FROM n""")
+def _(t):
+    score = lambda m: F.round(metric_score(F.col("embedding"), F.col("other"), m), 6)
+    return _neighbours(t).select(
+        "vec_id", score("COSINE").alias("cosine"), score("DOT_PRODUCT").alias("dot"), score("EUCLIDEAN").alias("euclidean"))
+
+
+def _knn_sql(score):
+    return f"""WITH {shared.QUERY_SET}, vectors AS (SELECT vec_id AS key, embedding::DOUBLE[] AS embedding, label, 1 AS importance_score FROM embeddings), {shared.PAIRS},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, key) AS rank FROM pairs)
+SELECT query_id, key, round({score}, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10"""
+
+
+def _knn(t, metric):
+    best = V.knn_topk(_keys(t), shared.query_set(t), 10, metric)
+    return best.select("query_id", "key", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("knn_topk", sql=_knn_sql("similarity"))
+def _(t):
+    return _knn(t, "COSINE")
+
+
+@query("knn_topk_euclidean", sql=_knn_sql("euclid"))
+def _(t):
+    return _knn(t, "EUCLIDEAN")
+
+
+@query("knn_topk_dot", sql=_knn_sql("dot"))
+def _(t):
+    return _knn(t, "DOT_PRODUCT")
+
+
+@query("knn_topk_blocks", sql=_knn_sql("similarity"))
+def _(t):
+    """The same result by the grid of blocks, the way of query sets past the size bound."""
+    best = V.top_scores(_keys(t), shared.query_set(t), 10, query_bytes=0)
+    return best.select("query_id", "key", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+BOOST = f"""CASE WHEN chunk_type IN ({S.text_list(R.BOOSTED_TYPES)}) THEN 1.1::DOUBLE ELSE 1 END
+  * CASE WHEN len(key_entities) > 0 OR len(topics) > 0 THEN 1.05::DOUBLE ELSE 1 END"""
+
+
+@query("search_score", sql=f"""
+{WITH}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, key) AS near_rank FROM pairs),
+cut AS (SELECT n.query_id, n.key, n.similarity, round(n.similarity * v.importance_score * {BOOST}, 9) AS score FROM near n JOIN vectors v USING (key) WHERE near_rank <= 10 AND similarity >= 0.2)
+SELECT query_id, key, round(similarity, 6) AS similarity, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key))::INT AS rank FROM cut""")
+def _(t):
+    hits = V.similarity_search(shared.vectors(t), shared.query_set(t), 10, 0.2)
+    return hits.select("query_id", "key", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("full_scan_search", sql=f"""
+{WITH}, s AS (SELECT query_id, key, round((similarity + 1) / 2, 9) AS sim, importance_score FROM pairs),
+w AS (SELECT *, round(sim * importance_score, 9) AS score FROM s WHERE sim >= 0.6),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM w)
+SELECT query_id, key, round(sim, 6) AS similarity, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def _(t):
+    hits = V.full_scan_search(shared.vectors(t), shared.query_set(t), 5, 0.6)
+    return hits.select("query_id", "key", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("partition_search", sql=f"""
+{WITH}, s AS (SELECT query_id, key, label, round((similarity + 1) / 2, 9) AS sim, importance_score FROM pairs),
+w AS (SELECT *, round(sim * importance_score, 9) AS score FROM s WHERE sim >= 0.55),
+p AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, key) <= 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM p)
+SELECT query_id, key, label, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def _(t):
+    hits = V.partition_search(shared.vectors(t), shared.query_set(t), 5, 0.55, "label")
+    return hits.select("query_id", "key", "label", F.round("score", 6).alias("score"), "rank")
+
+
+@query("metadata_filter", sql=f"""
+WITH v AS (SELECT vec_id AS key, vec_id AS doc_id, CASE WHEN vec_id % 10 > 0 THEN TIMESTAMP '2024-01-01' + to_days((vec_id % 365)::INT) END AS created_at FROM embeddings)
+SELECT key FROM v WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+AND coalesce(created_at >= TIMESTAMP '2024-02-01', true) AND coalesce(created_at <= TIMESTAMP '2024-10-01', true)""")
+def _(t):
+    v = t.embeddings.select(F.col("vec_id").alias("key"), F.col("vec_id").alias("doc_id"),
+                            F.when(F.col("vec_id") % 10 > 0, shared.created_at(F.col("vec_id"))).alias("created_at"))
+    return V.metadata_filter(v, t.labels.filter("quality = 1"), "2024-02-01", "2024-10-01").select("key")
+
+
+@query("similarity_from_distance", sql=f"""
+WITH {NEIGHBOURS}, d AS (SELECT vec_id, round(1 - list_cosine_similarity(x, y), 9) AS distance FROM n)
+SELECT vec_id, round(CASE WHEN distance <= 1 THEN 1 - distance ELSE 0 END, 6)::DOUBLE AS similarity FROM d""")
+def _(t):
+    distance = F.round(1 - metric_score(F.col("embedding"), F.col("other"), "COSINE"), 9)
+    return _neighbours(t).select("vec_id", F.round(similarity_from_distance(distance), 6).alias("similarity"))
+
+
+CELL_SIZE = 50
+
+
+@query("build_cells")
+def _(t):
+    assigned, cells, tops = V.build_cells(_keys(t), CELL_SIZE, 5)
+    sizes = assigned.groupBy("cell_id").agg(F.count(F.lit(1)).alias("vectors"))
+    return cells.select("cell_id", "top_id").join(sizes, "cell_id", "left")
+
+
+@query("ivf_search")
+def _(t):
+    assigned, cells, tops = V.build_cells(_keys(t).withColumn("importance_score", F.lit(1.0)), CELL_SIZE, 5)
+    return V.ivf_search(assigned, cells, tops, shared.query_set(t), 10, 0.5, beam=4)
+
+
+@query("lsh_search")
+def _(t):
+    return V.lsh_search(_keys(t), shared.query_set(t), 10)
