@@ -107,7 +107,7 @@ def describe(df: DataFrame, text: str = "content", whole_word: bool = False) ->
         .withColumn("chunk_type", chunk_type(body, whole_word))
         .withColumn("key_entities", key_entities(body))
         .withColumn("topics", topics(body, whole_word))
-        .withColumn("importance_score", importance_local(body, F.col("chunk_type"), F.col("key_entities")))
+        .withColumn("importance_score", F.round(importance_local(body, F.col("chunk_type"), F.col("key_entities")), 6))
         .withColumn("context_summary", context_summary(body, F.col("heading"), F.col("chunk_type")))
     )
 

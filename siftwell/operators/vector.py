@@ -20,6 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import rules as R
+from .describe import describe
 from ..functions.vectors import block_scores, similarity_from_distance, valid_embedding
 
 DIGITS = 9
@@ -250,12 +251,19 @@ def search_score(similarity: Column, importance: Column, kind: Column, entities:
 META = ["key", "doc_id", "chunk_index", "content", "heading", "chunk_type", "key_entities", "topics", "importance_score", "context_summary"]
 
 
+def attach_metadata(near: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Metadata for ranked rows. A table without description columns is described here, after the cut."""
+    if "importance_score" in vectors.columns:
+        return near.join(vectors.select(*META), "key")
+    return describe(near.join(vectors.select("key", "doc_id", "chunk_index", "content"), "key"))
+
+
 def similarity_search(vectors: DataFrame, queries: DataFrame, limit: int = 3,
                       threshold: float = R.SINGLE_STAGE_THRESHOLD) -> DataFrame:
     """The k nearest by distance, cut by threshold, re-ranked by score; metadata is joined after the cut."""
     near = knn_topk(vectors, queries, limit, min_score=threshold)
     near = near.withColumn("similarity", similarity_from_distance(F.col("distance"))).filter(F.col("similarity") >= threshold)
-    hits = near.drop("rank").join(vectors.select(*META), "key")
+    hits = attach_metadata(near.drop("rank"), vectors)
     score = search_score(*[F.col(c) for c in ("similarity", "importance_score", "chunk_type", "key_entities", "topics")])
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return hits.withColumn("score", F.round(score, DIGITS)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

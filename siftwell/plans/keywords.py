@@ -20,7 +20,7 @@ SEARCH_TEXT = "concat_ws(' ', nullif(content, ''), nullif(heading, ''), nullif(d
 
 @query("search_text", sql=f"WITH {shared.VECTORS} SELECT key, {SEARCH_TEXT} AS text FROM vectors")
 def _(t):
-    return shared.vectors(t).select("key", K.search_text(F.col("content"), F.col("heading"), F.col("doc_id")).alias("text"))
+    return shared.described_vectors(t).select("key", K.search_text(F.col("content"), F.col("heading"), F.col("doc_id")).alias("text"))
 
 
 @query("term_stats", sql=f"""
@@ -62,7 +62,7 @@ scored AS (SELECT c.query_id, c.key, greatest(0, coalesce(raw, 0))::DOUBLE AS bm
 
 def _candidates(t, k=20):
     near = V.knn_topk(shared.vectors(t), shared.query_set(t), k)
-    hits = near.join(shared.vectors(t).select(*V.META), "key")
+    hits = V.attach_metadata(near, shared.vectors(t))
     return hits.withColumn("text", K.search_text(F.col("content"), F.col("heading"), F.col("doc_id")))
 
 
@@ -89,7 +89,7 @@ def _(t):
 
 
 @query("empty_query_passthrough", sql=f"""
-{NEAR.replace('text AS query_text', "CASE WHEN item_id % 2 = 0 THEN '?!' ELSE text END AS query_text")}, {bm25_sql(False)},
+{NEAR.replace(f'text || {shared.PHRASE_CASE} AS query_text', f"CASE WHEN item_id % 2 = 0 THEN '?!' ELSE text || {shared.PHRASE_CASE} END AS query_text")}, {bm25_sql(False)},
 h AS (SELECT query_id, key, rank, CASE WHEN query_id % 2 = 1 THEN {HYBRID} END AS hybrid FROM cand JOIN scored USING (query_id, key))
 SELECT query_id, key, round(hybrid, 6) AS hybrid_score, (row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC NULLS LAST, CASE WHEN hybrid IS NULL THEN rank END, key))::INT AS hybrid_rank
 FROM h QUALIFY hybrid_rank <= 5""")

@@ -101,7 +101,7 @@ w AS (SELECT *, round(sim * importance_score, 9) AS score FROM s WHERE sim >= 0.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM w)
 SELECT query_id, key, round(sim, 6) AS similarity, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def _(t):
-    hits = V.full_scan_search(shared.vectors(t), shared.query_set(t), 5, 0.6)
+    hits = V.full_scan_search(shared.described_vectors(t), shared.query_set(t), 5, 0.6)
     return hits.select("query_id", "key", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -112,7 +112,7 @@ p AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id, label OR
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM p)
 SELECT query_id, key, label, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def _(t):
-    hits = V.partition_search(shared.vectors(t), shared.query_set(t), 5, 0.55, "label")
+    hits = V.partition_search(shared.described_vectors(t), shared.query_set(t), 5, 0.55, "label")
     return hits.select("query_id", "key", "label", F.round("score", 6).alias("score"), "rank")
 
 

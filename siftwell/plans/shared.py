@@ -10,23 +10,29 @@ from .registry import Tables
 
 
 def vectors(t: Tables) -> DataFrame:
-    """One described row per document with an embedding; dates spread over a year by id."""
+    """One row per document with an embedding; dates spread over a year by id."""
     docs = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
-    rows = t.embeddings.join(docs, "vec_id")
-    return describe(rows).select(
+    return t.embeddings.join(docs, "vec_id").select(
         F.col("vec_id").alias("key"), F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "embedding", "label",
-        "content", "heading", "chunk_type", "key_entities", "topics", F.round("importance_score", 6).alias("importance_score"),
-        "context_summary", created_at(F.col("vec_id")).alias("created_at"),
+        "content", created_at(F.col("vec_id")).alias("created_at"),
     )
 
 
+def described_vectors(t: Tables) -> DataFrame:
+    return describe(vectors(t))
+
+
 def created_at(key):
     return F.timestamp_add("DAY", (key % 365).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
+PHRASES = ["", " What is that?", " Compare this versus that", " before the year"]
+PHRASE_CASE = "CASE item_id % 4 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES)) + " END"
+
+
 def query_set(t: Tables) -> DataFrame:
-    """The benchmark texts as questions, each with the vector of its id; it must not find itself."""
-    texts = t.benchmark.select(F.col("item_id").alias("vec_id"), F.col("text").alias("query_text"))
+    """The benchmark texts as questions of four kinds, each with the vector of its id; it must not find itself."""
+    texts = t.benchmark.select(F.col("item_id").alias("vec_id"), F.expr(f"text || {PHRASE_CASE}").alias("query_text"))
     return t.embeddings.join(texts, "vec_id").select(
         F.col("vec_id").alias("query_id"), "query_text", "embedding", F.col("vec_id").alias("exclude_key"))
 
@@ -40,8 +46,8 @@ vectors AS (
   SELECT *, round({S.importance('content', 'chunk_type', 'key_entities')}, 6) AS importance_score,
          {S.summary('content', 'heading', 'chunk_type')} AS context_summary FROM described)"""
 
-QUERY_SET = """questions AS (
-  SELECT vec_id AS query_id, text AS query_text, embedding::DOUBLE[] AS embedding
+QUERY_SET = f"""questions AS (
+  SELECT vec_id AS query_id, text || {PHRASE_CASE} AS query_text, embedding::DOUBLE[] AS embedding
   FROM embeddings JOIN benchmark ON vec_id = item_id)"""
 
 # All pairs, as an oracle may; the library never forms them.

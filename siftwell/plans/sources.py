@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import strip_tags
-from ..operators.describe import describe, hash_embedding
+from ..operators.describe import hash_embedding
 from ..session import scratch_path
 from ..sources import corpus as C, events as E
 from . import shared, sqltext as S
@@ -71,10 +71,6 @@ def _(t):
     return t.pages.select("page_id", strip_tags(F.col("html")).alias("text"))
 
 
-def _chunks(t):
-    return shared.vectors(t)
-
-
 @query("write_vectors", sql=f"""
 WITH {shared.VECTORS}
 SELECT doc_id || '_chunk_0' AS key, doc_id::VARCHAR AS doc_id, chunk_type, substr(content, 1, 500) AS content, substr(heading, 1, 100) AS heading,
@@ -84,7 +80,7 @@ SELECT doc_id || '_chunk_0' AS key, doc_id::VARCHAR AS doc_id, chunk_type, subst
 FROM vectors""")
 def _(t):
     path = scratch_path(t.spark, "vectors")
-    C.write_vectors(_chunks(t), path)
+    C.write_vectors(shared.described_vectors(t), path)
     return t.spark.read.parquet(path).select(
         "key", "doc_id", "chunk_type", "content", "heading", "key_entities", "topics", "importance_score", "context_summary",
         F.size("embedding").alias("dimension"))
