@@ -63,7 +63,7 @@ def compaction_report(vectors: DataFrame) -> DataFrame:
     return count_vectors(vectors).withColumn("estimated_mb", F.round(F.col("vectors") * R.VECTOR_MB, 2))
 
 
-def create_vectors(spark: SparkSession, table: str, dim: int, metric: str = "COSINE") -> None:
+def create_vectors(spark: SparkSession, table: str, dim: int, metric: str = "COSINE", location: str | None = None) -> None:
     """An empty vector table that records its dimension and metric."""
     if metric not in ("COSINE", "EUCLIDEAN", "DOT_PRODUCT"):
         raise ValueError(f"unknown metric {metric}")
@@ -72,7 +72,7 @@ def create_vectors(spark: SparkSession, table: str, dim: int, metric: str = "COS
             key STRING, doc_id STRING, chunk_index INT, embedding ARRAY<FLOAT>, content STRING, heading STRING,
             chunk_type STRING, key_entities STRING, topics STRING, importance_score DOUBLE, context_summary STRING,
             created_at TIMESTAMP, bucket INT)
-        USING parquet PARTITIONED BY (bucket)
+        USING parquet PARTITIONED BY (bucket) {f"LOCATION '{location}'" if location else ""}
         TBLPROPERTIES ('vector.dimension' = '{int(dim)}', 'vector.metric' = '{metric}')"""
     )
 

@@ -120,8 +120,7 @@ def _(t):
 
 @query("cross_encode", sql=f"{SEMANTIC} SELECT query_id, key, round({CROSS}, 6) AS relevance FROM cand")
 def _(t):
-    plan = _plan(t).withColumn("stage1_limit", F.col("stage1_limit"))
-    hits = Q.stage1_candidates(shared.vectors(t), plan, False)
+    hits = Q.stage1_candidates(shared.vectors(t), _plan(t), False)
     score = Q.cross_encode(*[F.col(c) for c in ("query_text", "content", "similarity", "importance_score", "query_type", "has_entities")])
     return hits.select("query_id", "key", F.round(score, 6).alias("relevance"))
 
