@@ -26,11 +26,13 @@ def strip(text: Column) -> Column:
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:
+    """A plain column is searched as it is; anything computed should be bound with ``let`` first."""
     return any_of([text.contains(n) for n in needles])
 
 
 def starts_with_any(text: Column, heads: list[str]) -> Column:
-    return any_of([text.startswith(h) for h in heads])
+    """One anchored pattern, so the text is computed once."""
+    return text.rlike(rf"\A(?:{'|'.join(heads)})")
 
 
 def has_word(text: Column, words: list[str]) -> Column:
@@ -49,6 +51,15 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(marked, SENTENCE_MARK), lambda s: s != "")
 
 
+def first_sentence(text: Column) -> Column:
+    """The first of ``sentences``, without splitting the rest; null for an empty text."""
+    return F.nullif(F.regexp_extract(text, rf"(?s)\A(?:.*?[.!?](?={R.WS})|.*\z)", 0), F.lit(""))
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[^" + R.WS[1:-1] + "]+"))
+
+
 def words(text: Column) -> Column:
     """Pieces between runs of whitespace, empty ones dropped."""
     return F.filter(F.split(text, R.WS + "+"), lambda w: w != "")

@@ -1,8 +1,9 @@
 """Chunkers: one size-guarded document to many chunk rows, parallel by row.
 
-Each chunker is a fold over the document's sentence lengths. The fold keeps
-character offsets into the sentences joined by one space, never text, so its
-state stays small; chunk text is cut once at the end. There is no shuffle.
+Each chunker is a fold over the document's sentences. The fold keeps sentence
+counts and lengths, not text; a chunk's text is joined from its slice of the
+sentence array at the end, so the work grows with the document's length and not
+with its square. There is no shuffle.
 """
 
 from __future__ import annotations
@@ -11,30 +12,27 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
 from ..functions.text import (
-    any_of, contains_any, let, sentences, starts_with_any, strip, words,
+    any_of, contains_any, let, sentences, starts_with_any, strip, word_count,
 )
 
-SPANS = "array<struct<start:int,stop:int>>"
+SPANS = "array<struct<first:int,n:int>>"
 
 
 def _spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def _with(done: Column, start: Column, stop: Column) -> Column:
-    return F.concat(done, F.array(F.struct(start.alias("start"), stop.alias("stop"))))
+def _with(done: Column, first: Column, n: Column) -> Column:
+    return F.concat(done, F.array(F.struct(first.alias("first"), n.alias("n"))))
 
 
-def _cut(text: Column, start: Column, stop: Column) -> Column:
-    return F.substring(text, start + 1, stop - start)
+def _joined(span: Column) -> Column:
+    """The span's sentences, joined by one space."""
+    return F.array_join(F.slice("sents", span["first"], span["n"]), " ")
 
 
-def _explode_spans(df: DataFrame, keep: list[str], joined: str, spans: str) -> DataFrame:
-    return (
-        df.select(*keep, joined, F.posexplode(spans).alias("chunk_index", "span"))
-        .select(*keep, "chunk_index", strip(_cut(F.col(joined), F.col("span.start"), F.col("span.stop"))).alias("content"))
-        .filter("content <> ''")
-    )
+def _cut(text: Column, start: Column, stop: Column) -> Column:
+    return F.substring(text, start + 1, stop - start)
 
 
 # --- sentence sizes ------------------------------------------------------------
@@ -49,20 +47,25 @@ def chunk_profile(text: Column, max_size: int = R.MAX_CHARS, overlap: int = R.OV
     """Struct(target, max, min, overlap) from line length, dialogue share and paragraph breaks."""
     line_count = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     mean_line = (F.length(text) - line_count + 1) / line_count
-    dialogue = F.regexp_count(text, F.lit('"[^"]*"')) / F.greatest(F.size(words(text)), F.lit(1))
+    quotes = F.regexp_count(text, F.lit('"[^"]*"'))
+    dialogue = F.when(quotes > 0, quotes / F.greatest(word_count(text), F.lit(1))).otherwise(0.0)
     breaks = F.floor((F.length(text) - F.length(F.replace(text, F.lit("\n\n"), F.lit("")))) / 2)
-    target = (
-        F.when(dialogue > 0.1, int(R.TARGET_CHARS * 0.8))
-        .when(mean_line > 100, int(R.TARGET_CHARS * 1.2))
-        .when(breaks > line_count * 0.3, int(R.TARGET_CHARS * 1.1))
-        .otherwise(R.TARGET_CHARS)
-    )
-    return F.struct(
-        target.cast("int").alias("target"),
-        F.lit(max_size).alias("max"),
-        F.lit(R.MIN_CHARS).alias("min"),
-        F.when(dialogue > 0.1, int(overlap * 1.2)).otherwise(overlap).cast("int").alias("overlap"),
-    )
+
+    def sizes(talk):
+        target = (
+            F.when(talk > 0.1, int(R.TARGET_CHARS * 0.8))
+            .when(mean_line > 100, int(R.TARGET_CHARS * 1.2))
+            .when(breaks > line_count * 0.3, int(R.TARGET_CHARS * 1.1))
+            .otherwise(R.TARGET_CHARS)
+        )
+        return F.struct(
+            target.cast("int").alias("target"),
+            F.lit(max_size).alias("max"),
+            F.lit(R.MIN_CHARS).alias("min"),
+            F.when(talk > 0.1, int(overlap * 1.2)).otherwise(overlap).cast("int").alias("overlap"),
+        )
+
+    return let(dialogue, sizes)
 
 
 # --- C3, C4: packing by size ------------------------------------------------------
@@ -70,32 +73,27 @@ def chunk_profile(text: Column, max_size: int = R.MAX_CHARS, overlap: int = R.OV
 
 def chunk_greedy(df: DataFrame, key: str, text: str, max_size: int = R.GREEDY_MAX, overlap: int = R.GREEDY_OVERLAP) -> DataFrame:
     """Pack sentences up to a size; the next chunk starts with the last characters of this one."""
-    lens = F.transform("sents", lambda s: F.length(s))
-    zero = F.struct(
-        F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(0).alias("size"), _spans().alias("done")
-    )
+    span = lambda a: F.struct(a["head"].alias("head"), (a["at"] - a["own"]).alias("first"), a["own"].alias("n"))
 
-    def step(a, n):
-        held = a["stop"] > a["start"]
-        begin = F.greatest(a["start"], a["stop"] - overlap)
-        stop = a["stop"] + 1 + n
-        return (
-            F.when(
-                held & (a["size"] + n > max_size),
-                F.struct(begin.alias("start"), stop.alias("stop"), (stop - begin).alias("size"),
-                         _with(a["done"], a["start"], a["stop"]).alias("done")),
-            )
-            .when(
-                held,
-                F.struct(a["start"].alias("start"), stop.alias("stop"), (a["size"] + n).alias("size"), a["done"].alias("done")),
-            )
-            .otherwise(F.struct(F.lit(0).alias("start"), n.alias("stop"), n.alias("size"), a["done"].alias("done")))
-        )
+    def state(at, own, size, head, tail, done):
+        return F.struct(at.alias("at"), own.alias("own"), size.alias("size"), head.alias("head"), tail.alias("tail"), done.alias("done"))
 
-    spans = F.aggregate("sents", zero, lambda a, s: step(a, F.length(s)), lambda a: _with(a["done"], a["start"], a["stop"]))
+    zero = state(F.lit(1), F.lit(0), F.lit(0), F.lit(""), F.lit(""), F.array().cast("array<struct<head:string,first:int,n:int>>"))
+
+    def step(a, sentence):
+        n, at = F.length(sentence), a["at"] + 1
+        tail = F.right(F.when(a["own"] > 0, F.concat(a["tail"], F.lit(" "), sentence)).otherwise(sentence), F.lit(overlap))
+        return F.when(
+            (a["own"] > 0) & (a["size"] + n > max_size),
+            state(at, F.lit(1), F.length(a["tail"]) + 1 + n, a["tail"], tail, F.concat(a["done"], F.array(span(a)))),
+        ).otherwise(state(at, a["own"] + 1, a["size"] + n, a["head"], tail, a["done"]))
+
+    spans = F.aggregate("sents", zero, step, lambda a: F.concat(a["done"], F.array(span(a))))
     packed = df.select(key, sentences(F.col(text)).alias("sents")).filter(F.size("sents") > 0)
-    packed = packed.select(key, F.array_join("sents", " ").alias("joined"), spans.alias("spans"))
-    return _explode_spans(packed, [key], "joined", "spans")
+    own = _joined(F.col("span"))
+    content = F.when(F.col("span.head") != "", F.concat(F.col("span.head"), F.lit(" "), own)).otherwise(own)
+    rows = packed.select(key, "sents", F.posexplode(spans).alias("chunk_index", "span"))
+    return rows.select(key, "chunk_index", strip(content).alias("content")).filter("content <> ''")
 
 
 def _tail(buf: Column, overlap: Column, last_only: Column | None = None, at_least_one: bool = False) -> Column:
@@ -132,36 +130,27 @@ def chunk_sentence_overlap(df: DataFrame, key: str, text: str) -> DataFrame:
     for over, size, lap in R.SIZE_STEPS:
         size_limit = F.when(n_chars > over, size) if size_limit is None else size_limit.when(n_chars > over, size)
         overlap = F.when(n_chars > over, lap) if overlap is None else overlap.when(n_chars > over, lap)
-    zero = F.struct(
-        F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(0).alias("size"),
-        F.array().cast("array<int>").alias("buf"), _spans().alias("done"),
-    )
-
-    def step(a, n):
-        held = a["stop"] > a["start"]
-        stop = F.when(held, a["stop"] + 1 + n).otherwise(n)
-        grown = F.struct(
-            a["start"].alias("start"), stop.alias("stop"), (a["size"] + n).alias("size"),
-            F.concat(a["buf"], F.array(n)).alias("buf"), a["done"].alias("done"),
-        )
-
-        def carried(kept):
-            begin = F.when(F.size(kept) > 0, a["stop"] - _array_sum(kept) - F.size(kept) + 1).otherwise(a["stop"] + 1)
-            return let(begin, lambda b: F.struct(
-                b.alias("start"), stop.alias("stop"), (stop - b).alias("size"),
-                F.concat(kept, F.array(n)).alias("buf"), _with(a["done"], a["start"], a["stop"]).alias("done"),
-            ))
-
-        cut = let(_tail(a["buf"], F.col("overlap")), lambda k: let(_last(a["buf"], k), carried))
-        return F.when(held & (a["size"] + n > F.col("size_limit")), cut).otherwise(grown)
-
-    spans = F.aggregate("sents", zero, lambda a, s: let(F.length(s), lambda n: step(a, n)),
-                        lambda a: _with(a["done"], a["start"], a["stop"]))
+    def state(at, size, buf, done):
+        return F.struct(at.alias("at"), size.alias("size"), buf.alias("buf"), done.alias("done"))
+
+    close = lambda a: _with(a["done"], a["at"] - F.size(a["buf"]), F.size(a["buf"]))
+    zero = state(F.lit(1), F.lit(0), F.array().cast("array<int>"), _spans())
+
+    def step(cfg, a, n):
+        carried = lambda kept: state(
+            a["at"] + 1, _array_sum(kept) + F.size(kept) + n, F.concat(kept, F.array(n)), close(a))
+        cut = let(_tail(a["buf"], cfg["lap"]), lambda k: let(_last(a["buf"], k), carried))
+        grown = state(a["at"] + 1, a["size"] + n, F.concat(a["buf"], F.array(n)), a["done"])
+        return F.when((F.size(a["buf"]) > 0) & (a["size"] + n > cfg["size"]), cut).otherwise(grown)
+
+    # sizes are bound once per document; a bare column could be computed again for every sentence
+    spans = let(F.struct(F.col("size_limit").alias("size"), F.col("overlap").alias("lap")), lambda cfg: F.aggregate(
+        F.transform("sents", lambda s: F.length(s)), zero, lambda a, n: step(cfg, a, n), close))
     packed = df.select(
         key, sentences(F.col(text)).alias("sents"), size_limit.alias("size_limit"), overlap.alias("overlap")
     ).filter(F.size("sents") > 0)
-    packed = packed.select(key, F.array_join("sents", " ").alias("joined"), spans.alias("spans"))
-    return _explode_spans(packed, [key], "joined", "spans")
+    rows = packed.select(key, "sents", F.posexplode(spans).alias("chunk_index", "span"))
+    return rows.select(key, "chunk_index", strip(_joined(F.col("span"))).alias("content")).filter("content <> ''")
 
 
 # --- C5, C7, C8, C9: cues between sentences -----------------------------------------
@@ -174,9 +163,9 @@ def _starts(text: Column, heads: list[str], whole_word: bool) -> Column:
 
 
 def _holds(text: Column, needles: list[str], whole_word: bool) -> Column:
-    if whole_word:
-        return text.rlike(f"{R.NOT_AFTER_WORD}(?:{'|'.join(needles)}){R.NOT_BEFORE_WORD}")
-    return contains_any(text, needles)
+    """One pattern per list: sentences are short, and the text is computed once."""
+    found = f"(?:{'|'.join(needles)})"
+    return text.rlike(f"{R.NOT_AFTER_WORD}{found}{R.NOT_BEFORE_WORD}" if whole_word else found)
 
 
 def break_flags(current: Column, following: Column, whole_word: bool = False) -> dict[str, Column]:
@@ -186,14 +175,24 @@ def break_flags(current: Column, following: Column, whole_word: bool = False) ->
     return {
         "paragraph": cur.contains("\n\n") | cur.endswith("\n"),
         "transition": _starts(low, R.TRANSITION_MARKERS, whole_word),
-        "quote_end": (cur.endswith('"') | cur.endswith("'")) & ~nxt.startswith('"'),
+        "quote_end": cur.rlike("""["']\\z""") & ~nxt.startswith('"'),
         "time_marker": _holds(F.substring(low, 1, 50), R.TIME_MARKERS, whole_word),
-        "speaker": nxt.rlike(R.SPEAKER_START) | nxt.rlike(R.SPEAKER_QUOTE),
+        "speaker": nxt.rlike(f"(?:{R.SPEAKER_START})|(?:{R.SPEAKER_QUOTE})"),
     }
 
 
 def is_break(current: Column, following: Column, whole_word: bool = False) -> Column:
-    return any_of(list(break_flags(current, following, whole_word).values()))
+    """Any cue; for use inside a fold, where nothing is shared between expressions unless bound."""
+
+    def cues(cur, nxt, head):
+        return (
+            cur.contains("\n\n") | (cur.rlike("""["']\\z""") & ~nxt.startswith('"'))
+            | _starts(head, R.TRANSITION_MARKERS, whole_word) | _holds(head, R.TIME_MARKERS, whole_word)
+            | nxt.rlike(f"(?:{R.SPEAKER_START})|(?:{R.SPEAKER_QUOTE})")
+        )
+
+    return let(strip(current), lambda cur: let(strip(following), lambda nxt: let(
+        F.lower(F.substring(nxt, 1, 50)), lambda head: cues(cur, nxt, head))))
 
 
 def semantic_breakpoints(df: DataFrame, key: str, text: str, whole_word: bool = False) -> DataFrame:
@@ -210,8 +209,10 @@ def semantic_breakpoints(df: DataFrame, key: str, text: str, whole_word: bool =
         )).alias("i", "pair"),
     )
     flags = break_flags(F.col("pair.cur"), F.col("pair.nxt"), whole_word)
-    out = pairs.select(key, (F.col("i") + 1).alias("sentence_index"), *[c.alias(n) for n, c in flags.items()])
-    return out.filter(any_of([F.col(n) for n in flags]))
+    out = pairs.select(key, (F.col("i") + 1).alias("sentence_index"), F.struct(*[c.alias(n) for n, c in flags.items()]).alias("f"))
+    # one struct is tested and unpacked, so the cues are not computed again for the filter
+    hit = F.filter(F.array("f"), lambda f: any_of([f[n] for n in flags]))
+    return out.select(key, "sentence_index", F.explode(hit).alias("f")).select(key, "sentence_index", "f.*")
 
 
 def has_contextual_connection(following: Column, whole_word: bool = False) -> Column:
@@ -264,73 +265,59 @@ def _semantic_spans(cfg: Column, contextual: bool, target_close: bool, strict: b
          if target_close else F.lit(False)).alias("good"),
         (has_contextual_connection(p["sents"], whole_word) if contextual else F.lit(False)).alias("conn"),
     ))
-    zero = F.struct(
-        F.lit(0).alias("pos"), F.lit(0).alias("start"), F.lit(0).alias("stop"),
-        F.array().cast("array<int>").alias("buf"), _spans().alias("done"),
-    )
+    def state(at, buf, done):
+        return F.struct(at.alias("at"), buf.alias("buf"), done.alias("done"))
 
-    def restart(a, x):
-        kept_n = (
+    empty = F.array().cast("array<int>")
+    close = lambda a: _with(a["done"], a["at"] - F.size(a["buf"]), F.size(a["buf"]))
+    chars = lambda buf: _array_sum(buf) + F.greatest(F.size(buf) - 1, F.lit(0))
+
+    def restart(cfg, a, x):
+        kept = (
             F.when(x["conn"], F.least(F.lit(1), F.size(a["buf"])))
             .otherwise(F.greatest(_tail(a["buf"], cfg["overlap"]), F.least(F.lit(1), F.size(a["buf"]))))
             if contextual else _tail(a["buf"], cfg["overlap"], at_least_one=True)
         )
+        return state(a["at"], let(kept, lambda k: _last(a["buf"], k)), close(a))
 
-        def carry(kept):
-            begin = F.when(F.size(kept) > 0, a["stop"] - _array_sum(kept) - F.size(kept) + 1).otherwise(a["pos"])
-            stop = F.when(F.size(kept) > 0, a["stop"]).otherwise(a["pos"])
-            return F.struct(
-                a["pos"].alias("pos"), begin.alias("start"), stop.alias("stop"), kept.alias("buf"),
-                _with(a["done"], a["start"], a["stop"]).alias("done"),
-            )
-
-        return let(kept_n, lambda k: let(_last(a["buf"], k), carry))
-
-    def add(a, x):
-        held = a["stop"] > a["start"]
-        grown = F.struct(
-            (a["pos"] + x["n"] + 1).alias("pos"),
-            F.when(held, a["start"]).otherwise(a["pos"]).alias("start"),
-            (a["pos"] + x["n"]).alias("stop"),
-            F.concat(a["buf"], F.array(x["n"])).alias("buf"), a["done"].alias("done"),
-        )
+    def add(cfg, a, x):
+        grown = state(a["at"] + 1, F.concat(a["buf"], F.array(x["n"])), a["done"])
         if not target_close:
             return grown
         return let(grown, lambda g: F.when(
-            x["good"] & (g["stop"] - g["start"] >= cfg["target"]),
-            F.struct(
-                g["pos"].alias("pos"), g["pos"].alias("start"), g["pos"].alias("stop"),
-                F.array().cast("array<int>").alias("buf"), _with(g["done"], g["start"], g["stop"]).alias("done"),
-            ),
-        ).otherwise(g))
-
-    def step(a, x):
-        size = a["stop"] - a["start"]
-        must = (size > 0) & ((x["brk"] & (size >= cfg["min"])) | (size + x["n"] > cfg["max"]))
-        return let(F.when(must, restart(a, x)).otherwise(a), lambda b: add(b, x))
+            x["good"] & (chars(g["buf"]) >= cfg["target"]), state(g["at"], empty, close(g))).otherwise(g))
 
-    def finish(a):
-        size = a["stop"] - a["start"]
-        own = (size > 0) & ((size >= cfg["min"]) | (F.size(a["done"]) == 0))
-        merged = (size > 0) & ~own
-        return F.struct(
-            F.when(own, _with(a["done"], a["start"], a["stop"])).otherwise(a["done"]).alias("done"),
-            F.when(merged, F.struct(a["start"].alias("start"), a["stop"].alias("stop"))).alias("tail"),
-        )
+    def step(cfg, a, x):
+        def go(size):
+            must = (size > 0) & ((x["brk"] & (size >= cfg["min"])) | (size + x["n"] > cfg["max"]))
+            return let(F.when(must, restart(cfg, a, x)).otherwise(a), lambda b: add(cfg, b, x))
 
-    return F.aggregate(items, zero, step, finish)
+        return let(chars(a["buf"]), go)
+
+    def finish(cfg, a):
+        def go(size):
+            own = (size > 0) & ((size >= cfg["min"]) | (F.size(a["done"]) == 0))
+            return F.struct(
+                F.when(own, close(a)).otherwise(a["done"]).alias("done"),
+                F.when((size > 0) & ~own, F.struct((a["at"] - F.size(a["buf"])).alias("first"), F.size(a["buf"]).alias("n"))).alias("tail"),
+            )
+
+        return let(chars(a["buf"]), go)
+
+    # sizes are bound once per row; a bare column could be computed again for every sentence
+    return let(cfg, lambda c: F.aggregate(
+        items, state(F.lit(1), empty, _spans()), lambda a, x: step(c, a, x), lambda a: finish(c, a)))
 
 
 def _semantic_rows(df: DataFrame, keep: list[str]) -> DataFrame:
     """Explode the folded spans; a short last piece is appended to the chunk before it."""
     total = F.size("folded.done")
-    rows = df.select(*keep, "joined", "folded.tail", total.alias("total_chunks"),
+    rows = df.select(*keep, "sents", "folded.tail", total.alias("total_chunks"),
                      F.posexplode("folded.done").alias("chunk_index", "span"))
-    body = strip(_cut(F.col("joined"), F.col("span.start"), F.col("span.stop")))
-    tail = strip(_cut(F.col("joined"), F.col("tail.start"), F.col("tail.stop")))
-    is_last = F.col("chunk_index") == F.col("total_chunks") - 1
-    content = F.when(is_last & F.col("tail").isNotNull() & (tail != ""), F.concat_ws(" ", body, tail)).otherwise(body)
-    return rows.select(*keep, "chunk_index", "total_chunks", content.alias("content"))
+    tail = F.when(
+        (F.col("chunk_index") == F.col("total_chunks") - 1) & F.col("tail").isNotNull(),
+        F.nullif(strip(_joined(F.col("tail"))), F.lit("")))
+    return rows.select(*keep, "chunk_index", "total_chunks", F.concat_ws(" ", strip(_joined(F.col("span"))), tail).alias("content"))
 
 
 def chunk_semantic(df: DataFrame, key: str, text: str, cfg: Column | None = None, strict: bool = False,
@@ -339,9 +326,7 @@ def chunk_semantic(df: DataFrame, key: str, text: str, cfg: Column | None = None
     cfg = cfg if cfg is not None else chunk_profile(F.col(text))
     base = df.select(key, sentences(F.col(text)).alias("sents"), cfg.alias("cfg")).filter(F.size("sents") > 0)
     folded = _semantic_spans(F.col("cfg"), contextual=False, target_close=True, strict=strict, whole_word=whole_word)
-    rows = _semantic_rows(
-        base.select(key, F.array_join("sents", " ").alias("joined"), folded.alias("folded")), [key]
-    )
+    rows = _semantic_rows(base.select(key, "sents", folded.alias("folded")), [key])
     first_line = F.filter(F.split("content", "\n"), lambda line: strip(line) != "")[0]
     return rows.withColumn(
         "heading", F.when((F.col("chunk_index") == 0) & (F.length(first_line) < R.MIN_CHARS), first_line)
@@ -354,45 +339,49 @@ def chunk_semantic(df: DataFrame, key: str, text: str, cfg: Column | None = None
 def sections(df: DataFrame, key: str, text: str, structure: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Text from each heading to the next: key, section_index, level, heading, section.
 
-    ``structure`` is an array of (start, level, heading); it is sorted and zipped
-    with its own shift inside the row.
+    ``structure`` is an array of (start, level, heading), sorted and zipped with its
+    own shift inside the row. Arrays that bring their ``section`` are only unpacked.
     """
-    ordered = F.array_sort(F.transform(structure, lambda h: F.struct(h["start"].alias("start"), h["level"].alias("level"), h["heading"].alias("heading"))))
-    ends = F.concat(F.transform(F.slice("hs", 2, F.greatest(F.size("hs") - 1, F.lit(0))), lambda h: h["start"]), F.array(F.length(text)))
-    return (
-        df.withColumn("hs", ordered)
-        .filter(F.size("hs") > 0)
-        .select(key, *keep, text, F.posexplode(F.arrays_zip(F.col("hs"), ends.alias("stop"))).alias("section_index", "h"))
-        .select(
-            key, *keep, "section_index", F.col("h.hs.level").alias("level"), F.col("h.hs.heading").alias("heading"),
-            strip(_cut(F.col(text), F.col("h.hs.start"), F.col("h.stop"))).alias("section"),
-        )
-        .filter("section <> ''")
-    )
+    rows = df.select(key, *keep, text, F.posexplode(F.col(structure)).alias("section_index", "h"))
+    if "section" not in df.schema[structure].dataType.elementType.fieldNames():
+        ordered = F.array_sort(F.transform(structure, lambda h: F.struct(
+            h["start"].alias("start"), h["level"].alias("level"), h["heading"].alias("heading"))))
+        ends = lambda hs: F.concat(F.transform(F.slice(hs, F.lit(2), F.size(hs)), lambda h: h["start"]), F.array(F.length(text)))
+        cut = let(ordered, lambda hs: F.zip_with(hs, ends(hs), lambda h, stop: F.struct(
+            h["start"].alias("start"), h["level"].alias("level"), h["heading"].alias("heading"),
+            strip(_cut(F.col(text), h["start"], stop)).alias("section"))))
+        rows = df.select(key, *keep, F.posexplode(cut).alias("section_index", "h"))
+    return rows.select(key, *keep, "section_index", "h.level", "h.heading", "h.section").filter("section <> ''")
 
 
 def section_importance(level: Column, heading: Column, section: Column) -> Column:
     """1, plus heading level, keyword and density bonuses; at most 2."""
-    n_words = F.size(words(section))
-    density = F.regexp_count(section, F.lit("[.!?]+")) / n_words * 100
+    stops = F.regexp_count(section, F.lit("[.!?]+"))
+    dense = let(F.struct(word_count(section).alias("w"), stops.alias("s")), lambda n: F.when(
+        (n["w"] > 0) & (n["s"] / n["w"] * 100).between(3, 8), 0.2).otherwise(0.0))
+    keyword = F.lower(F.coalesce(heading, F.lit(""))).rlike("|".join(R.SECTION_KEYWORDS))
     score = (
         F.lit(1.0)
         + F.when(F.coalesce(level, F.lit(0)) != 0, (7 - F.least(level, F.lit(6))) * 0.15).otherwise(0.0)
-        + F.when(contains_any(F.lower(F.coalesce(heading, F.lit(""))), R.SECTION_KEYWORDS), 0.3).otherwise(0.0)
-        + F.when((n_words > 0) & density.between(3, 8), 0.2).otherwise(0.0)
+        + F.when(keyword, 0.3).otherwise(0.0)
+        + dense
     )
     return F.least(score, F.lit(2.0))
 
 
 def section_config(cfg: Column, importance: Column, n_chars: Column) -> Column:
     """Larger limits for important sections, a smaller target for very long ones."""
-    grow, long = importance > 1.5, n_chars > cfg["max"] * 3
-    return F.struct(
-        F.when(grow, cfg["target"] * 1.3).when(long, cfg["target"] * 0.9).otherwise(cfg["target"]).cast("int").alias("target"),
-        F.when(grow, cfg["max"] * 1.2).otherwise(cfg["max"]).cast("int").alias("max"),
-        cfg["min"].alias("min"),
-        F.when(grow, cfg["overlap"] * 1.5).otherwise(cfg["overlap"]).cast("int").alias("overlap"),
-    )
+
+    def sized(m):
+        c, grow, long = m["cfg"], m["importance"] > 1.5, m["n"] > m["cfg"]["max"] * 3
+        return F.struct(
+            F.when(grow, c["target"] * 1.3).when(long, c["target"] * 0.9).otherwise(c["target"]).cast("int").alias("target"),
+            F.when(grow, c["max"] * 1.2).otherwise(c["max"]).cast("int").alias("max"),
+            c["min"].alias("min"),
+            F.when(grow, c["overlap"] * 1.5).otherwise(c["overlap"]).cast("int").alias("overlap"),
+        )
+
+    return let(F.struct(cfg.alias("cfg"), importance.alias("importance"), n_chars.alias("n")), sized)
 
 
 def chunk_structured(df: DataFrame, key: str, text: str, structure: str, cfg: Column | None = None,
@@ -409,7 +398,7 @@ def chunk_structured(df: DataFrame, key: str, text: str, structure: str, cfg: Co
     )
     folded = _semantic_spans(F.col("cfg"), contextual=True, target_close=False, strict=False, whole_word=whole_word)
     long = parts.filter(F.length("section") > F.col("cfg.max")).select(*keep, "cfg", sentences(F.col("section")).alias("sents"))
-    long = _semantic_rows(long.select(*keep, F.array_join("sents", " ").alias("joined"), folded.alias("folded")), keep)
+    long = _semantic_rows(long.select(*keep, "sents", folded.alias("folded")), keep)
     long = long.withColumn("chunk_type", F.lit("section_chunk")).withColumn(
         "importance", F.greatest(F.col("importance") * (1.0 - F.col("chunk_index") * 0.1), F.lit(0.5))
     )
@@ -427,10 +416,29 @@ def chunk_chars(df: DataFrame, key: str, text: str, cfg: Column | None = None) -
     """
     cfg = cfg if cfg is not None else chunk_profile(F.col(text))
     clauses = F.split(text, "(?<=[.!?])")
+    cuts = "array<struct<start:int,stop:int>>"
     zero = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(-1).alias("mark"), _spans().alias("done")
+        F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(-1).alias("mark"), F.array().cast(cuts).alias("done")
     )
-    target, most, lap = F.col("cfg.target"), F.col("cfg.max"), F.col("cfg.overlap")
+    bound = let(F.col("cfg"), lambda c: _char_fold(c["target"], c["max"], c["min"], c["overlap"], zero))
+    base = df.select(key, text, cfg.alias("cfg")).select(key, F.col(text).alias("joined"), "cfg", clauses.alias("clauses"))
+    folded = base.select(key, "joined", bound.alias("folded"))
+    total = F.size("folded.done")
+    rows = folded.select(key, "joined", "folded.tail", total.alias("total_chunks"),
+                         F.posexplode("folded.done").alias("chunk_index", "span"))
+    body = _cut(F.col("joined"), F.col("span.start"), F.col("span.stop"))
+    tail = _cut(F.col("joined"), F.col("tail.start"), F.col("tail.stop"))
+    content = F.when(
+        (F.col("chunk_index") == F.col("total_chunks") - 1) & F.col("tail").isNotNull(), F.concat(body, tail)
+    ).otherwise(body)
+    return rows.select(key, "chunk_index", content.alias("content"))
+
+
+def _char_fold(target: Column, most: Column, least: Column, lap: Column, zero: Column) -> Column:
+    """Fold over ``clauses`` to a struct (cuts, short rest)."""
+
+    def add(done, start, stop):
+        return F.concat(done, F.array(F.struct(start.alias("start"), stop.alias("stop"))))
 
     def state(at, start, mark, done):
         return F.struct(at.alias("at"), start.alias("start"), mark.alias("mark"), done.alias("done"))
@@ -440,11 +448,11 @@ def chunk_chars(df: DataFrame, key: str, text: str, cfg: Column | None = None) -
     def forced(a, now):
         """After a cut: the rest may itself have reached the maximum."""
         return F.when(
-            now - a["start"] >= most, state(a["at"], now, none, _with(a["done"], a["start"], now))
+            now - a["start"] >= most, state(a["at"], now, none, add(a["done"], a["start"], now))
         ).otherwise(a)
 
     def cut_at_mark(a, mark, now):
-        cut = state(a["at"], F.greatest(a["start"], mark - lap), none, _with(a["done"], a["start"], mark))
+        cut = state(a["at"], F.greatest(a["start"], mark - lap), none, add(a["done"], a["start"], mark))
         return let(cut, lambda c: forced(c, now))
 
     def between(a, limit):
@@ -453,7 +461,7 @@ def chunk_chars(df: DataFrame, key: str, text: str, cfg: Column | None = None) -
         marked = F.when(
             (a["mark"] >= 0) & (due <= hard) & (due < limit), cut_at_mark(a, a["mark"], due)
         ).when(
-            (a["mark"] >= 0) & (hard < due) & (hard < limit), state(a["at"], hard, none, _with(a["done"], a["start"], hard))
+            (a["mark"] >= 0) & (hard < due) & (hard < limit), state(a["at"], hard, none, add(a["done"], a["start"], hard))
         ).otherwise(a)
 
         def run(b):
@@ -471,7 +479,7 @@ def chunk_chars(df: DataFrame, key: str, text: str, cfg: Column | None = None) -
         size = now - a["start"]
         return (
             F.when(size >= target, cut_at_mark(a, now, now))
-            .when(size >= most, state(a["at"], now, none, _with(a["done"], a["start"], now)))
+            .when(size >= most, state(a["at"], now, none, add(a["done"], a["start"], now)))
             .otherwise(state(a["at"], a["start"], now, a["done"]))
         )
 
@@ -485,23 +493,13 @@ def chunk_chars(df: DataFrame, key: str, text: str, cfg: Column | None = None) -
 
     def finish(a):
         rest = a["at"] - a["start"]
-        own = (rest > 0) & ((rest >= F.col("cfg.min")) | (F.size(a["done"]) == 0))
+        own = (rest > 0) & ((rest >= least) | (F.size(a["done"]) == 0))
         return F.struct(
-            F.when(own, _with(a["done"], a["start"], a["at"])).otherwise(a["done"]).alias("done"),
+            F.when(own, add(a["done"], a["start"], a["at"])).otherwise(a["done"]).alias("done"),
             F.when((rest > 0) & ~own, F.struct(a["start"].alias("start"), a["at"].alias("stop"))).alias("tail"),
         )
 
-    base = df.select(key, text, cfg.alias("cfg")).select(key, F.col(text).alias("joined"), "cfg", clauses.alias("clauses"))
-    folded = base.select(key, "joined", F.aggregate("clauses", zero, step, finish).alias("folded"))
-    total = F.size("folded.done")
-    rows = folded.select(key, "joined", "folded.tail", total.alias("total_chunks"),
-                         F.posexplode("folded.done").alias("chunk_index", "span"))
-    body = _cut(F.col("joined"), F.col("span.start"), F.col("span.stop"))
-    tail = _cut(F.col("joined"), F.col("tail.start"), F.col("tail.stop"))
-    content = F.when(
-        (F.col("chunk_index") == F.col("total_chunks") - 1) & F.col("tail").isNotNull(), F.concat(body, tail)
-    ).otherwise(body)
-    return rows.select(key, "chunk_index", content.alias("content"))
+    return F.aggregate("clauses", zero, step, finish)
 
 
 # --- C15, C16 -------------------------------------------------------------------------------------

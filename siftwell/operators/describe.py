@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
 from ..functions.text import (
-    contains_any, count_of, has_word, is_title, is_upper, let, proper_nouns, sentences, strip, title_label,
+    contains_any, count_of, first_sentence, has_word, is_title, is_upper, let, proper_nouns, sentences, strip, title_label,
 )
 
 
@@ -18,29 +18,27 @@ def _holds(text: Column, needles: list[str], whole_word: bool) -> Column:
 
 def chunk_heading(text: Column) -> Column:
     """The first line where it looks like a title, else a short first sentence, else empty."""
-    line = strip(F.split(strip(text), "\n")[0])
-    sentence = strip(F.try_element_at(sentences(text), F.lit(1)))
-    return (
-        F.when(
-            (F.length(line) < 100)
-            & (is_upper(line) | is_title(line) | contains_any(F.lower(line), R.HEADING_MARKERS)),
-            line,
-        )
-        .when((F.length(sentence) < 80) & sentence.endswith("."), F.substring(sentence, F.lit(1), F.length(sentence) - 1))
-        .otherwise("")
-    )
+    line = strip(F.substring_index(strip(text), "\n", 1))
+
+    def own_line(x):
+        titled = is_upper(x) | is_title(x) | x.rlike(f"(?i)(?:{'|'.join(R.HEADING_MARKERS)})")
+        return F.when((F.length(x) < 100) & titled, x)
+
+    def short_sentence(x):
+        return F.when((F.length(x) < 80) & x.endswith("."), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise("")
+
+    return F.coalesce(let(line, own_line), let(strip(first_sentence(text)), short_sentence), F.lit(""))
 
 
 def chunk_type(text: Column, whole_word: bool = False) -> Column:
-    low = F.lower(text)
-    return (
-        F.when(count_of(text, '"') >= 2, "dialogue")
+    return let(F.lower(text), lambda low: (
+        F.when(count_of(low, '"') >= 2, "dialogue")
         .when(_holds(low, R.OPENING_MARKERS, whole_word), "narrative_opening")
         .when(_holds(low, R.ACTION_MARKERS, whole_word), "action")
         .when(_holds(low, R.DESCRIPTION_MARKERS, whole_word), "description")
-        .when(text.contains("?") | _holds(low, R.QUESTION_MARKERS, whole_word), "question")
+        .when(low.contains("?") | _holds(low, R.QUESTION_MARKERS, whole_word), "question")
         .otherwise("paragraph")
-    )
+    ))
 
 
 def key_entities(text: Column) -> Column:
@@ -53,8 +51,8 @@ def key_entities(text: Column) -> Column:
 
 def topics(text: Column, whole_word: bool = False) -> Column:
     """The first four topics that have a keyword in the text."""
-    low = F.lower(text)
-    found = F.array(*[F.when(_holds(low, words, whole_word), F.lit(topic)) for topic, words in R.TOPIC_KEYWORDS.items()])
+    found = let(F.lower(text), lambda low: F.array(*[
+        F.when(_holds(low, keywords, whole_word), F.lit(topic)) for topic, keywords in R.TOPIC_KEYWORDS.items()]))
     return F.slice(F.filter(found, lambda t: t.isNotNull()), 1, 4)
 
 
@@ -71,8 +69,8 @@ def importance_local(text: Column, kind: Column, entities: Column) -> Column:
 
 def importance_chunk(level: Column, text: Column, chunk_index: Column) -> Column:
     """Heading level, first place, keywords, sentence length and count; at most 2."""
-    low = F.lower(text)
-    keyword_bonus = sum([F.when(low.contains(k), 0.1).otherwise(0.0) for k in R.CHUNK_KEYWORDS], F.lit(0.0))
+    keyword_bonus = let(F.lower(text), lambda low: sum(
+        [F.when(low.contains(k), 0.1).otherwise(0.0) for k in R.CHUNK_KEYWORDS], F.lit(0.0)))
 
     def density(n):
         mean = F.length(text) / F.greatest(n, F.lit(1))
@@ -90,26 +88,21 @@ def importance_chunk(level: Column, text: Column, chunk_index: Column) -> Column
 
 def context_summary(text: Column, heading: Column, kind: Column) -> Column:
     """Type and heading, or type and the start of the first sentence."""
-    first = F.try_element_at(sentences(text), F.lit(1))
-    label = title_label(kind)
-    return (
-        F.when(heading != "", F.concat(label, F.lit(": "), heading))
-        .when(first.isNotNull(), F.concat(label, F.lit(": "), F.substring(first, 1, 100), F.lit("...")))
-        .otherwise(F.concat(label, F.lit(": "), F.substring(text, 1, 80), F.lit("...")))
-    )
+    start = F.concat(F.substring(F.coalesce(first_sentence(text), F.lit("")), 1, 100), F.lit("..."))
+    return F.concat(title_label(kind), F.lit(": "), F.when(heading != "", heading).otherwise(start))
 
 
 def describe(df: DataFrame, text: str = "content", whole_word: bool = False) -> DataFrame:
     """All description columns for a chunk table."""
     body = F.col(text)
-    return (
-        df.withColumn("heading", chunk_heading(body))
-        .withColumn("chunk_type", chunk_type(body, whole_word))
-        .withColumn("key_entities", key_entities(body))
-        .withColumn("topics", topics(body, whole_word))
-        .withColumn("importance_score", F.round(importance_local(body, F.col("chunk_type"), F.col("key_entities")), 6))
-        .withColumn("context_summary", context_summary(body, F.col("heading"), F.col("chunk_type")))
-    )
+    first = df.withColumns({
+        "heading": chunk_heading(body), "chunk_type": chunk_type(body, whole_word),
+        "key_entities": key_entities(body), "topics": topics(body, whole_word),
+    })
+    return first.withColumns({
+        "importance_score": F.round(importance_local(body, F.col("chunk_type"), F.col("key_entities")), 6),
+        "context_summary": context_summary(body, F.col("heading"), F.col("chunk_type")),
+    })
 
 
 def keyword_top(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:

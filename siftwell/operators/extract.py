@@ -6,10 +6,12 @@ operator gathers more than one size-guarded document in one place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 OPEN, CLOSE = "\u0001", "\u0002"
 MD_HEADING = r"(?md)^(#{1,6})\s+([^\n]+)"
@@ -58,6 +60,32 @@ def html_heading_array(html: Column) -> Column:
     ))
 
 
+def _sections(text: Column, pattern: str, level: Callable, heading: Callable) -> Column:
+    """Every second piece of the fenced text is a heading; the piece after it is its body."""
+    clean = F.translate(text, OPEN + CLOSE, "\u001a\u001a")
+    pieces = F.split(F.regexp_replace(clean, pattern, OPEN + "$0" + CLOSE), f"[{OPEN}{CLOSE}]")
+
+    def build(p):
+        hits = F.filter(F.transform(p, lambda x, i: F.when(i % 2 == 1, F.struct(x.alias("hit"), p[i + 1].alias("rest")))), lambda s: s.isNotNull())
+        return F.transform(hits, lambda s: F.struct(
+            level(s["hit"]).alias("level"), heading(s["hit"]).alias("heading"),
+            strip(F.concat(s["hit"], s["rest"])).alias("section")))
+
+    return let(pieces, build)
+
+
+def md_section_array(text: Column) -> Column:
+    """Markdown sections as an array of (level, heading, section), each with the text up to the next heading."""
+    return _sections(text, MD_HEADING, lambda h: F.length(F.regexp_extract(h, MD_HEADING, 1)),
+                     lambda h: strip(F.regexp_extract(h, MD_HEADING, 2)))
+
+
+def html_section_array(html: Column) -> Column:
+    """HTML sections as an array of (level, heading, section)."""
+    return _sections(html, HTML_HEADING, lambda h: F.regexp_extract(h, HTML_HEADING, 1).cast("int"),
+                     lambda h: strip(F.regexp_replace(F.regexp_extract(h, HTML_HEADING, 2), "<[^>]*>", "")))
+
+
 def _heading_rows(df: DataFrame, key: str, headings: Column) -> DataFrame:
     return df.select(key, F.posexplode(headings).alias("heading_index", "h")).select(key, "heading_index", "h.*")
 
@@ -95,20 +123,16 @@ def _links(blocks: DataFrame, kind: str) -> Column:
 
 def block_children_text(blocks: DataFrame) -> DataFrame:
     """Own text of a block, or its children's texts in link order: doc_id, id, block_text."""
-    own = F.coalesce(F.col("text"), F.lit(""))
-    wanting = blocks.filter(own == "").select(
-        "doc_id", "id", F.posexplode(_links(blocks, "CHILD")).alias("child_pos", "child_id")
-    )
-    texts = blocks.filter(own != "").select("doc_id", F.col("id").alias("child_id"), F.col("text").alias("child_text"))
-    joined = (
-        wanting.join(texts, ["doc_id", "child_id"])
-        .groupBy("doc_id", "id")
-        .agg(F.array_sort(F.collect_list(F.struct("child_pos", "child_text"))).alias("parts"))
-        .select("doc_id", "id", F.array_join(F.transform("parts", lambda p: p["child_text"]), " ").alias("joined"))
-    )
-    return blocks.select("doc_id", "id", own.alias("own")).join(joined, ["doc_id", "id"], "left").select(
-        "doc_id", "id", F.when(F.col("own") != "", F.col("own")).otherwise(F.coalesce("joined", F.lit(""))).alias("block_text")
-    )
+    has_text = F.coalesce(F.col("text"), F.lit("")) != ""
+    own = blocks.filter(has_text).select("doc_id", "id", F.col("text").alias("block_text"))
+    wanting = blocks.filter(~has_text).select(
+        "doc_id", "id", F.posexplode_outer(_links(blocks, "CHILD")).alias("child_pos", "child_id"))
+    texts = own.select("doc_id", F.col("id").alias("child_id"), F.col("block_text").alias("child_text"))
+    part = F.when(F.col("child_text").isNotNull(), F.struct("child_pos", "child_text"))
+    gathered = wanting.join(texts, ["doc_id", "child_id"], "left").groupBy("doc_id", "id").agg(
+        F.array_sort(F.collect_list(part)).alias("parts"))
+    return own.unionByName(gathered.select(
+        "doc_id", "id", F.array_join(F.transform("parts", lambda p: p["child_text"]), " ").alias("block_text")))
 
 
 def key_value_pairs(blocks: DataFrame) -> DataFrame:

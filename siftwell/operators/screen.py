@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R
-from ..functions.text import any_of, contains_any, strip
+from ..functions.text import any_of, contains_any, let, strip
 
 
 def _any_match(text: Column, patterns: list[str]) -> Column:
@@ -62,7 +62,8 @@ def xss_flags(text: Column) -> Column:
 
 def needs_moderation(text: Column) -> Column:
     """Long enough, and not about the documents themselves."""
-    return (F.length(strip(text)) >= R.MODERATION_MIN_CHARS) & ~contains_any(F.lower(text), R.DOCUMENT_KEYWORDS)
+    about_documents = let(F.lower(text), lambda low: contains_any(low, R.DOCUMENT_KEYWORDS))
+    return (F.length(strip(text)) >= R.MODERATION_MIN_CHARS) & ~about_documents
 
 
 def moderation_rollup(messages: DataFrame, text: str, verdicts: DataFrame, key: str, verdict: str) -> DataFrame:
@@ -71,11 +72,8 @@ def moderation_rollup(messages: DataFrame, text: str, verdicts: DataFrame, key:
     A repeated text is counted inside a pre-aggregated (text, rule) group, so a
     text that makes up much of the table travels as one row per task.
     """
-    rule = (
-        F.when(F.length(strip(F.col(text))) < R.MODERATION_MIN_CHARS, "short_input")
-        .when(contains_any(F.lower(F.col(text)), R.DOCUMENT_KEYWORDS), "document_query")
-        .otherwise("moderated")
-    )
+    short = F.length(strip(F.col(text))) < R.MODERATION_MIN_CHARS
+    rule = F.when(short, "short_input").when(needs_moderation(F.col(text)), "moderated").otherwise("document_query")
     judged = messages.select(key, F.md5(text).alias("digest"), rule.alias("rule")).join(verdicts.select(key, verdict), key, "left")
     blocked = (F.col("rule") == "moderated") & (F.coalesce(F.col(verdict), F.lit(0)) == 1)
     per_text = judged.groupBy("digest", "rule").agg(
@@ -88,13 +86,10 @@ def moderation_rollup(messages: DataFrame, text: str, verdicts: DataFrame, key:
 
 def sensitive_key(key: Column, patterns: list[str] | None = None) -> Column:
     """The key names something that must not be stored."""
-    return contains_any(F.lower(key), patterns or R.CACHE_SENSITIVE)
+    return let(F.lower(key), lambda low: contains_any(low, patterns or R.CACHE_SENSITIVE))
 
 
 def redact_log(message: Column) -> Column:
     """The message, or a note naming the first sensitive word in list order."""
-    low = F.lower(message)
-    out = message
-    for word in reversed(R.LOG_SENSITIVE):
-        out = F.when(low.contains(word), f"[REDACTED] Log message contained sensitive information: {word}").otherwise(out)
-    return out
+    first = let(F.lower(message), lambda low: F.coalesce(*[F.when(low.contains(w), F.lit(w)) for w in R.LOG_SENSITIVE]))
+    return F.coalesce(F.concat(F.lit("[REDACTED] Log message contained sensitive information: "), first), message)

@@ -195,7 +195,7 @@ sections AS (SELECT * FROM sliced WHERE section <> '')"""
 
 
 def _md(t):
-    return shared.markdown(t).withColumn("structure", X.md_heading_array(F.col("md")))
+    return shared.markdown(t).withColumn("structure", X.md_section_array(F.col("md")))
 
 
 @query("sections", sql=f"WITH {MD_HEADS} SELECT * FROM sections")
@@ -203,6 +203,12 @@ def _(t):
     return C.sections(_md(t), "doc_id", "md", "structure")
 
 
+@query("sections_by_offset", sql=f"WITH {MD_HEADS} SELECT * FROM sections")
+def _(t):
+    md = shared.markdown(t).withColumn("structure", X.md_heading_array(F.col("md")))
+    return C.sections(md, "doc_id", "md", "structure")
+
+
 IMPORTANCE = f"""least(2.0::DOUBLE, 1.0::DOUBLE + (7 - least(level, 6)) * 0.15::DOUBLE + CASE WHEN {S.either('lower(heading)', R.SECTION_KEYWORDS)} THEN 0.3::DOUBLE ELSE 0 END
   + CASE WHEN len({S.words('section')}) > 0 AND len(regexp_extract_all(section, '[.!?]+'))::DOUBLE / len({S.words('section')}) * 100 BETWEEN 3 AND 8 THEN 0.2::DOUBLE ELSE 0 END)"""
 

@@ -146,8 +146,8 @@ def _(t):
     """The table arrives in two parts, then its first day once more: those rows are late and change nothing."""
     folder = scratch_path(t.spark, "late")
     events = t.events
-    first = events.agg(F.min("ts").alias("t0"))
-    age = events.join(F.broadcast(first), F.lit(True)).withColumn("age", F.timestamp_diff("HOUR", F.col("t0"), F.col("ts"))).drop("t0")
+    t0 = events.agg(F.min("ts")).first()[0]
+    age = events.withColumn("age", F.timestamp_diff("HOUR", F.lit(t0).cast("timestamp_ntz"), F.col("ts")))
     for part, rows in enumerate(["age < 360", "age >= 360", "age < 24"]):
         age.filter(rows).drop("age").coalesce(1).write.parquet(f"{folder}/part={part}")
     resent = age.filter("age < 24").count()

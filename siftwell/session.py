@@ -26,6 +26,21 @@ def get_session(app: str = "siftwell", master: str | None = None, shuffle_partit
     return builder.getOrCreate()
 
 
+SMALL_TASK_BYTES = 16 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out to all cores.
+
+    A small table may be one row group, which one task would read and process
+    alone. The size comes from the plan's statistics; a scan large enough to fill
+    the cluster is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_TASK_BYTES else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
