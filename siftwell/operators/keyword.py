@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 
 
 def search_text(content: Column, heading: Column, doc_id: Column) -> Column:
@@ -32,39 +32,48 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
         F.count(F.lit(1)).alias("total_docs"), F.sum(size).alias("total_tokens"), F.avg(size).alias("avg_length"))
 
 
-def bm25(candidates: DataFrame, queries: DataFrame, k1: float = R.BM25_K1, b: float = R.BM25_B, running: bool = False) -> DataFrame:
-    """Keyword score per candidate: query_id, key, bm25.
+def add_bm25(candidates: DataFrame, text: Column, query_text: Column, k1: float = R.BM25_K1, b: float = R.BM25_B,
+             running: bool = False) -> DataFrame:
+    """Add bm25 and has_terms to candidate rows (query_id, rank, ...).
 
-    ``candidates`` has query_id, key, text and, for ``running``, rank; ``queries`` has
-    query_id and query_text. Statistics come from the query's own candidates: all
-    of them, or with ``running`` only those ranked so far. Candidate lists are
-    short by construction, so the windows per query are too.
+    Statistics come from the query's own candidates: all of them, or with
+    ``running`` those ranked so far. Candidate lists are short by construction
+    (50 at most), so one window per query holds the matched terms of the list;
+    nothing is joined or exploded, and the rows stay where the ranking put them.
     """
-    terms = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(
-        F.count(F.lit(1)).alias("uses"))
-    wanted = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("wanted"))
-    place = ["rank"] if running else []
-    sized = candidates.select("query_id", "key", *place, tokens(F.col("text")).alias("toks")).withColumn("n_tokens", F.size("toks"))
-    whole = W.partitionBy("query_id")
-    frame = whole.orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow) if running else whole
-    stats = sized.select(
-        "query_id", "key", *place, "n_tokens",
-        F.count(F.lit(1)).over(frame).alias("n_docs"),
-        F.avg("n_tokens").over(frame).alias("avg_tokens"),
-        "toks",
-    ).join(wanted, "query_id")
-    hit = stats.select(
-        "query_id", "key", *place, "n_tokens", "n_docs", "avg_tokens",
-        F.explode(F.filter("toks", lambda t: F.array_contains("wanted", t))).alias("term"),
-    ).groupBy("query_id", "key", *place, "n_tokens", "n_docs", "avg_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
-    per_term = W.partitionBy("query_id", "term")
-    df_frame = per_term.orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow) if running else per_term
-    scored = hit.withColumn("df", F.count(F.lit(1)).over(df_frame)).join(terms, ["query_id", "term"])
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * (F.col("n_tokens") / F.col("avg_tokens"))))
-    summed = scored.groupBy("query_id", "key").agg(F.sum(F.col("uses") * idf * tf).alias("raw"))
-    return candidates.select("query_id", "key").join(summed, ["query_id", "key"], "left").select(
-        "query_id", "key", F.greatest(F.lit(0.0), F.coalesce("raw", F.lit(0.0))).alias("bm25"))
+    wanted = F.array_distinct(F.col("_asked"))
+    rows = candidates.withColumns({"_asked": tokens(query_text), "_tokens": tokens(text)})
+    rows = rows.withColumns({
+        "_length": F.size("_tokens"),
+        "_found": let(wanted, lambda q: F.filter("_tokens", lambda w: F.array_contains(q, w))),
+    }).drop("_tokens")
+    count = lambda words, word: F.size(F.filter(words, lambda w: w == word))
+    rows = rows.withColumn("_terms", F.transform(F.array_distinct("_found"), lambda w: F.struct(
+        w.alias("term"), count("_asked", w).alias("uses"), count("_found", w).alias("tf"))))
+    frame = W.partitionBy("query_id")
+    if running:
+        frame = frame.orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumns({
+        "_docs": F.count(F.lit(1)).over(frame),
+        "_mean": F.avg("_length").over(frame),
+        "_seen": F.flatten(F.collect_list(F.transform("_terms", lambda t: t["term"])).over(frame)),
+    })
+    base = k1 * (1 - b + b * (F.col("_length") / F.col("_mean")))
+
+    def part(t):
+        df = count("_seen", t["term"])
+        weight = lambda n: F.log((F.col("_docs") - n + 0.5) / (n + 0.5))
+        return t["uses"] * let(df, weight) * (t["tf"] * (k1 + 1)) / (t["tf"] + base)
+
+    raw = F.aggregate("_terms", F.lit(0.0), lambda acc, t: acc + part(t))
+    return rows.withColumns({"bm25": F.greatest(F.lit(0.0), raw), "has_terms": F.size("_asked") > 0}).drop(
+        "_asked", "_length", "_found", "_terms", "_docs", "_mean", "_seen")
+
+
+def bm25(candidates: DataFrame, queries: DataFrame, **kwargs) -> DataFrame:
+    """Keyword score per candidate (query_id, key, rank, text): query_id, key, bm25."""
+    rows = candidates.join(queries.select("query_id", "query_text"), "query_id")
+    return add_bm25(rows, F.col("text"), F.col("query_text"), **kwargs).select("query_id", "key", "bm25")
 
 
 def weights(semantic: float, keyword: float) -> tuple[float, float]:
@@ -79,18 +88,15 @@ def hybrid_pool(limit: Column | int) -> Column:
     return F.least(limit * R.HYBRID_EXPANSION, F.lit(R.HYBRID_POOL))
 
 
-def hybrid_scores(hits: DataFrame, queries: DataFrame, semantic: float = R.SEMANTIC_WEIGHT, keyword: float = R.KEYWORD_WEIGHT,
+def hybrid_scores(hits: DataFrame, semantic: float = R.SEMANTIC_WEIGHT, keyword: float = R.KEYWORD_WEIGHT,
                   running: bool = False, digits: int = 9) -> DataFrame:
     """Add keyword_score and hybrid_score; both null for a query without any term.
 
-    ``hits`` has query_id, key, similarity, rank, content, heading, doc_id.
+    ``hits`` has query_id, query_text, key, similarity, rank, content, heading, doc_id.
     """
     w_s, w_k = weights(semantic, keyword)
     text = search_text(F.col("content"), F.col("heading"), F.col("doc_id"))
-    base = hits.select("query_id", "key", "rank", text.alias("text"))
-    scored = bm25(base, queries, running=running)
-    has_terms = queries.select("query_id", (F.size(tokens(F.col("query_text"))) > 0).alias("has_terms"))
-    out = hits.join(scored, ["query_id", "key"]).join(has_terms, "query_id")
+    out = add_bm25(hits, text, F.col("query_text"), running=running)
     kw = F.when(F.col("has_terms"), F.least(F.lit(1.0), F.col("bm25") / 10.0))
     return out.withColumn("keyword_score", kw).withColumn(
         "hybrid_score", F.round(F.col("similarity") * w_s + F.col("keyword_score") * w_k, digits)
@@ -99,6 +105,7 @@ def hybrid_scores(hits: DataFrame, queries: DataFrame, semantic: float = R.SEMAN
 
 def hybrid_search(hits: DataFrame, queries: DataFrame, limit: int, **kwargs) -> DataFrame:
     """Hybrid order per query; a query without terms keeps its similarity order."""
-    scored = hybrid_scores(hits, queries, **kwargs)
+    named = hits if "query_text" in hits.columns else hits.join(queries.select("query_id", "query_text"), "query_id")
+    scored = hybrid_scores(named, **kwargs)
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("hybrid_score"), F.when(F.col("hybrid_score").isNull(), F.col("rank")), "key")
     return scored.withColumn("hybrid_rank", F.row_number().over(order)).filter(F.col("hybrid_rank") <= limit)

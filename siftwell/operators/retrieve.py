@@ -93,7 +93,7 @@ def stage1_candidates(vectors: DataFrame, plan: DataFrame, use_hybrid: bool = Tr
     if not use_hybrid:
         return hits.filter(F.col("rank") <= F.col("stage1_limit")).withColumns(
             {"keyword_score": F.lit(None).cast("double"), "hybrid_score": F.lit(None).cast("double")})
-    scored = K.hybrid_scores(hits, plan.select("query_id", "query_text"))
+    scored = K.hybrid_scores(hits)
     by_score = W.partitionBy("query_id").orderBy(
         F.desc_nulls_last("hybrid_score"), F.when(F.col("hybrid_score").isNull(), F.col("rank")), "key")
     return scored.withColumn("pool_rank", F.row_number().over(by_score)).filter(
