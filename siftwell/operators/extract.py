@@ -164,9 +164,11 @@ def table_grid(blocks: DataFrame) -> DataFrame:
         F.max("row_index").alias("row_count"), F.max("column_index").alias("column_count")
     ).withColumn("within_limits", (F.col("row_count") <= MAX_TABLE_ROWS) & (F.col("column_count") <= MAX_TABLE_COLUMNS))
     texts = block_children_text(blocks.filter("block_type in ('CELL', 'WORD', 'LINE')"))
+    # cells beyond the limits are dropped first, so one table is a bounded group and is shuffled once
     rows = (
-        cells.join(sizes.filter("within_limits").select("doc_id", "table_id"), ["doc_id", "table_id"], "left_semi")
+        cells.filter((F.col("row_index") <= MAX_TABLE_ROWS) & (F.col("column_index") <= MAX_TABLE_COLUMNS))
         .join(texts, ["doc_id", "id"])
+        .repartition("doc_id", "table_id")
         .groupBy("doc_id", "table_id", "row_index", "column_index")
         .agg(F.max_by("block_text", "pos").alias("cell"))
         .groupBy("doc_id", "table_id", "row_index")
@@ -181,7 +183,7 @@ def table_grid(blocks: DataFrame) -> DataFrame:
         .groupBy("doc_id", "table_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("row_index", "cells"))).alias("rows"))
     )
-    grid = F.when(F.col("rows").isNotNull(), F.transform(
+    grid = F.when(F.col("within_limits") & F.col("rows").isNotNull(), F.transform(
         F.sequence(F.lit(1), F.col("row_count")),
         lambda r: F.coalesce(F.try_element_at("rows", r), F.array().cast("array<string>")),
     ))

@@ -72,7 +72,7 @@ def fallback_threshold(near: DataFrame) -> DataFrame:
     return near.withColumn("used_threshold", effective).filter(F.col("similarity") >= F.col("used_threshold"))
 
 
-PLAN = ["query_id", "query_text", "query_type", "has_entities", "category", "stage1_threshold", "stage1_limit",
+PLAN = ["query_id", "query_type", "has_entities", "category", "stage1_threshold", "stage1_limit",
         "fallback_threshold", "base_final"]
 
 
@@ -86,7 +86,7 @@ def stage1_candidates(vectors: DataFrame, plan: DataFrame, use_hybrid: bool = Tr
     near = V.knn_topk(vectors, plan, R.HYBRID_POOL if use_hybrid else R.KNN_LIMIT, min_score=0.15)
     near = near.join(plan.select(*PLAN), "query_id").filter(F.col("rank") <= pool).drop("rank", "distance")
     cut = fallback_threshold(near)
-    hits = V.attach_metadata(cut, vectors)
+    hits = V.attach_metadata(cut, vectors).join(plan.select("query_id", "query_text"), "query_id")
     score = V.search_score(*[F.col(c) for c in ("similarity", "importance_score", "chunk_type", "key_entities", "topics")])
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
     hits = hits.withColumn("score", F.round(score, DIGITS)).withColumn("rank", F.row_number().over(order))

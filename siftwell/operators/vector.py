@@ -20,12 +20,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import rules as R
+from ..session import cut_lineage
 from .describe import describe
 from ..functions.vectors import block_scores, similarity_from_distance, valid_embedding
 
 DIGITS = 9
 TILE_CELLS = 4_000_000
 QUERY_BYTES = 32 * 1024 * 1024
+# ranked rows are some 100 bytes each
+NEAR_ROWS = 500_000
 BLOCK_VECTORS, BLOCK_QUERIES = 50_000, 2_048
 
 
@@ -252,10 +255,18 @@ META = ["key", "doc_id", "chunk_index", "content", "heading", "chunk_type", "key
 
 
 def attach_metadata(near: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Metadata for ranked rows. A table without description columns is described here, after the cut."""
+    """Metadata for ranked rows. A table without description columns is described here, after the cut.
+
+    The ranked rows (ids and numbers only) are written to the shared folder, so
+    the search runs once and their number is known. Up to a bound they are sent to
+    the vector table, which then is not shuffled; beyond it the two are joined on key.
+    """
+    near = cut_lineage(near)
+    if near.count() <= NEAR_ROWS:
+        near = F.broadcast(near)
     if "importance_score" in vectors.columns:
-        return near.join(vectors.select(*META), "key")
-    return describe(near.join(vectors.select("key", "doc_id", "chunk_index", "content"), "key"))
+        return vectors.select(*META).join(near, "key")
+    return describe(vectors.select("key", "doc_id", "chunk_index", "content").join(near, "key"))
 
 
 def similarity_search(vectors: DataFrame, queries: DataFrame, limit: int = 3,
