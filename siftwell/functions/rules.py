@@ -1,7 +1,8 @@
 """Word lists, weights, patterns and limits the results depend on."""
 
-# Whitespace as Unicode knows it, in a class that Java regex and RE2 both read.
-WS = r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Whitespace as Unicode knows it: one property test in Java, and the same set spelled out for RE2.
+WS = r"[\p{IsWhite_Space}\x1C-\x1F]"
+WS_RE2 = r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WS_CODES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 WS_CHARS = "".join(map(chr, WS_CODES))
 WORD_CHAR = r"[\p{L}\p{N}_]"

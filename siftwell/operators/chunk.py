@@ -391,18 +391,20 @@ def chunk_structured(df: DataFrame, key: str, text: str, structure: str, cfg: Co
     parts = sections(df.withColumn("base_cfg", cfg), key, text, structure, keep=("base_cfg",))
     parts = parts.withColumn("importance", section_importance(F.col("level"), F.col("heading"), F.col("section")))
     parts = parts.withColumn("cfg", section_config(F.col("base_cfg"), F.col("importance"), F.length("section")))
-    keep = [key, "section_index", "level", "heading", "importance"]
-    short = parts.filter(F.length("section") <= F.col("cfg.max")).select(
-        *keep, F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.col("section").alias("content"),
-        F.lit("section").alias("chunk_type"),
-    )
-    folded = _semantic_spans(F.col("cfg"), contextual=True, target_close=False, strict=False, whole_word=whole_word)
-    long = parts.filter(F.length("section") > F.col("cfg.max")).select(*keep, "cfg", sentences(F.col("section")).alias("sents"))
-    long = _semantic_rows(long.select(*keep, "sents", folded.alias("folded")), keep)
-    long = long.withColumn("chunk_type", F.lit("section_chunk")).withColumn(
-        "importance", F.greatest(F.col("importance") * (1.0 - F.col("chunk_index") * 0.1), F.lit(0.5))
-    )
-    return short.unionByName(long)
+    keep = [key, "section_index", "level", "heading", "importance", "fits"]
+    fits = F.length("section") <= F.col("cfg.max")
+    cut = F.when(F.col("fits"), F.array("section")).otherwise(sentences(F.col("section")))
+    parts = parts.withColumn("fits", fits).select(*keep, "cfg", cut.alias("sents"))
+    whole = F.struct(
+        F.array(F.struct(F.lit(1).alias("first"), F.lit(1).alias("n"))).alias("done"),
+        F.lit(None).cast("struct<first:int,n:int>").alias("tail"))
+    split = _semantic_spans(F.col("cfg"), contextual=True, target_close=False, strict=False, whole_word=whole_word)
+    rows = _semantic_rows(parts.select(*keep, "sents", F.when(F.col("fits"), whole).otherwise(split).alias("folded")), keep)
+    fading = F.greatest(F.col("importance") * (1.0 - F.col("chunk_index") * 0.1), F.lit(0.5))
+    return rows.withColumns({
+        "chunk_type": F.when(F.col("fits"), "section").otherwise("section_chunk"),
+        "importance": F.when(F.col("fits"), F.col("importance")).otherwise(fading),
+    }).drop("fits")
 
 
 # --- C14: character splitter -----------------------------------------------------------------

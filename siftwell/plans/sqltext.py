@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import rules as R
 
-WS = R.WS
+WS = R.WS_RE2
 
 
 def text_list(items: list[str]) -> str:
