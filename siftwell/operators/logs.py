@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import rules as R
-from ..functions.text import contains_any
+from ..functions.text import contains_any, let
 
 
 def classify_error(name: Column, message: Column) -> Column:
@@ -49,9 +51,24 @@ def retryable_call(name: Column, message: Column) -> Column:
     return name.isin(R.RETRYABLE_CALL_NAMES) | contains_any(F.lower(message), R.RETRYABLE_CALL_WORDS)
 
 
+def _first_match(line: Column, patterns: list[str]) -> Column:
+    """Place of the first pattern the line matches, in any case; null if none.
+
+    The literal head of a pattern is looked for first, so the regular expression
+    runs only on lines that have it.
+    """
+
+    def test(low, pattern):
+        head = re.split(r"[.*]", pattern)[0]
+        found = low.contains(head.lower())
+        return found if head == pattern else found & line.rlike("(?i)" + pattern)
+
+    return let(F.lower(line), lambda low: F.coalesce(*[F.when(test(low, p), F.lit(i)) for i, p in enumerate(patterns, 1)]))
+
+
 def signature_priority(line: Column) -> Column:
     """Place of the first signature, in list order, that the line matches; null if none."""
-    return F.coalesce(*[F.when(line.rlike("(?i)" + p), F.lit(i)) for i, (p, _, _) in enumerate(R.LOG_SIGNATURES, 1)])
+    return _first_match(line, [s[0] for s in R.LOG_SIGNATURES])
 
 
 def _pick(priority: Column, place: int) -> Column:
@@ -85,7 +102,7 @@ def log_context(lines: DataFrame, matches: DataFrame, around: int = 2, limit: in
 
 def indicator_priority(line: Column) -> Column:
     """Place of the first error indicator in the line; upper and lower case are alike."""
-    return F.coalesce(*[F.when(line.rlike("(?i)" + p), F.lit(i)) for i, p in enumerate(R.GENERIC_INDICATORS, 1)])
+    return _first_match(line, R.GENERIC_INDICATORS)
 
 
 def generic_errors(lines: DataFrame, matches: DataFrame, limit: int = 5) -> DataFrame:

@@ -30,7 +30,7 @@ SELECT doc_id || '_chunk_' || chunk_index AS key, doc_id::VARCHAR AS doc_id, chu
 def _(t):
     docs = _streams(t).documents
     path, state = scratch_path(t.spark, "ingest"), scratch_path(t.spark, "ingest-state")
-    J.stream_ingest(docs, path, state).awaitTermination()
+    J.stream_ingest(docs, path, state, tasks=t.spark.sparkContext.defaultParallelism).awaitTermination()
     return t.spark.read.parquet(path).select(
         "key", "doc_id", "chunk_index", "chunk_type", "content", "heading", "importance_score", "context_summary", F.size("embedding").alias("dimension"))
 

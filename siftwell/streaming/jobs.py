@@ -94,8 +94,10 @@ def ingest_chunks(documents: DataFrame, dim: int = 64, created_at: Column | None
     return S.vector_rows(described.withColumn("created_at", stamp))
 
 
-def stream_ingest(documents: DataFrame, path: str, checkpoint: str, dim: int = 64, interval: str | None = None) -> StreamingQuery:
-    rows = ingest_chunks(documents, dim)
+def stream_ingest(documents: DataFrame, path: str, checkpoint: str, dim: int = 64, interval: str | None = None,
+                  tasks: int | None = None) -> StreamingQuery:
+    """Ingest documents as they arrive. ``tasks`` deals a micro-batch out where its files are too few to fill the cores."""
+    rows = ingest_chunks(documents.repartition(tasks) if tasks else documents, dim)
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(S.VECTOR_BUCKETS)).cast("int")
     return start(rows.withColumn("bucket", bucket), checkpoint, batch_writer(path, "bucket"), interval=interval)
 
