@@ -156,10 +156,12 @@ def _(t):
     return X.form_metadata(X.key_value_pairs(_forms(t)), answers)
 
 
-CELL_SQL = """cells AS (
+# Block ids come from these four columns, so lines that agree in them are one line.
+CELL_SQL = """lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL),
+cells AS (
   SELECT doc_id, r, c, arg_max(cell, pos) AS cell FROM (
-    SELECT l_orderkey AS doc_id, l_linenumber AS r, 1 AS c, l_returnflag AS cell, l_partkey * 100000 + l_suppkey AS pos FROM lineitem
-    UNION ALL SELECT l_orderkey, l_linenumber, 3, l_linestatus || ' line', l_partkey * 100000 + l_suppkey FROM lineitem WHERE l_returnflag <> 'R') GROUP BY ALL)"""
+    SELECT l_orderkey AS doc_id, l_linenumber AS r, 1 AS c, l_returnflag AS cell, l_partkey * 100000 + l_suppkey AS pos FROM lines
+    UNION ALL SELECT l_orderkey, l_linenumber, 3, l_linestatus || ' line', l_partkey * 100000 + l_suppkey FROM lines WHERE l_returnflag <> 'R') GROUP BY ALL)"""
 
 
 @query("table_grid", sql=f"""
@@ -173,7 +175,9 @@ txt AS (SELECT rws.doc_id, rws.r, row_count, column_count, coalesce(string_agg(c
 SELECT doc_id, 't' AS table_id, row_count::INT AS row_count, column_count::INT AS column_count, true AS within_limits, string_agg(line, '/' ORDER BY r) AS grid
 FROM txt GROUP BY doc_id, row_count, column_count""")
 def _(t):
-    base = t.lineitem.withColumn("uid", F.concat_ws("_", "l_linenumber", "l_partkey", "l_suppkey"))
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(
+        F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
+    base = lines.withColumn("uid", F.concat_ws("_", "l_linenumber", "l_partkey", "l_suppkey"))
     doc, pos = F.col("l_orderkey"), F.col("l_partkey") * 100000 + F.col("l_suppkey")
     tables = _blocks(t.lineitem.select("l_orderkey").distinct(), doc_id=doc, id=F.lit("t"), pos=F.lit(0), block_type=F.lit("TABLE"))
     first = _blocks(base, doc_id=doc, id=F.concat(F.lit("a"), F.col("uid")), pos=pos, block_type=F.lit("CELL"), text=F.col("l_returnflag"),
@@ -185,8 +189,8 @@ def _(t):
     words = _blocks(kept, doc_id=doc, id=w1, pos=pos, block_type=F.lit("WORD"), text=F.col("l_linestatus")).unionByName(
         _blocks(kept, doc_id=doc, id=w2, pos=pos, block_type=F.lit("WORD"), text=F.lit("line")))
     grid = X.table_grid(tables.unionByName(first).unionByName(third).unionByName(words))
-    lines = F.transform("grid", lambda r: F.array_join(r, "|"))
-    return grid.withColumn("grid", F.array_join(lines, "/"))
+    joined = F.transform("grid", lambda r: F.array_join(r, "|"))
+    return grid.withColumn("grid", F.array_join(joined, "/"))
 
 
 # The SQL leaves out the two rules that look ahead; both engines run the other twelve.
