@@ -4,13 +4,17 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from siftwell.plans import load
+from siftwell.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 WITHOUT_SQL = {"strip_markup_rules", "chunk_chars", "build_cells", "ivf_search", "lsh_search"}
 
 
 def test_every_query_has_sql_but_the_listed_ones():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    load()
+    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", ["knn_topk", "chunk_greedy", "ttl_reuse", "metric_batches", "stream_metric_windows"])
