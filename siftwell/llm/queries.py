@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, quality, rank_merge, sharding, token_orc
+from . import chat, html_lines, quality, rank_merge, sharding, simhash, token_orc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,16 @@ def line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).drop("clean_text")
 
 
+@query("op3_line_blocks")
+def line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return html_lines.main_text(table(spark, folder, "pages"))
+
+
+@query("op4_simhash_components")
+def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op5_interleaved_shards", sharding.SQL)
 def interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.interleave(table(spark, folder, "documents"))
