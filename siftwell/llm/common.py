@@ -29,6 +29,11 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def hold(df: DataFrame, name: str) -> DataFrame:
+    """Keeps an expensive column from being computed again by a filter on it, which would be pushed below its projection."""
+    return df.withColumn(name, F.explode(F.array(name)))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that the frame does not have yet, whatever the case of its own names."""
     taken = {c.lower() for c in df.columns}

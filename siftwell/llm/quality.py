@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, free_name, split_words
+from .common import WHITE, free_name, hold, split_words
 
 SYMBOLS = "#*$%&|<>"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -124,7 +124,7 @@ def clean(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     whole, verdict = free_name(docs, "__row"), free_name(docs, "__verdict")
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(whole), F.col(text).alias(verdict))
-    judged = judge(rows, whole, verdict, rules).filter("kept")
+    judged = hold(judge(rows, whole, verdict, rules), "kept").filter("kept")
     out = []
     for c in names:
         value = F.col(whole)[c]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, html_lines, quality, rank_merge, sharding, simhash, token_orc
+from . import chat, cotrain, decontaminate, html_lines, packing, quality, rank_merge, sharding, simhash, token_orc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_benchmark_copies", decontaminate.SQL)
+def benchmark_copies(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("distance")
+
+
 @query("op2_line_quality", quality.SQL)
 def line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).drop("clean_text")
@@ -49,6 +55,12 @@ def interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query("op6_co_training")
+def co_training(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return cotrain.score(docs, cotrain.train(docs, table(spark, folder, "labels")))
+
+
 @query("op7_chat_segments", chat.SQL)
 def chat_segments(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -64,6 +76,12 @@ def token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_orc.digests(token_orc.read_ids(spark, to))
 
 
+@query("op9_best_fit")
+def best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = packing.with_sizes(table(spark, folder, "documents"))
+    return packing.best_fit(simhash.settled(sizes, "sizes"))
+
+
 @query("op10_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rank_merge.token_counts(table(spark, folder, "documents"), VOCABULARY)
