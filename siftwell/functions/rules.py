@@ -73,7 +73,6 @@ EMBED_TEXT_CHARS = 3000
 
 # --- search ------------------------------------------------------------------
 # Fixed values.
-KNN_LIMIT = 100
 BOOSTED_TYPES = ["dialogue", "question", "narrative_opening"]
 SINGLE_STAGE_THRESHOLD = 0.45
 BM25_K1, BM25_B = 1.5, 0.75
@@ -180,17 +179,17 @@ RETENTION_DAYS = 90
 # --- logs --------------------------------------------------------------------
 # Error type, status code, message for the user.
 ERROR_DIMENSION = [
-    ("validation_error", 400, "Please check your input and try again."),
-    ("authentication_error", 401, "Authentication failed. Please check your credentials."),
-    ("authorization_error", 403, "You don't have permission to perform this action."),
-    ("rate_limit_error", 429, "Too many requests. Please wait a moment and try again."),
-    ("database_error", 500, "We're experiencing technical difficulties. Please try again later."),
-    ("bedrock_error", 502, "AI service is temporarily unavailable. Please try again later."),
-    ("websocket_error", 500, "Connection error occurred. Please refresh and try again."),
-    ("external_service_error", 502, "External service is temporarily unavailable. Please try again later."),
-    ("configuration_error", 500, "Service configuration error. Please contact support."),
-    ("signing_error", 500, "Request authentication failed. Please try again."),
-    ("internal_server_error", 500, "An unexpected error occurred. Please try again later."),
+    ("VALIDATION_ERROR", 400, "Please check your input and try again."),
+    ("AUTHENTICATION_ERROR", 401, "Authentication failed. Please check your credentials."),
+    ("AUTHORIZATION_ERROR", 403, "You don't have permission to perform this action."),
+    ("RATE_LIMIT_ERROR", 429, "Too many requests. Please wait a moment and try again."),
+    ("DATABASE_ERROR", 500, "We're experiencing technical difficulties. Please try again later."),
+    ("BEDROCK_ERROR", 502, "AI service is temporarily unavailable. Please try again later."),
+    ("WEBSOCKET_ERROR", 500, "Connection error occurred. Please refresh and try again."),
+    ("EXTERNAL_SERVICE_ERROR", 502, "External service is temporarily unavailable. Please try again later."),
+    ("CONFIGURATION_ERROR", 500, "Service configuration error. Please contact support."),
+    ("SIGNING_ERROR", 500, "Request authentication failed. Please try again."),
+    ("INTERNAL_SERVER_ERROR", 500, "An unexpected error occurred. Please try again later."),
 ]
 DEFAULT_STATUS = 500
 DEFAULT_ERROR_MESSAGE = "An unexpected error occurred. Please try again later."

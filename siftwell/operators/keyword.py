@@ -82,10 +82,10 @@ def weights(semantic: float, keyword: float) -> tuple[float, float]:
     return (semantic / total, keyword / total) if total > 0 else (R.SEMANTIC_WEIGHT, R.KEYWORD_WEIGHT)
 
 
-def hybrid_pool(limit: Column | int) -> Column:
-    """How many candidates a hybrid search reads for a wanted number of results."""
+def hybrid_pool(limit: Column | int, pool: int = R.HYBRID_POOL) -> Column:
+    """How many candidates a hybrid search reads for a wanted number of results: three times it, ``pool`` at most, but never fewer than it."""
     limit = limit if isinstance(limit, Column) else F.lit(limit)
-    return F.least(limit * R.HYBRID_EXPANSION, F.lit(R.HYBRID_POOL))
+    return F.greatest(limit, F.least(limit * R.HYBRID_EXPANSION, F.lit(pool)))
 
 
 def hybrid_scores(hits: DataFrame, semantic: float = R.SEMANTIC_WEIGHT, keyword: float = R.KEYWORD_WEIGHT,

@@ -15,15 +15,15 @@ def classify_error(name: Column, message: Column) -> Column:
     low = F.lower(message)
     signing = contains_any(low, ["signature", "signing", "sigv4"])
     return (
-        F.when(contains_any(name, ["DatabaseError", "OperationalError", "IntegrityError"]), "database_error")
-        .when(contains_any(name, ["ClientError", "BotoCoreError", "NoCredentialsError"]), "bedrock_error")
-        .when(contains_any(low, ["validation", "invalid"]), "validation_error")
-        .when(contains_any(low, ["throttl", "rate limit", "too many requests"]), "rate_limit_error")
+        F.when(contains_any(name, ["DatabaseError", "OperationalError", "IntegrityError"]), "DATABASE_ERROR")
+        .when(contains_any(name, ["ClientError", "BotoCoreError", "NoCredentialsError"]), "BEDROCK_ERROR")
+        .when(contains_any(low, ["validation", "invalid"]), "VALIDATION_ERROR")
+        .when(contains_any(low, ["throttl", "rate limit", "too many requests"]), "RATE_LIMIT_ERROR")
         .when(
             contains_any(low, ["unauthorized", "forbidden", "access denied", "signature", "credential"]),
-            F.when(signing, "signing_error").otherwise("authorization_error"),
+            F.when(signing, "SIGNING_ERROR").otherwise("AUTHORIZATION_ERROR"),
         )
-        .otherwise("internal_server_error")
+        .otherwise("INTERNAL_SERVER_ERROR")
     )
 
 

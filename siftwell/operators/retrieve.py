@@ -76,15 +76,23 @@ PLAN = ["query_id", "query_type", "has_entities", "category", "stage1_threshold"
         "fallback_threshold", "base_final"]
 
 
-def stage1_candidates(vectors: DataFrame, plan: DataFrame, use_hybrid: bool = True) -> DataFrame:
+def most_candidates(target: int) -> int:
+    """The largest stage1_limit that a plan for ``target`` results can hold."""
+    return target * max(3, *(p[2] for p in R.STAGE_PLAN.values()))
+
+
+def stage1_candidates(vectors: DataFrame, plan: DataFrame, use_hybrid: bool = True, target: int = 3,
+                      pool: int = R.HYBRID_POOL) -> DataFrame:
     """Scored candidates per query, with per-query limit and threshold.
 
     One search serves all queries with the largest pool and the lowest threshold;
-    both are cut back per query after it, on short lists.
+    both are cut back per query after it, on short lists. ``target`` is that of
+    the plan; ``pool`` bounds what a hybrid search reads beyond a query's limit.
     """
-    pool = K.hybrid_pool(F.col("stage1_limit")) if use_hybrid else F.col("stage1_limit")
-    near = V.knn_topk(vectors, plan, R.HYBRID_POOL if use_hybrid else R.KNN_LIMIT, min_score=0.15)
-    near = near.join(plan.select(*PLAN), "query_id").filter(F.col("rank") <= pool).drop("rank", "distance")
+    most = most_candidates(target)
+    wanted = K.hybrid_pool(F.col("stage1_limit"), pool) if use_hybrid else F.col("stage1_limit")
+    near = V.knn_topk(vectors, plan, max(most, pool) if use_hybrid else most, min_score=0.15)
+    near = near.join(plan.select(*PLAN), "query_id").filter(F.col("rank") <= wanted).drop("rank", "distance")
     cut = fallback_threshold(near)
     hits = V.attach_metadata(cut, vectors).join(plan.select("query_id", "query_text"), "query_id")
     score = V.search_score(*[F.col(c) for c in ("similarity", "importance_score", "chunk_type", "key_entities", "topics")])
@@ -141,14 +149,23 @@ def final_results(ranked: DataFrame, target: int = 3) -> DataFrame:
 
 
 def retrieve(vectors: DataFrame, queries: DataFrame, target: int = 3, multi_stage: bool = True, use_hybrid: bool = True,
-             threshold: float = R.SINGLE_STAGE_THRESHOLD) -> DataFrame:
-    """Results per query. A query without text, or ``multi_stage=False``, takes the single stage."""
+             threshold: float = R.SINGLE_STAGE_THRESHOLD, pool: int = R.HYBRID_POOL) -> DataFrame:
+    """Results per query. A query without text, or ``multi_stage=False``, takes the single stage.
+
+    Queries with and without text may stand in one batch: the stages run on either
+    part, and columns that the single stage does not have are null.
+    """
     if not multi_stage:
         return V.similarity_search(vectors, queries, target, threshold)
-    plan = stage1_plan(analyze_query(queries), target)
-    ranked = final_threshold(rerank(stage1_candidates(vectors, plan, use_hybrid)))
-    return (
+    has_text = F.coalesce(F.trim(F.col("query_text")) != "", F.lit(False))
+    plan = stage1_plan(analyze_query(queries.filter(has_text)), target)
+    ranked = final_threshold(rerank(stage1_candidates(vectors, plan, use_hybrid, target, pool)))
+    staged = (
         final_results(ranked, target)
         .withColumn("retrieval_stage", F.lit("multi_stage"))
         .withColumn("search_method", F.lit("hybrid" if use_hybrid else "semantic"))
     )
+    bare = V.similarity_search(vectors, queries.filter(~has_text), target, threshold)
+    single = bare.drop("distance").withColumns(
+        {"final_rank": F.col("rank"), "retrieval_stage": F.lit("single_stage"), "search_method": F.lit("semantic")})
+    return staged.unionByName(single, allowMissingColumns=True)

@@ -49,7 +49,7 @@ class _Best:
         self.k, self.metric, self.min_score, self.unit, self.digits = k, metric, min_score, unit, digits
         self.floor = np.full(n_queries, -np.inf)
         self.rows: list[tuple] = []
-        self.held = 0
+        self.held, self.trigger = 0, TILE_CELLS
 
     def add(self, queries, exclude, block, keys, weight, group):
         step = max(1, TILE_CELLS // max(1, len(queries)))
@@ -72,8 +72,9 @@ class _Best:
                 part = np.asarray(group[cut])[v] if group is not None else np.zeros(len(q), dtype=np.int8)
                 self.rows.append((q, keys[cut][v], score[q, v], rank[q, v], part))
                 self.held += len(q)
-            if self.held > TILE_CELLS:
+            if self.held > self.trigger:
                 self.shrink()
+                self.trigger = max(TILE_CELLS, 2 * self.held)
 
     def shrink(self):
         if not self.rows:
@@ -211,8 +212,8 @@ def _meet(left, right, on, out, arrow_schema, k, metric, min_score, unit_scale,
 
 
 def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", min_score: float = -math.inf) -> DataFrame:
-    """Exact nearest keys per query, 100 at most: query_id, key, similarity, distance, rank."""
-    best = top_scores(vectors, queries, min(k, R.KNN_LIMIT), metric, min_score)
+    """Exact nearest keys per query: query_id, key, similarity, distance, rank (k rows, or all there are)."""
+    best = top_scores(vectors, queries, k, metric, min_score)
     distance = -F.col("similarity") if metric == "EUCLIDEAN" else 1.0 - F.col("similarity")
     return best.select("query_id", "key", "similarity", distance.alias("distance"), "rank")
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.vectors import cosine01, metric_score, similarity_from_distance
 from ..operators import vector as V
+from ..session import scratch_path
+from ..sources import corpus as C
 from . import shared, sqltext as S
 from .registry import query
 
@@ -95,6 +97,20 @@ def _(t):
     return hits.select("query_id", "key", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
 
 
+@query("search_stored_vectors", sql=f"""
+{WITH}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, key::VARCHAR || '_chunk_0') AS near_rank FROM pairs),
+cut AS (SELECT n.query_id, n.key || '_chunk_0' AS key, n.similarity, round(n.similarity * v.importance_score * {BOOST}, 9) AS score FROM near n JOIN vectors v USING (key) WHERE near_rank <= 10 AND similarity >= 0.2)
+SELECT query_id, key, round(similarity, 6) AS similarity, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key))::INT AS rank FROM cut""")
+def _(t):
+    """Described, stored, the even documents ingested again, then searched from the stored table."""
+    path, rows = scratch_path(t.spark, "vectors"), shared.described_vectors(t)
+    C.write_vectors(rows, path)
+    C.put_vectors(rows.filter(F.col("doc_id") % 2 == 0), path)
+    asked = shared.query_set(t).withColumn("exclude_key", F.concat(F.col("exclude_key").cast("string"), F.lit("_chunk_0")))
+    hits = V.similarity_search(t.spark.read.parquet(path), asked, 10, 0.2)
+    return hits.select("query_id", "key", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("full_scan_search", sql=f"""
 {WITH}, s AS (SELECT query_id, key, round((similarity + 1) / 2, 9) AS sim, importance_score FROM pairs),
 w AS (SELECT *, round(sim * importance_score, 9) AS score FROM s WHERE sim >= 0.6),

@@ -74,16 +74,48 @@ def _(t):
 @query("write_vectors", sql=f"""
 WITH {shared.VECTORS}
 SELECT doc_id || '_chunk_0' AS key, doc_id::VARCHAR AS doc_id, chunk_type, substr(content, 1, 500) AS content, substr(heading, 1, 100) AS heading,
-       substr('[' || coalesce(array_to_string(list_transform(key_entities, lambda e: '"' || replace(replace(replace(e, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"'), ', '), '') || ']', 1, 200) AS key_entities,
-       substr('[' || coalesce(array_to_string(list_transform(topics, lambda e: '"' || e || '"'), ', '), '') || ']', 1, 100) AS topics,
+       array_to_string(list_filter(key_entities, lambda e, i: list_sum(list_transform(list_slice(key_entities, 1, i), lambda x: length(x) + length(regexp_replace(x, '[^"' || chr(92) || chr(92) || chr(10) || ']', '', 'g')) + 4)) <= 200), '|') AS key_entities,
+       array_to_string(list_filter(topics, lambda e, i: list_sum(list_transform(list_slice(topics, 1, i), lambda x: length(x) + 4)) <= 100), '|') AS topics,
        importance_score, substr(context_summary, 1, 200) AS context_summary, len(embedding)::INT AS dimension
 FROM vectors""")
 def _(t):
     path = scratch_path(t.spark, "vectors")
     C.write_vectors(shared.described_vectors(t), path)
     return t.spark.read.parquet(path).select(
-        "key", "doc_id", "chunk_type", "content", "heading", "key_entities", "topics", "importance_score", "context_summary",
-        F.size("embedding").alias("dimension"))
+        "key", "doc_id", "chunk_type", "content", "heading", F.array_join("key_entities", "|").alias("key_entities"),
+        F.array_join("topics", "|").alias("topics"), "importance_score", "context_summary", F.size("embedding").alias("dimension"))
+
+
+@query("rejected_documents", sql="""
+WITH f AS (SELECT doc_id % 5 = 0 AS other, doc_id % 200 AS part, sum(strlen(replace(text, chr(10), ' ')) + 1)::BIGINT AS bytes, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY ALL),
+r AS (SELECT CASE WHEN other THEN 'unsupported_type' WHEN bytes > 20000 THEN 'file_too_large' WHEN chars > 10000 THEN 'text_too_long' END AS reject_reason, bytes FROM f)
+SELECT reject_reason, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM r WHERE reject_reason IS NOT NULL GROUP BY ALL""")
+def _(t):
+    """Documents as 200 text files, the files of one in five documents under a type that is not read."""
+    path = scratch_path(t.spark, "files")
+    lines = t.documents.select(F.regexp_replace("text", "\n", " ").alias("text"), (F.col("doc_id") % 200).alias("part"))
+    for ext, wanted in (("txt", F.col("part") % 5 > 0), ("csv", F.col("part") % 5 == 0)):
+        rows = lines.filter(wanted).repartition("part")
+        if ext == "txt":
+            rows.write.partitionBy("part").text(f"{path}/{ext}")
+        else:
+            rows.write.partitionBy("part").option("quote", "").option("escape", "").option("sep", "\u0001").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{ext}")
+    rejected = C.rejected_files(t.spark, path, ["txt"], 20000, 10000)
+    return rejected.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("bigint").alias("bytes"))
+
+
+@query("put_vectors", sql=f"""
+WITH {shared.VECTORS}
+SELECT doc_id || '_chunk_0' AS key, doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'again: ' || substr(content, 1, 493) ELSE substr(content, 1, 500) END AS content
+FROM vectors WHERE doc_id % 7 > 0 OR doc_id % 2 = 0""")
+def _(t):
+    """Ingested whole; then the even documents again with another text, and every seventh odd one deleted."""
+    path, rows = scratch_path(t.spark, "vectors"), shared.described_vectors(t)
+    C.write_vectors(rows, path)
+    even = F.col("doc_id") % 2 == 0
+    gone = rows.filter(~even & (F.col("doc_id") % 7 == 0)).select("doc_id")
+    C.put_vectors(rows.filter(even).withColumn("content", F.concat(F.lit("again: "), "content")), path, gone=gone)
+    return t.spark.read.parquet(path).select("key", "doc_id", "content")
 
 
 @query("write_doc_status", sql="""

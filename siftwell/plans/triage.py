@@ -19,10 +19,10 @@ def _errors(t):
     return t.events.withColumn("k", shared.props_k()).select("event_id", F.expr(ERRORS_CASES[0]).alias("name"), F.expr(ERRORS_CASES[1]).alias("message"))
 
 
-CLASSIFY = f"""CASE WHEN {S.either('name', ['DatabaseError', 'OperationalError', 'IntegrityError'])} THEN 'database_error' WHEN {S.either('name', ['ClientError', 'BotoCoreError', 'NoCredentialsError'])} THEN 'bedrock_error'
-  WHEN {S.either('lower(message)', ['validation', 'invalid'])} THEN 'validation_error' WHEN {S.either('lower(message)', ['throttl', 'rate limit', 'too many requests'])} THEN 'rate_limit_error'
-  WHEN {S.either('lower(message)', ['unauthorized', 'forbidden', 'access denied', 'signature', 'credential'])} THEN CASE WHEN {S.either('lower(message)', ['signature', 'signing', 'sigv4'])} THEN 'signing_error' ELSE 'authorization_error' END
-  ELSE 'internal_server_error' END"""
+CLASSIFY = f"""CASE WHEN {S.either('name', ['DatabaseError', 'OperationalError', 'IntegrityError'])} THEN 'DATABASE_ERROR' WHEN {S.either('name', ['ClientError', 'BotoCoreError', 'NoCredentialsError'])} THEN 'BEDROCK_ERROR'
+  WHEN {S.either('lower(message)', ['validation', 'invalid'])} THEN 'VALIDATION_ERROR' WHEN {S.either('lower(message)', ['throttl', 'rate limit', 'too many requests'])} THEN 'RATE_LIMIT_ERROR'
+  WHEN {S.either('lower(message)', ['unauthorized', 'forbidden', 'access denied', 'signature', 'credential'])} THEN CASE WHEN {S.either('lower(message)', ['signature', 'signing', 'sigv4'])} THEN 'SIGNING_ERROR' ELSE 'AUTHORIZATION_ERROR' END
+  ELSE 'INTERNAL_SERVER_ERROR' END"""
 
 
 @query("classify_error", sql=f"WITH {ERRORS} SELECT event_id, {CLASSIFY} AS error_type FROM errs")
@@ -30,8 +30,21 @@ def _(t):
     return _errors(t).select("event_id", L.classify_error(F.col("name"), F.col("message")).alias("error_type"))
 
 
-STATUS = " ".join(f"WHEN '{t}' THEN {c}" for t, c, _ in R.ERROR_DIMENSION)
-FRIENDLY = " ".join("WHEN '{}' THEN '{}'".format(t, m.replace("'", "''")) for t, _, m in R.ERROR_DIMENSION)
+# Written out here, so that a wrong constant in the library shows.
+STATUS = """WHEN 'VALIDATION_ERROR' THEN 400 WHEN 'AUTHENTICATION_ERROR' THEN 401 WHEN 'AUTHORIZATION_ERROR' THEN 403 WHEN 'RATE_LIMIT_ERROR' THEN 429
+  WHEN 'DATABASE_ERROR' THEN 500 WHEN 'BEDROCK_ERROR' THEN 502 WHEN 'WEBSOCKET_ERROR' THEN 500 WHEN 'EXTERNAL_SERVICE_ERROR' THEN 502
+  WHEN 'CONFIGURATION_ERROR' THEN 500 WHEN 'SIGNING_ERROR' THEN 500 WHEN 'INTERNAL_SERVER_ERROR' THEN 500"""
+FRIENDLY = """WHEN 'VALIDATION_ERROR' THEN 'Please check your input and try again.'
+  WHEN 'AUTHENTICATION_ERROR' THEN 'Authentication failed. Please check your credentials.'
+  WHEN 'AUTHORIZATION_ERROR' THEN 'You don''t have permission to perform this action.'
+  WHEN 'RATE_LIMIT_ERROR' THEN 'Too many requests. Please wait a moment and try again.'
+  WHEN 'DATABASE_ERROR' THEN 'We''re experiencing technical difficulties. Please try again later.'
+  WHEN 'BEDROCK_ERROR' THEN 'AI service is temporarily unavailable. Please try again later.'
+  WHEN 'WEBSOCKET_ERROR' THEN 'Connection error occurred. Please refresh and try again.'
+  WHEN 'EXTERNAL_SERVICE_ERROR' THEN 'External service is temporarily unavailable. Please try again later.'
+  WHEN 'CONFIGURATION_ERROR' THEN 'Service configuration error. Please contact support.'
+  WHEN 'SIGNING_ERROR' THEN 'Request authentication failed. Please try again.'
+  WHEN 'INTERNAL_SERVER_ERROR' THEN 'An unexpected error occurred. Please try again later.'"""
 
 
 @query("error_dimension", sql=f"""

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions import rules as R
 from ..functions.text import strip_tags, words
 from ..functions.vectors import valid_embedding
+from ..session import scratch_path
 
 VECTOR_BUCKETS = 64
+NEIGHBOURS = ["prev_context", "next_context", "chunk_position", "total_chunks", "relative_position"]
 
 
 def extension(path: Column) -> Column:
@@ -47,7 +49,7 @@ def read_text_corpus(spark: SparkSession, path: str, exts: list[str] | None = No
     """Text files of a folder: doc_id, path, ext, size, modified, text.
 
     Sizes are checked on the file listing before any text is read, so a file over
-    the limit is never loaded; ``oversized_files`` reports those.
+    the limit is never loaded; ``rejected_files`` returns those, with their reason.
     """
     exts = exts or R.CORPUS_EXTENSIONS
     files = (
@@ -63,10 +65,19 @@ def read_text_corpus(spark: SparkSession, path: str, exts: list[str] | None = No
         F.col("value").alias("text"))
 
 
-def oversized_files(spark: SparkSession, path: str, max_bytes: int = R.MAX_FILE_BYTES) -> DataFrame:
-    """Files over the limit, from the listing alone: path, size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size")).filter(F.col("size") > max_bytes)
+def rejected_files(spark: SparkSession, path: str, exts: list[str] | None = None, max_bytes: int = R.MAX_FILE_BYTES,
+                   max_chars: int = R.MAX_TEXT_CHARS) -> DataFrame:
+    """What ``read_text_corpus`` and ``size_guard`` leave out of a folder: path, size, reject_reason.
+
+    Files over ``max_bytes`` and files of another type are known from the listing;
+    the text is read only of files that pass it.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
+    listed = files.withColumn("reject_reason", F.when(~supported_type(F.col("path"), exts or R.CORPUS_EXTENSIONS), "unsupported_type").otherwise(
+        size_reason(F.col("size"), F.lit(0), max_bytes, max_chars))).filter("reject_reason is not null")
+    read = read_text_corpus(spark, path, exts, max_bytes=max_bytes)
+    long = size_guard(read, F.col("size"), F.length("text"), max_bytes, max_chars)[1].select("path", "size", "reject_reason")
+    return listed.unionByName(long)
 
 
 def corpus_text(df: DataFrame) -> DataFrame:
@@ -82,10 +93,13 @@ def json_document_fields(df: DataFrame, text: str) -> DataFrame:
 
 
 def vector_rows(chunks: DataFrame) -> DataFrame:
-    """Rows as stored: key, cut text columns, lists as JSON, invalid embeddings left out.
+    """Rows as stored: key, cut text columns, lists as arrays, invalid embeddings left out.
 
-    Keys number chunks over the whole document.
+    Keys number chunks over the whole document. Of a list, the leading items are
+    kept whose JSON text fits the bound; an item is never cut. The neighbour
+    columns are stored where the chunks have them.
     """
+    beside = [c for c in NEIGHBOURS if c in chunks.columns]
     return chunks.filter(valid_embedding(F.col("embedding"))).select(
         F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("key"),
         F.col("doc_id").cast("string").alias("doc_id"),
@@ -94,19 +108,19 @@ def vector_rows(chunks: DataFrame) -> DataFrame:
         F.substring("content", 1, R.CONTENT_CUT).alias("content"),
         F.substring(F.coalesce("heading", F.lit("")), 1, R.HEADING_CUT).alias("heading"),
         F.coalesce("chunk_type", F.lit("paragraph")).alias("chunk_type"),
-        F.substring(_json_list(F.col("key_entities")), 1, R.ENTITIES_CUT).alias("key_entities"),
-        F.substring(_json_list(F.col("topics")), 1, R.TOPICS_CUT).alias("topics"),
+        _fitting(F.col("key_entities"), R.ENTITIES_CUT).alias("key_entities"),
+        _fitting(F.col("topics"), R.TOPICS_CUT).alias("topics"),
         F.coalesce("importance_score", F.lit(1.0)).alias("importance_score"),
         F.substring(F.coalesce("context_summary", F.lit("")), 1, R.SUMMARY_CUT).alias("context_summary"),
-        "created_at",
+        "created_at", *beside,
     )
 
 
-def _json_list(items: Column) -> Column:
-    """A string array as JSON text with ", " between items."""
-    escape = lambda s: F.replace(F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    body = F.array_join(F.transform(items, lambda s: F.concat(F.lit('"'), escape(s), F.lit('"'))), ", ")
-    return F.concat(F.lit("["), F.coalesce(body, F.lit("")), F.lit("]"))
+def _fitting(items: Column, most: int) -> Column:
+    """The leading items of a string array whose JSON text, with ", " between items, has at most ``most`` characters."""
+    escaped = lambda x: F.length(x) + F.length(F.regexp_replace(x, r'[^\\\\"\n]', ""))
+    taken = lambda i: F.aggregate(F.slice(items, F.lit(1), i + 1), F.lit(0), lambda n, x: n + escaped(x) + 4)
+    return F.coalesce(F.filter(items, lambda x, i: taken(i) <= most), F.array().cast("array<string>"))
 
 
 def write_vectors(chunks: DataFrame, path: str, mode: str = "append", rows_per_file: int = 1_000_000,
@@ -121,6 +135,41 @@ def write_vectors(chunks: DataFrame, path: str, mode: str = "append", rows_per_f
     rows.repartition("bucket", spread).write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("bucket").parquet(path)
 
 
+def put_vectors(chunks: DataFrame, path: str, buckets: int = VECTOR_BUCKETS, gone: DataFrame | None = None) -> None:
+    """Store documents by key: what the table holds of them is replaced, so ingesting a document again doubles nothing.
+
+    ``gone`` names documents (doc_id) to delete besides. Only buckets with a
+    changed document are read and rewritten; the new state of these is first
+    written to the shared folder, so a failure leaves the table as it was or can
+    be repeated.
+    """
+    spark = chunks.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(folder):
+        write_vectors(chunks, path, buckets=buckets)
+        return
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
+    fresh = scratch_path(spark, "put")
+    vector_rows(chunks).select("*", bucket).write.parquet(fresh)
+    rows = spark.read.parquet(fresh)
+    ids = rows.select("doc_id", "bucket")
+    if gone is not None:
+        ids = ids.unionByName(gone.select(F.col("doc_id").cast("string").alias("doc_id")).select("doc_id", bucket))
+    ids = ids.distinct()
+    touched = [r["bucket"] for r in ids.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+    kept = old.join(ids.select("doc_id"), "doc_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+    state = scratch_path(spark, "put-state")
+    kept.write.partitionBy("bucket").parquet(state)
+    merged = spark.read.schema(kept.schema).parquet(state)
+    emptied = [b for b in touched if b not in {r["bucket"] for r in merged.select("bucket").distinct().collect()}]
+    spread = F.pmod(F.xxhash64("key"), F.lit(8))
+    merged.repartition("bucket", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in emptied:  # a bucket without rows is not overwritten by a dynamic write
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}"), True)
+
+
 def document_status(chunks: DataFrame, status: str = "completed") -> DataFrame:
     """Per document: total_chunks, dimension, summary of the first chunk, status."""
     return chunks.groupBy("doc_id").agg(

@@ -87,19 +87,24 @@ def timed(stream: DataFrame, lateness: str) -> DataFrame:
 
 
 def ingest_chunks(documents: DataFrame, dim: int = 64, created_at: Column | None = None) -> DataFrame:
-    """Documents to stored vector rows: chunk, describe, embed, cut. Row by row, so it runs on streams."""
+    """Documents to chunks ready to store: chunk, describe, embed, and what stands beside each chunk in its document."""
     chunks = C.chunk_sentence_overlap(documents, "doc_id", "text")
-    described = D.embed(D.describe(chunks), "content", dim=dim)
+    described = C.chunk_neighbours(D.describe(chunks), "doc_id")
     stamp = created_at if created_at is not None else F.current_timestamp()
-    return S.vector_rows(described.withColumn("created_at", stamp))
+    return D.embed(described, "content", dim=dim).withColumn("created_at", stamp)
 
 
 def stream_ingest(documents: DataFrame, path: str, checkpoint: str, dim: int = 64, interval: str | None = None,
                   tasks: int | None = None) -> StreamingQuery:
-    """Ingest documents as they arrive. ``tasks`` deals a micro-batch out where its files are too few to fill the cores."""
-    rows = ingest_chunks(documents.repartition(tasks) if tasks else documents, dim)
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(S.VECTOR_BUCKETS)).cast("int")
-    return start(rows.withColumn("bucket", bucket), checkpoint, batch_writer(path, "bucket"), interval=interval)
+    """Ingest documents as they arrive; a document that comes again, or a repeated micro-batch, replaces its rows.
+
+    ``tasks`` deals a micro-batch out where its files are too few to fill the cores.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        S.put_vectors(ingest_chunks(batch.repartition(tasks) if tasks else batch, dim), path)
+
+    return start(documents, checkpoint, write, interval=interval)
 
 
 # --- W2, W3, W5, W9: windows --------------------------------------------------------------------

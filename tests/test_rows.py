@@ -106,7 +106,7 @@ def test_logs(spark):
     assert sorted(r.line_no for r in G.log_context(df, hits).collect()) == [0, 1, 2, 3, 4]
     assert [(r.file, r.excerpt) for r in G.generic_errors(df, hits).collect()] == [("b", "error: x")]
     row = one(spark, a=G.classify_error(F.lit("X"), F.lit("bad signature")), b=G.retryable_call(F.lit("ClientError"), F.lit("")), c=G.retryable_ingest(F.lit("ClientError"), F.lit("")))
-    assert (row.a, row.b, row.c) == ("signing_error", True, False)
+    assert (row.a, row.b, row.c) == ("SIGNING_ERROR", True, False)
 
 
 def test_prompt(spark):
@@ -136,7 +136,8 @@ def test_corpus_reading(spark, tmp_path):
     (tmp_path / "skip.exe").write_text("x")
     rows = {r.doc_id: r.text for r in C.corpus_text(C.read_text_corpus(spark, str(tmp_path))).collect()}
     assert rows == {"a.md": "# Title\nbody", "sub_b.html": "hi"}
-    assert [r.size for r in C.oversized_files(spark, str(tmp_path), 9).collect()] == [12]
+    rejected = C.rejected_files(spark, str(tmp_path), max_bytes=9).collect()
+    assert sorted((r.size, r.reject_reason) for r in rejected) == [(1, "unsupported_type"), (12, "file_too_large")]
     assert C.read_text_corpus(spark, str(tmp_path), max_bytes=9).count() == 1
 
 

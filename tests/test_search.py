@@ -139,3 +139,24 @@ def test_final_threshold_only_falls(spark):
     df = spark.createDataFrame(rows, "query_id int, final_rank int, rerank_score double, base_final double")
     out = Q.final_results(Q.final_threshold(df), 3)
     assert sorted((r.query_id, r.final_rank) for r in out.collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_more_than_a_hundred_neighbours(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(f"k{i}", [float(x) for x in rng.normal(size=4)]) for i in range(400)], "key string, embedding array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0, 0.0, 0.0])], "query_id string, embedding array<double>")
+    assert V.knn_topk(rows, asked, 300).count() == 300
+
+
+def test_queries_with_and_without_text_in_one_batch(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame(
+        [(f"k{i}", f"d{i}", 0, f"Alpha number {i} beta.", [float(x) for x in rng.normal(size=4)]) for i in range(50)],
+        "key string, doc_id string, chunk_index int, content string, embedding array<double>")
+    vec = [1.0, 0.2, 0.0, 0.0]
+    asked = spark.createDataFrame([(1, "What is alpha?", vec), (2, None, vec), (3, "  ", vec)], "query_id int, query_text string, embedding array<double>")
+    got = Q.retrieve(rows, asked, threshold=0.1)
+    stages = {(r.query_id, r.retrieval_stage) for r in got.collect()}
+    assert stages == {(1, "multi_stage"), (2, "single_stage"), (3, "single_stage")}
+    alone = V.similarity_search(rows, asked.filter("query_id = 2"), 3, 0.1)
+    assert sorted(r.key for r in got.filter("query_id = 2").collect()) == sorted(r.key for r in alone.collect())
