@@ -10,38 +10,61 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain, repeat
 
 import numpy as np
+import regex
 
+# Fixed value: the pattern that splits a text before the merges of a byte-level vocabulary.
+BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ODD = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?= \S)")
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter of each byte in a vocabulary file: itself where printable, else the next free letter from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in shown}
+    return letters | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+def any_of(strings: Iterable[str]) -> regex.Pattern | None:
+    """Pattern of the given strings, longer ones first; None if there are none."""
+    strings = sorted(strings, key=len, reverse=True)
+    return regex.compile("|".join(map(regex.escape, strings))) if strings else None
+
+
 class PieceCache(dict):
     """Piece number by piece, numbered as they come; new ones wait until ``settle``.
 
     ``solve(pieces)`` returns one array of ints per piece, end to end, with their
-    lengths. The cache is emptied between batches once it holds ``limit``
-    characters, so memory is bounded whatever the number of distinct pieces.
+    lengths. Once the cache holds ``limit`` characters it starts anew between
+    batches and keeps what it had as a second generation, from which pieces that
+    come again are taken over; so memory is bounded whatever the number of
+    distinct pieces, and frequent ones stay.
     """
 
-    def __init__(self, solve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 40_000_000):
+    def __init__(self, solve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 16_000_000):
         super().__init__()
         self.solve, self.limit = solve, limit
-        self._clear()
+        self.before: dict = {}
+        self._start()
 
-    def _clear(self) -> None:
+    def _start(self) -> None:
         self.clear()
-        self.new: list[str | tuple[str]] = []
+        self._wait()
         self.held = 0
         self.flat = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
 
+    def _wait(self) -> None:
+        self.new: list[str | tuple[str]] = []
+        self.add = self.new.append
+
     def __missing__(self, piece: str | tuple[str]) -> int:
         n = self[piece] = len(self)
-        self.new.append(piece)
-        self.held += len(piece if isinstance(piece, str) else piece[0]) + 50
+        self.add(piece)
         return n
 
     def numbers(self, text: str) -> list[int]:
@@ -53,20 +76,34 @@ class PieceCache(dict):
         return [self[p[1:] if p[0] == " " else (p,)] for p in _CUT.split(text) if p]
 
     def settle(self) -> None:
+        """Solve the pieces that wait, or take them over from the generation before."""
         if not self.new:
             return
-        pieces = [p[0] if isinstance(p, tuple) else " " + p for p in self.new]
-        flat, lengths = self.solve(pieces)
-        starts = len(self.flat) + np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        known = np.fromiter(map(self.before.get, self.new, repeat(-1)), np.int64, len(self.new))
+        pieces = [p[0] if type(p) is tuple else " " + p for p, n in zip(self.new, known.tolist()) if n < 0]
+        self.held += 50 * len(self.new) + sum(len(p[0]) if type(p) is tuple else len(p) for p in self.new)
+        flat, solved = self.solve(pieces) if pieces else (self.flat[:0], self.lengths[:0])
+        old = known[known >= 0]
+        lengths = np.empty(len(known), np.int64)
+        starts = np.empty(len(known), np.int64)
+        lengths[known < 0] = solved
+        starts[known < 0] = len(self.flat) + np.cumsum(solved) - solved
+        if len(old):
+            taken = self.past_lengths[old]
+            lengths[known >= 0] = taken
+            starts[known >= 0] = len(self.flat) + len(flat) + np.cumsum(taken) - taken
+            flat = np.concatenate((flat, ragged(self.past_flat, self.past_starts[old], taken)))
         self.flat = np.concatenate((self.flat, flat))
         self.starts = np.concatenate((self.starts, starts))
         self.lengths = np.concatenate((self.lengths, lengths))
-        self.new = []
+        self._wait()
 
     def trim(self) -> None:
         """Call between batches."""
         if self.held > self.limit:
-            self._clear()
+            self.before = dict(self)
+            self.past_flat, self.past_starts, self.past_lengths = self.flat, self.starts, self.lengths
+            self._start()
 
 
 def batches(texts: Iterable[str | None], size: int = 2_000_000) -> Iterable[list[str]]:
@@ -97,7 +134,7 @@ def per_text(cache: PieceCache, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     lists = [cache.numbers(t) for t in texts]
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
     cache.settle()
-    out = np.fromiter((n for each in lists for n in each), np.int64, int(counts.sum()))
+    out = np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum()))
     return out, counts
 
 

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +15,6 @@ from . import chunks
 _LOADED: dict[str, RankCounter] = {}
 
 
-def _byte_letters() -> dict[str, int]:
-    """The printable stand-in of each byte in the vocabulary file: itself where printable, else the next free letter from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in shown}
-    letters |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
-    return letters
-
-
 class RankCounter:
     """Counts tokens with the ranks of a byte-level BPE file.
 
@@ -40,9 +31,9 @@ class RankCounter:
         pre, model = spec["pre_tokenizer"], spec["model"]
         if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"] or model["type"] != "BPE":
             raise ValueError(f"{path} is not a plain byte-level BPE")
-        vocab, letters = model["vocab"], _byte_letters()
+        vocab = model["vocab"]
         self.of_byte = np.zeros(256, np.int64)
-        for letter, byte in letters.items():
+        for byte, letter in chunks.byte_letters().items():
             self.of_byte[byte] = vocab[letter]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.width = max(vocab.values()) + 1
@@ -51,9 +42,8 @@ class RankCounter:
         order = np.argsort(key, kind="stable")
         self.keys, self.rank, self.made = key[order], order.astype(np.int64), made[order]
         self.none = len(merges)
-        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = re_or_none(special)
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.special = chunks.any_of(t["content"] for t in spec["added_tokens"])
+        self.words = chunks.BYTE_LEVEL
         self.cache = chunks.PieceCache(self._solve)
 
     def _solve(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,15 +115,11 @@ class RankCounter:
 
     def count(self, texts: list[str]) -> np.ndarray:
         numbers, counts = chunks.per_text(self.cache, texts)
-        out = chunks.sums(self.cache.flat[numbers] if len(numbers) else numbers, counts)
+        out = chunks.sums(self.cache.flat[self.cache.starts[numbers]] if len(numbers) else numbers, counts)
         self.cache.trim()
         return out
 
 
-def re_or_none(strings: list[str]):
-    return regex.compile("|".join(map(regex.escape, strings))) if strings else None
-
-
 def _counter(path: str) -> RankCounter:
     if path not in _LOADED:
         _LOADED[path] = RankCounter(path)
