@@ -21,6 +21,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fold_out(items: Column | str, zero: dict[str, Column], fields: tuple[str, str], step: Callable[[Column, Column], Column],
+             finish: Callable[[Column], Column]) -> Column:
+    """A fold over an array that puts out pairs of integers, called ``fields``, on its way.
+
+    ``step`` gets the state (the fields of ``zero`` and an empty array ``done``)
+    and the next item, and returns the state with the pairs it puts out in
+    ``done``; ``finish`` gets the last state with all pairs put out. The engine
+    copies a fold's state with every step, an array item by item; the pairs are
+    kept as one string meanwhile, whose copy costs next to nothing.
+    """
+    x, y = fields
+    empty = F.array().cast(f"array<struct<{x}:int,{y}:int>>")
+
+    def state(a, done):
+        return F.struct(*[a[name].alias(name) for name in zero], done.alias("done"))
+
+    def written(acc):
+        new = F.transform(acc["now"]["done"], lambda p: F.concat_ws(":", p[x].cast("string"), p[y].cast("string")))
+        return F.when(F.size(new) == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array_join(new, ";"), F.lit(";")))
+
+    def pairs(text):
+        parts = F.filter(F.split(text, ";"), lambda p: p != "")
+        number = lambda p, i: F.substring_index(p, ":", i).cast("int")
+        return F.transform(parts, lambda p: F.struct(number(p, 1).alias(x), number(p, -1).alias(y)))
+
+    return F.aggregate(
+        items,
+        F.struct(F.lit("").alias("out"), state(zero, empty).alias("now")),
+        lambda acc, item: F.struct(written(acc).alias("out"), step(state(acc["now"], empty), item).alias("now")),
+        lambda acc: let(let(written(acc), lambda out: state(acc["now"], pairs(out))), finish),
+    )
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(R.WS_CHARS))
 

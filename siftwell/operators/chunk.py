@@ -1,9 +1,9 @@
 """Chunkers: one size-guarded document to many chunk rows, parallel by row.
 
 Each chunker is a fold over the document's sentences. The fold keeps sentence
-counts and lengths, not text; a chunk's text is joined from its slice of the
-sentence array at the end, so the work grows with the document's length and not
-with its square. There is no shuffle.
+counts and lengths, not text, and puts its chunks out as it goes (``fold_out``);
+a chunk's text is joined from its slice of the sentence array at the end. So the
+work grows with the document's length. There is no shuffle.
 """
 
 from __future__ import annotations
@@ -12,14 +12,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
 from ..functions.text import (
-    any_of, contains_any, let, sentences, starts_with_any, strip, word_count,
+    any_of, contains_any, fold_out, let, sentences, starts_with_any, strip, word_count,
 )
 
-SPANS = "array<struct<first:int,n:int>>"
-
-
-def _spans() -> Column:
-    return F.array().cast(SPANS)
+SPAN = ("first", "n")
 
 
 def _with(done: Column, first: Column, n: Column) -> Column:
@@ -73,27 +69,31 @@ def chunk_profile(text: Column, max_size: int = R.MAX_CHARS, overlap: int = R.OV
 
 def chunk_greedy(df: DataFrame, key: str, text: str, max_size: int = R.GREEDY_MAX, overlap: int = R.GREEDY_OVERLAP) -> DataFrame:
     """Pack sentences up to a size; the next chunk starts with the last characters of this one."""
-    span = lambda a: F.struct(a["head"].alias("head"), (a["at"] - a["own"]).alias("first"), a["own"].alias("n"))
+    span = lambda a: F.array(F.struct((a["at"] - a["own"]).alias("first"), a["own"].alias("n")))
 
-    def state(at, own, size, head, tail, done):
-        return F.struct(at.alias("at"), own.alias("own"), size.alias("size"), head.alias("head"), tail.alias("tail"), done.alias("done"))
+    def state(at, own, size, tail, done):
+        return F.struct(at.alias("at"), own.alias("own"), size.alias("size"), tail.alias("tail"), done.alias("done"))
 
-    zero = state(F.lit(1), F.lit(0), F.lit(0), F.lit(""), F.lit(""), F.array().cast("array<struct<head:string,first:int,n:int>>"))
+    zero = {"at": F.lit(1), "own": F.lit(0), "size": F.lit(0), "tail": F.lit(0)}
 
     def step(a, sentence):
         n, at = F.length(sentence), a["at"] + 1
-        tail = F.right(F.when(a["own"] > 0, F.concat(a["tail"], F.lit(" "), sentence)).otherwise(sentence), F.lit(overlap))
+        tail = F.least(F.when(a["at"] > 1, a["tail"] + 1 + n).otherwise(n), F.lit(overlap))
         return F.when(
-            (a["own"] > 0) & (a["size"] + n > max_size),
-            state(at, F.lit(1), F.length(a["tail"]) + 1 + n, a["tail"], tail, F.concat(a["done"], F.array(span(a)))),
-        ).otherwise(state(at, a["own"] + 1, a["size"] + n, a["head"], tail, a["done"]))
+            (a["own"] > 0) & (a["size"] + n > max_size), state(at, F.lit(1), a["tail"] + 1 + n, tail, span(a))
+        ).otherwise(state(at, a["own"] + 1, a["size"] + n, tail, a["done"]))
 
-    spans = F.aggregate("sents", zero, step, lambda a: F.concat(a["done"], F.array(span(a))))
+    spans = fold_out("sents", zero, SPAN, step, lambda a: F.concat(a["done"], span(a)))
     packed = df.select(key, sentences(F.col(text)).alias("sents")).filter(F.size("sents") > 0)
-    own = _joined(F.col("span"))
-    content = F.when(F.col("span.head") != "", F.concat(F.col("span.head"), F.lit(" "), own)).otherwise(own)
-    rows = packed.select(key, "sents", F.posexplode(spans).alias("chunk_index", "span"))
-    return rows.select(key, "chunk_index", strip(content).alias("content")).filter("content <> ''")
+
+    def content(span):
+        """The span after the last characters of what stands before it, which no more than ``overlap`` sentences hold."""
+        from_ = F.greatest(span["first"] - max(overlap, 1), F.lit(1))
+        head = F.right(F.array_join(F.slice("sents", from_, span["first"] - from_), " "), F.lit(overlap))
+        return strip(F.when(head != "", F.concat(head, F.lit(" "), _joined(span))).otherwise(_joined(span)))
+
+    # joined inside the row: exploded spans would carry all sentences with every chunk
+    return packed.select(key, F.posexplode(F.transform(spans, content)).alias("chunk_index", "content")).filter("content <> ''")
 
 
 def _tail(buf: Column, overlap: Column, last_only: Column | None = None, at_least_one: bool = False) -> Column:
@@ -134,7 +134,7 @@ def chunk_sentence_overlap(df: DataFrame, key: str, text: str) -> DataFrame:
         return F.struct(at.alias("at"), size.alias("size"), buf.alias("buf"), done.alias("done"))
 
     close = lambda a: _with(a["done"], a["at"] - F.size(a["buf"]), F.size(a["buf"]))
-    zero = state(F.lit(1), F.lit(0), F.array().cast("array<int>"), _spans())
+    zero = {"at": F.lit(1), "size": F.lit(0), "buf": F.array().cast("array<int>")}
 
     def step(cfg, a, n):
         carried = lambda kept: state(
@@ -144,13 +144,13 @@ def chunk_sentence_overlap(df: DataFrame, key: str, text: str) -> DataFrame:
         return F.when((F.size(a["buf"]) > 0) & (a["size"] + n > cfg["size"]), cut).otherwise(grown)
 
     # sizes are bound once per document; a bare column could be computed again for every sentence
-    spans = let(F.struct(F.col("size_limit").alias("size"), F.col("overlap").alias("lap")), lambda cfg: F.aggregate(
-        F.transform("sents", lambda s: F.length(s)), zero, lambda a, n: step(cfg, a, n), close))
+    spans = let(F.struct(F.col("size_limit").alias("size"), F.col("overlap").alias("lap")), lambda cfg: fold_out(
+        F.transform("sents", lambda s: F.length(s)), zero, SPAN, lambda a, n: step(cfg, a, n), close))
     packed = df.select(
         key, sentences(F.col(text)).alias("sents"), size_limit.alias("size_limit"), overlap.alias("overlap")
     ).filter(F.size("sents") > 0)
-    rows = packed.select(key, "sents", F.posexplode(spans).alias("chunk_index", "span"))
-    return rows.select(key, "chunk_index", strip(_joined(F.col("span"))).alias("content")).filter("content <> ''")
+    texts = F.transform(spans, lambda span: strip(_joined(span)))
+    return packed.select(key, F.posexplode(texts).alias("chunk_index", "content")).filter("content <> ''")
 
 
 # --- C5, C7, C8, C9: cues between sentences -----------------------------------------
@@ -305,19 +305,18 @@ def _semantic_spans(cfg: Column, contextual: bool, target_close: bool, strict: b
         return let(chars(a["buf"]), go)
 
     # sizes are bound once per row; a bare column could be computed again for every sentence
-    return let(cfg, lambda c: F.aggregate(
-        items, state(F.lit(1), empty, _spans()), lambda a, x: step(c, a, x), lambda a: finish(c, a)))
+    return let(cfg, lambda c: fold_out(
+        items, {"at": F.lit(1), "buf": empty}, SPAN, lambda a, x: step(c, a, x), lambda a: finish(c, a)))
 
 
 def _semantic_rows(df: DataFrame, keep: list[str]) -> DataFrame:
     """Explode the folded spans; a short last piece is appended to the chunk before it."""
     total = F.size("folded.done")
-    rows = df.select(*keep, "sents", "folded.tail", total.alias("total_chunks"),
-                     F.posexplode("folded.done").alias("chunk_index", "span"))
-    tail = F.when(
-        (F.col("chunk_index") == F.col("total_chunks") - 1) & F.col("tail").isNotNull(),
-        F.nullif(strip(_joined(F.col("tail"))), F.lit("")))
-    return rows.select(*keep, "chunk_index", "total_chunks", F.concat_ws(" ", strip(_joined(F.col("span"))), tail).alias("content"))
+    rest = F.nullif(strip(_joined(F.col("folded.tail"))), F.lit(""))
+    rows = df.select(*keep, rest.alias("tail"), total.alias("total_chunks"), F.posexplode(
+        F.transform("folded.done", lambda span: strip(_joined(span)))).alias("chunk_index", "own"))
+    tail = F.when(F.col("chunk_index") == F.col("total_chunks") - 1, F.col("tail"))
+    return rows.select(*keep, "chunk_index", "total_chunks", F.concat_ws(" ", "own", tail).alias("content"))
 
 
 def chunk_semantic(df: DataFrame, key: str, text: str, cfg: Column | None = None, strict: bool = False,
@@ -418,10 +417,7 @@ def chunk_chars(df: DataFrame, key: str, text: str, cfg: Column | None = None) -
     """
     cfg = cfg if cfg is not None else chunk_profile(F.col(text))
     clauses = F.split(text, "(?<=[.!?])")
-    cuts = "array<struct<start:int,stop:int>>"
-    zero = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(-1).alias("mark"), F.array().cast(cuts).alias("done")
-    )
+    zero = {"at": F.lit(0), "start": F.lit(0), "mark": F.lit(-1)}
     bound = let(F.col("cfg"), lambda c: _char_fold(c["target"], c["max"], c["min"], c["overlap"], zero))
     base = df.select(key, text, cfg.alias("cfg")).select(key, F.col(text).alias("joined"), "cfg", clauses.alias("clauses"))
     folded = base.select(key, "joined", bound.alias("folded"))
@@ -436,7 +432,7 @@ def chunk_chars(df: DataFrame, key: str, text: str, cfg: Column | None = None) -
     return rows.select(key, "chunk_index", content.alias("content"))
 
 
-def _char_fold(target: Column, most: Column, least: Column, lap: Column, zero: Column) -> Column:
+def _char_fold(target: Column, most: Column, least: Column, lap: Column, zero: dict[str, Column]) -> Column:
     """Fold over ``clauses`` to a struct (cuts, short rest)."""
 
     def add(done, start, stop):
@@ -501,7 +497,7 @@ def _char_fold(target: Column, most: Column, least: Column, lap: Column, zero: C
             F.when((rest > 0) & ~own, F.struct(a["start"].alias("start"), a["at"].alias("stop"))).alias("tail"),
         )
 
-    return F.aggregate("clauses", zero, step, finish)
+    return fold_out("clauses", zero, ("start", "stop"), step, finish)
 
 
 # --- C15, C16 -------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
-from ..functions.text import let, strip
+from ..functions.text import fold_out, let, strip
 
 OPEN, CLOSE = "\u0001", "\u0002"
 MD_HEADING = r"(?md)^(#{1,6})\s+([^\n]+)"
@@ -27,19 +27,17 @@ def _matches(text: Column, pattern: str) -> Column:
     """
     clean = F.translate(text, OPEN + CLOSE, "\u001a\u001a")
     pieces = F.split(F.regexp_replace(clean, pattern, OPEN + "$0" + CLOSE), f"[{OPEN}{CLOSE}]")
-    zero = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(False).alias("hit"),
-        F.array().cast("array<struct<start:int,text:string>>").alias("found"),
-    )
 
     def step(acc, piece):
-        found = F.when(
-            acc["hit"], F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), piece.alias("text"))))
-        ).otherwise(acc["found"])
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), (~acc["hit"]).alias("hit"), found.alias("found"))
+        hit = F.array(F.struct(acc["at"].alias("start"), acc["i"].alias("place")))
+        done = F.when(acc["i"] % 2 == 1, hit).otherwise(acc["done"])
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), (acc["i"] + 1).alias("i"), done.alias("done"))
+
+    def found(p):
+        places = fold_out(p, {"at": F.lit(0), "i": F.lit(0)}, ("start", "place"), step, lambda acc: acc["done"])
+        return F.transform(places, lambda x: F.struct(x["start"].alias("start"), p[x["place"]].alias("text")))
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["found"])
+    return let(pieces, found)
 
 
 def md_heading_array(text: Column) -> Column:
