@@ -42,19 +42,17 @@ def simhash(hashes: Column) -> Column:
 
     Bits 32 apart are counted in the halves of one long, so 32 sums give all counts.
     """
-    one = 0x0000000100000001
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(32)])
-    add = lambda s, h: F.struct(
-        *[(s[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(one))).alias(f"c{k}") for k in range(32)]
+    shifted = lambda x, k: F.call_function("shiftrightunsigned", x, k)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    zero = F.array_repeat(F.lit(0).cast("long"), 32)
+    add = lambda counts, h: F.transform(
+        counts, lambda c, k: c + shifted(h, k).bitwiseAND(F.lit(0x0000000100000001))
     )
 
-    def vote(s: Column) -> Column:
-        n, out = F.size(hashes), F.lit(0).cast("long")
-        for k in range(32):
-            for count, bit in ((s[f"c{k}"].bitwiseAND(F.lit(0xFFFFFFFF)), k), (F.shiftrightunsigned(s[f"c{k}"], 32), 32 + k)):
-                value = (1 << bit) - ((1 << 64) if bit == 63 else 0)
-                out = out + F.when(count * 2 > n, F.lit(value)).otherwise(F.lit(0).cast("long"))
-        return out
+    def vote(counts: Column) -> Column:
+        low = lambda c, k: F.when(c.bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.size(hashes), bit(k)).otherwise(F.lit(0).cast("long"))
+        bits = F.transform(counts, lambda c, k: low(c, k) + low(shifted(c, F.lit(32)), k + 32))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
     return F.aggregate(hashes, zero, add, vote)
 
