@@ -148,11 +148,12 @@ def _ordered_blocks(df: DataFrame, key: str, block_seconds: int) -> DataFrame:
 
 
 def metric_batches(metrics: DataFrame, size: int = R.METRIC_BATCH, key: str = "namespace", tie: str = "metric_id",
-                   block_seconds: int = 86_400) -> DataFrame:
+                   block_seconds: int = 60) -> DataFrame:
     """Add batch_no: batches of ``size`` in time order per namespace.
 
-    Rows are numbered inside (namespace, time block) and shifted by the rows of
-    the earlier blocks, so one namespace may hold most rows of the table.
+    Rows are numbered inside (namespace, minute) and shifted by the rows of the
+    earlier minutes, so one namespace may hold most rows of the table; what is
+    summed up per namespace is one count a minute, whatever the volume.
     """
     rows = _ordered_blocks(metrics, key, block_seconds)
     counts = rows.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"))
@@ -168,11 +169,11 @@ def sliding_rate(calls: DataFrame, source: str, window_seconds: int = 60, limit:
                  block_seconds: int | None = None) -> DataFrame:
     """Add recent_calls (this one and those at most ``window_seconds`` older) and blocked.
 
-    A source is cut into time blocks; rows near the end of a block are also
-    lent to the next one, so every count is exact and no block grows with a source.
+    A source is cut into blocks of one window; rows are also lent to the next
+    block, so every count is exact and a task holds two windows of a source.
     """
     span = window_seconds * SECOND
-    width = max(block_seconds or 60 * window_seconds, window_seconds) * SECOND
+    width = max(block_seconds or window_seconds, window_seconds) * SECOND
     us = micros(F.col("ts"))
     block = F.floor(us / width)
     rows = calls.withColumn("_us", us).withColumn("_home", block)
