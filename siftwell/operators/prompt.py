@@ -55,14 +55,18 @@ def trim_prompt(prompt: Column, max_tokens: int) -> Column:
 
 
 def optimize_prompt(blocks: DataFrame, queries: DataFrame, max_tokens: int = 4000) -> DataFrame:
-    """Whole prompt where it fits, else with the leading blocks that fit beside question and instruction."""
-    asked = F.floor((F.length("query_text") + len("User question: ")) / 4)
-    room = queries.select("query_id", (F.lit(max_tokens - len(R.ANSWER_RULE) // 4) - asked).alias("room"))
-    full = build_prompt(blocks, queries)
-    short = build_prompt(budget_context(blocks.join(room, "query_id"), F.col("room")), queries)
-    both = full.withColumnRenamed("prompt", "full").join(short, "query_id")
-    return both.select(
-        "query_id", F.when(estimate_tokens(F.col("full")) <= max_tokens, F.col("full")).otherwise(F.col("prompt")).alias("prompt"))
+    """The prompt with the leading blocks that fit beside question and instruction; all of them where they fit.
+
+    Introduction and separators count too, so the prompt keeps the budget. Where
+    question and instruction alone exceed it, they are cut in characters.
+    """
+    around = len(R.CONTEXT_INTRO) + len("\n\n\nUser question: \n\n") + len(R.ANSWER_RULE)
+    order = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    so_far = F.sum(F.length("block") + 2).over(order)
+    asked = queries.select("query_id", (F.length("query_text") + around).alias("_around"))
+    fitting = blocks.join(asked, "query_id").withColumn("_chars", so_far + F.col("_around")).filter(F.col("_chars") < 4 * (max_tokens + 1))
+    short = build_prompt(fitting.drop("_around", "_chars"), queries)
+    return short.select("query_id", trim_prompt(F.col("prompt"), max_tokens).alias("prompt"))
 
 
 def cache_minimum(model_id: Column) -> Column:

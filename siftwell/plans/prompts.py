@@ -40,6 +40,17 @@ def _(t):
     return P.build_prompt(_blocks(t), shared.query_set(t))
 
 
+@query("optimize_prompt", sql=f"""
+{BLOCKS}, s AS (SELECT query_id, n, block, sum(length(block) + 2) OVER (PARTITION BY query_id ORDER BY n) AS so_far FROM blocks),
+k AS (SELECT s.* FROM s JOIN questions USING (query_id) WHERE (length('{R.CONTEXT_INTRO}') + 2 + so_far + length(chr(10) || 'User question: ' || query_text || chr(10) || chr(10) || '{RULE}')) // 4 <= 600),
+j AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY n) AS body FROM k GROUP BY query_id),
+p AS (SELECT query_id, CASE WHEN body IS NOT NULL THEN '{R.CONTEXT_INTRO}' || chr(10) || chr(10) || body || chr(10) || chr(10) ELSE '' END
+  || chr(10) || 'User question: ' || query_text || chr(10) || chr(10) || '{RULE}' AS prompt FROM questions LEFT JOIN j USING (query_id))
+SELECT query_id, CASE WHEN length(prompt) // 4 <= 600 THEN prompt ELSE substr(prompt, 1, 2400) END AS prompt FROM p""")
+def _(t):
+    return P.optimize_prompt(_blocks(t), shared.query_set(t), 600)
+
+
 @query("build_prompt_plain", sql=f"""
 {retrieval.HYBRID}, j AS (SELECT query_id, string_agg(content, chr(10) || chr(10) ORDER BY final_rank) AS body FROM final GROUP BY query_id)
 SELECT query_id, coalesce(body, '') AS prompt FROM questions LEFT JOIN j USING (query_id)""")
