@@ -94,12 +94,13 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: LineR
     df = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     df = df.withColumn("__words", split_words(t))
     df = _repeat_words(df, "__words").withColumn("n_words", F.size("__words").cast("long")).drop("__words")
-    df = df.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CHAR)))
-    lines = F.col("__lines")
-    df = df.withColumn("__failed", F.filter(lines, lambda x: line_fails(x, rules)))
-    failed = F.col("__failed")
+    marked = lambda x: F.struct(x.alias("line"), F.when(x.rlike(WORD_CHAR), line_fails(x, rules)).alias("fails"))
+    marks = F.col("__marks")  # every line once; no verdict for lines without words
+    df = df.withColumn("__marks", F.transform(F.split(t, "\n"), marked))
+    chosen = lambda rule: F.transform(F.filter(marks, lambda m: rule(m["fails"])), lambda m: m["line"])
+    df = df.withColumns({"__lines": chosen(lambda x: x.isNotNull()), "__failed": chosen(lambda x: x)})
+    lines, failed, passing = F.col("__lines"), F.col("__failed"), chosen(lambda x: ~F.coalesce(x, F.lit(False)))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    passing = F.filter(F.split(t, "\n"), lambda x: ~(x.rlike(WORD_CHAR) & line_fails(x, rules)))
     df = df.select(
         F.col("__key").alias(key),
         "n_words",
