@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words
+from .common import VOCABULARY
+from .rank_merge import token_counts
 
 
 @dataclass(frozen=True)
@@ -113,6 +114,6 @@ def best_fit(
     return packed.unionByName(none).withColumnRenamed("k", key)
 
 
-def with_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and n_tokens: the words of the text and one end mark, the measure of the registered query."""
-    return docs.select(key, (F.size(split_words(F.col(text))) + 1).alias("n_tokens"))
+def with_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """Key and n_tokens: the tokens of the text by the vocabulary file ``path`` and one end id, the measure of the registered query."""
+    return token_counts(docs, path, key, text).select(key, (F.col("n_tokens") + 1).alias("n_tokens"))

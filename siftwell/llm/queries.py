@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import chat, cotrain, decontaminate, html_lines, packing, quality, rank_merge, sharding, simhash, token_orc
-from .common import table
+from .common import VOCABULARY, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
