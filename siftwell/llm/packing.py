@@ -79,8 +79,9 @@ def best_fit(
     A document longer than the longest permitted length is cut into pieces of it
     and a rest; all of it is packed. Rows are dealt by a hash of key and size to
     groups of about ``group_rows`` pieces, each packed by one task; more rows make
-    more groups, so no task grows. What a group loses is at most the room in its
-    last bins. A null or negative size counts as 0; a row of size 0 takes no room
+    more groups, so no task grows. Rows alike in key and size are counted first and
+    dealt by their number too. What a group loses is at most the room in its last
+    bins. A null or negative size counts as 0; a row of size 0 takes no room
     and is returned without a bin (group, bin, bin_length and bin_offset null).
     Rows alike in key and size are each packed. Other columns are not read.
     """
@@ -90,13 +91,19 @@ def best_fit(
     rows = docs.select(F.col(key).alias("k"), n.alias("n"))
     total = rows.agg(F.sum(F.ceil(F.col("n") / longest))).first()[0] or 0
     groups = max(1, -(-int(total) // group_rows))
-    pieces = rows.filter("n > 0").select(
-        "k", "n", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / longest) - 1).cast("int"))).alias("piece")
+    # Rows alike are numbered, not told apart, so a repeated task deals them the same way.
+    alike = rows.filter("n > 0").groupBy("k", "n").agg(F.count(F.lit(1)).alias("c"))
+    lots = F.sequence(F.lit(0).cast("long"), F.expr(f"(c - 1) div {group_rows}"))
+    alike = alike.select("k", "n", "c", F.explode(lots).alias("lot"))
+    lot_rows = F.least(F.col("c") - F.col("lot") * group_rows, F.lit(group_rows))
+    alike = alike.select("k", "n", "lot", F.explode(F.sequence(F.lit(1).cast("long"), lot_rows)).alias("copy"))
+    pieces = alike.select(
+        "k", "n", "lot", "copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / longest) - 1).cast("int"))).alias("piece")
     )
     pieces = pieces.select(
         "k", "piece", (F.col("piece").cast("long") * longest).alias("piece_start"),
         F.least(F.col("n") - F.col("piece").cast("long") * longest, F.lit(longest)).cast("long").alias("n_tokens"),
-        F.pmod(F.xxhash64("k", "n", "piece"), F.lit(groups)).alias("group"),
+        F.pmod(F.xxhash64("k", "n", "piece", "lot", "copy"), F.lit(groups)).alias("group"),
     )
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:

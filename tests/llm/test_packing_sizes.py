@@ -30,3 +30,13 @@ def test_query_fills_sequences_with_tokens(spark):
         used[r.group, r.bin, r.bin_length] += r.n_tokens
     assert total == {r.doc_id: len(encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs}
     assert all(n <= key[2] for key, n in used.items())
+
+
+def test_rows_alike_are_dealt_to_all_groups(spark):
+    """A repeated id and a null id, each far more rows than a group should hold."""
+    rows = [(7, 5)] * 600 + [(None, 5)] * 600 + [(i, 5) for i in range(100, 700)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    out = packing.best_fit(df, group_rows=100).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
+    groups = Counter(r.group for r in out)
+    assert len(groups) == 18 and max(groups.values()) < 200
