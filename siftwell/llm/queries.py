@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, cotrain, decontaminate, html_lines, packing, quality, rank_merge, sharding, simhash, token_orc
+from . import (
+    chat, cotrain, decontaminate, html_lines, importance, merkle, packing, quality, rank_merge, sharding, simhash, token_orc, topk,
+)
 from .common import VOCABULARY, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +84,18 @@ def best_fit(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rank_merge.token_counts(table(spark, folder, "documents"), VOCABULARY)
+
+
+@query("op11_merkle_manifest", merkle.SQL)
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.digests(table(spark, folder, "documents"))
+
+
+@query("op12_sorted_lists", topk.SQL)
+def sorted_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
+@query("op13_importance_draw", importance.SQL)
+def importance_draw(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
