@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import rules as R
+from ..sources.corpus import STORED, VECTOR_BUCKETS
 
 
 def delete_documents(vectors: DataFrame, ids: DataFrame) -> DataFrame:
@@ -64,19 +65,29 @@ def compaction_report(vectors: DataFrame) -> DataFrame:
 
 
 def create_vectors(spark: SparkSession, table: str, dim: int, metric: str = "COSINE", location: str | None = None) -> None:
-    """An empty vector table that records its dimension and metric."""
+    """An empty table of stored rows, neighbours included, that records its dimension and metric."""
     if metric not in ("COSINE", "EUCLIDEAN", "DOT_PRODUCT"):
         raise ValueError(f"unknown metric {metric}")
     spark.sql(
-        f"""CREATE TABLE {table} (
-            key STRING, doc_id STRING, chunk_index INT, embedding ARRAY<FLOAT>, content STRING, heading STRING,
-            chunk_type STRING, key_entities STRING, topics STRING, importance_score DOUBLE, context_summary STRING,
-            created_at TIMESTAMP, bucket INT)
+        f"""CREATE TABLE {table} ({STORED}, bucket INT)
         USING parquet PARTITIONED BY (bucket) {f"LOCATION '{location}'" if location else ""}
         TBLPROPERTIES ('vector.dimension' = '{int(dim)}', 'vector.metric' = '{metric}')"""
     )
 
 
+def insert_vectors(rows: DataFrame, table: str, buckets: int = VECTOR_BUCKETS) -> None:
+    """Append rows as ``vector_rows`` gives them; a vector of another dimension than the table's is an error."""
+    spark = rows.sparkSession
+    dim, _ = table_properties(spark, table)
+    wrong = F.raise_error(F.concat(F.lit(f"{table} takes {dim} dimensions, not "), F.size("embedding").cast("string")))
+    rows = rows.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong.cast("array<float>")))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    for c, kind in spark.table(table).dtypes:
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    rows.select(*spark.table(table).columns).write.insertInto(table)
+
+
 def table_properties(spark: SparkSession, table: str) -> tuple[int, str]:
     props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
     return int(props["vector.dimension"]), props["vector.metric"]

@@ -6,7 +6,7 @@ from ..functions import rules as R
 from ..functions.vectors import cosine01, metric_score, similarity_from_distance
 from ..operators import vector as V
 from ..session import scratch_path
-from ..sources import corpus as C
+from ..sources.store import put_vectors, read_vectors
 from . import shared, sqltext as S
 from .registry import query
 
@@ -104,10 +104,10 @@ SELECT query_id, key, round(similarity, 6) AS similarity, round(score, 6) AS sco
 def _(t):
     """Described, stored, the even documents ingested again, then searched from the stored table."""
     path, rows = scratch_path(t.spark, "vectors"), shared.described_vectors(t)
-    C.write_vectors(rows, path)
-    C.put_vectors(rows.filter(F.col("doc_id") % 2 == 0), path)
+    put_vectors(rows, path)
+    put_vectors(rows.filter(F.col("doc_id") % 2 == 0), path)
     asked = shared.query_set(t).withColumn("exclude_key", F.concat(F.col("exclude_key").cast("string"), F.lit("_chunk_0")))
-    hits = V.similarity_search(t.spark.read.parquet(path), asked, 10, 0.2)
+    hits = V.similarity_search(read_vectors(t.spark, path), asked, 10, 0.2)
     return hits.select("query_id", "key", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
 
 

@@ -7,6 +7,7 @@ from ..functions.text import strip_tags
 from ..operators.describe import hash_embedding
 from ..session import scratch_path
 from ..sources import corpus as C, events as E
+from ..sources.store import put_vectors, read_vectors
 from . import shared, sqltext as S
 from .registry import query
 
@@ -111,11 +112,11 @@ FROM vectors WHERE doc_id % 7 > 0 OR doc_id % 2 = 0""")
 def _(t):
     """Ingested whole; then the even documents again with another text, and every seventh odd one deleted."""
     path, rows = scratch_path(t.spark, "vectors"), shared.described_vectors(t)
-    C.write_vectors(rows, path)
+    put_vectors(rows, path)
     even = F.col("doc_id") % 2 == 0
     gone = rows.filter(~even & (F.col("doc_id") % 7 == 0)).select("doc_id")
-    C.put_vectors(rows.filter(even).withColumn("content", F.concat(F.lit("again: "), "content")), path, gone=gone)
-    return t.spark.read.parquet(path).select("key", "doc_id", "content")
+    put_vectors(rows.filter(even).withColumn("content", F.concat(F.lit("again: "), "content")), path, gone=gone)
+    return read_vectors(t.spark, path).select("key", "doc_id", "content")
 
 
 @query("write_doc_status", sql="""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.text import micros
 from ..operators import cost as K
 from ..session import scratch_path
+from ..sources.store import read_vectors
 from ..streaming import jobs as J
 from . import chunking, screening, shared, sqltext as S, usage
 from .registry import Tables, query
@@ -31,7 +32,7 @@ def _(t):
     docs = _streams(t).documents
     path, state = scratch_path(t.spark, "ingest"), scratch_path(t.spark, "ingest-state")
     J.stream_ingest(docs, path, state, tasks=t.spark.sparkContext.defaultParallelism).awaitTermination()
-    return t.spark.read.parquet(path).select(
+    return read_vectors(t.spark, path).select(
         "key", "doc_id", "chunk_index", "chunk_type", "content", "heading", "importance_score", "context_summary", F.size("embedding").alias("dimension"))
 
 

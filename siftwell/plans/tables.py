@@ -4,8 +4,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import micros
 from ..operators import lifecycle as D
+from ..operators.chunk import chunk_neighbours
 from ..session import scratch_path
+from ..sources.corpus import vector_rows
+from ..sources.store import VectorStore
 from . import shared
 from .registry import query
 
@@ -55,8 +59,6 @@ WITH {V}, c AS (SELECT key, doc_id, label + 100 AS label, CASE WHEN key % 2 = 0
 b AS (SELECT key, label, created_at, 0 AS fresh FROM v UNION ALL SELECT key, label, created_at, 1 FROM c)
 SELECT key, label::INT AS label, epoch_us(created_at) AS created_us FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at DESC, fresh DESC) = 1""")
 def _(t):
-    from ..functions.text import micros
-
     v = _v(t)
     shift = F.when(F.col("key") % 2 == 0, 0).when(F.col("key") % 3 == 0, -1).otherwise(1)
     changed = v.join(t.labels.select("doc_id"), "doc_id", "left_semi").select(
@@ -65,17 +67,32 @@ def _(t):
     return D.upsert_vectors(v, changed.unionByName(added)).select("key", "label", micros(F.col("created_at")).alias("created_us"))
 
 
-@query("create_and_drop_vectors", sql="SELECT 64::INT AS dimension, 'COSINE' AS metric, count(*) AS dropped FROM embeddings")
+@query("create_and_drop_vectors", sql="SELECT 64::INT AS dimension, 'COSINE' AS metric, count(*) AS dropped FROM embeddings JOIN documents ON vec_id = doc_id")
 def _(t):
-    name = f"vectors_{uuid.uuid4().hex}"
-    spark = t.spark
-    path = scratch_path(spark, "warehouse")
-    D.create_vectors(spark, name, 64, location=path)
-    rows = t.embeddings.select(
-        F.col("vec_id").cast("string").alias("key"), F.col("vec_id").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), "embedding",
-        *[F.lit("").alias(c) for c in ("content", "heading", "chunk_type", "key_entities", "topics")], F.lit(1.0).alias("importance_score"),
-        F.lit("").alias("context_summary"), shared.created_at(F.col("vec_id")).alias("created_at"), F.lit(0).alias("bucket"))
-    rows.write.insertInto(name)
+    """Stored rows with their neighbours in a named table."""
+    name, spark = f"vectors_{uuid.uuid4().hex}", t.spark
+    D.create_vectors(spark, name, 64, location=scratch_path(spark, "warehouse"))
+    D.insert_vectors(vector_rows(chunk_neighbours(shared.described_vectors(t), "doc_id")), name)
     dim, metric = D.table_properties(spark, name)
     dropped = D.drop_vectors(spark, name, force=True)
     return spark.createDataFrame([(dim, metric, dropped)], "dimension int, metric string, dropped bigint")
+
+
+@query("store_changes", sql=f"""
+WITH {shared.VECTORS}, c AS (
+  SELECT doc_id, CASE WHEN doc_id % 21 = 3 THEN 'back: ' || content WHEN doc_id % 3 = 0 THEN 'again: ' || content ELSE content END AS content,
+    CASE WHEN doc_id % 3 = 0 AND doc_id % 21 <> 3 THEN created_at + INTERVAL 1 DAY ELSE created_at END AS made, doc_id % 21 = 3 AS back FROM vectors)
+SELECT doc_id || '_chunk_0' AS key, doc_id::VARCHAR AS doc_id, substr(content, 1, 500) AS content, epoch_us(made) AS created_us, 64::INT AS dimension
+FROM c WHERE back OR (doc_id % 7 <> 3 AND made >= TIMESTAMP '2024-09-01' - INTERVAL 90 DAYS)""")
+def _(t):
+    """Stored; a third again, each document twice in the batch; some deleted, old ones expired, some of both put back; compacted."""
+    rows = shared.described_vectors(t)
+    marked = lambda mark, days: rows.withColumn("content", F.concat(F.lit(mark), "content")).withColumn("created_at", F.timestamp_add("DAY", F.lit(days), F.col("created_at")))
+    store = VectorStore.create(t.spark, scratch_path(t.spark, "store"), 64)
+    store.put(rows)
+    store.put(marked("again: ", 1).unionByName(marked("old: ", 0)).filter("doc_id % 3 = 0"))
+    store.delete(rows.filter("doc_id % 7 = 3").select("doc_id"))
+    store.expire("2024-09-01", 90)
+    store.put(marked("back: ", 0).filter("doc_id % 21 = 3"))
+    store.compact()
+    return store.read().select("key", "doc_id", "content", micros(F.col("created_at")).alias("created_us"), F.size("embedding").alias("dimension"))

@@ -7,10 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions import rules as R
 from ..functions.text import strip_tags, words
 from ..functions.vectors import valid_embedding
-from ..session import scratch_path
 
 VECTOR_BUCKETS = 64
 NEIGHBOURS = ["prev_context", "next_context", "chunk_position", "total_chunks", "relative_position"]
+# Columns of a stored row: those of ``vector_rows``, neighbours included.
+STORED = """key STRING, doc_id STRING, chunk_index INT, embedding ARRAY<FLOAT>, content STRING, heading STRING, chunk_type STRING,
+    key_entities ARRAY<STRING>, topics ARRAY<STRING>, importance_score DOUBLE, context_summary STRING, created_at TIMESTAMP,
+    prev_context STRUCT<heading: STRING, chunk_type: STRING, summary: STRING>,
+    next_context STRUCT<heading: STRING, chunk_type: STRING, summary: STRING>, chunk_position INT, total_chunks BIGINT, relative_position DOUBLE"""
 
 
 def extension(path: Column) -> Column:
@@ -135,41 +139,6 @@ def write_vectors(chunks: DataFrame, path: str, mode: str = "append", rows_per_f
     rows.repartition("bucket", spread).write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("bucket").parquet(path)
 
 
-def put_vectors(chunks: DataFrame, path: str, buckets: int = VECTOR_BUCKETS, gone: DataFrame | None = None) -> None:
-    """Store documents by key: what the table holds of them is replaced, so ingesting a document again doubles nothing.
-
-    ``gone`` names documents (doc_id) to delete besides. Only buckets with a
-    changed document are read and rewritten; the new state of these is first
-    written to the shared folder, so a failure leaves the table as it was or can
-    be repeated.
-    """
-    spark = chunks.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not files.exists(folder):
-        write_vectors(chunks, path, buckets=buckets)
-        return
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
-    fresh = scratch_path(spark, "put")
-    vector_rows(chunks).select("*", bucket).write.parquet(fresh)
-    rows = spark.read.parquet(fresh)
-    ids = rows.select("doc_id", "bucket")
-    if gone is not None:
-        ids = ids.unionByName(gone.select(F.col("doc_id").cast("string").alias("doc_id")).select("doc_id", bucket))
-    ids = ids.distinct()
-    touched = [r["bucket"] for r in ids.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-    kept = old.join(ids.select("doc_id"), "doc_id", "left_anti").unionByName(rows, allowMissingColumns=True)
-    state = scratch_path(spark, "put-state")
-    kept.write.partitionBy("bucket").parquet(state)
-    merged = spark.read.schema(kept.schema).parquet(state)
-    emptied = [b for b in touched if b not in {r["bucket"] for r in merged.select("bucket").distinct().collect()}]
-    spread = F.pmod(F.xxhash64("key"), F.lit(8))
-    merged.repartition("bucket", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for b in emptied:  # a bucket without rows is not overwritten by a dynamic write
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}"), True)
-
-
 def document_status(chunks: DataFrame, status: str = "completed") -> DataFrame:
     """Per document: total_chunks, dimension, summary of the first chunk, status."""
     return chunks.groupBy("doc_id").agg(

@@ -19,6 +19,7 @@ from ..functions.text import micros
 from ..operators import chunk as C, cost as K, describe as D, screen as G
 from ..session import scratch_path
 from ..sources import corpus as S
+from ..sources.store import put_vectors
 
 LATENESS = "10 minutes"
 MAX_FILES, MAX_BYTES = "1000", "10g"
@@ -102,7 +103,7 @@ def stream_ingest(documents: DataFrame, path: str, checkpoint: str, dim: int = 6
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        S.put_vectors(ingest_chunks(batch.repartition(tasks) if tasks else batch, dim), path)
+        put_vectors(ingest_chunks(batch.repartition(tasks) if tasks else batch, dim), path)
 
     return start(documents, checkpoint, write, interval=interval)
 
