@@ -91,10 +91,10 @@ def stage1_candidates(vectors: DataFrame, plan: DataFrame, use_hybrid: bool = Tr
     """
     most = most_candidates(target)
     wanted = K.hybrid_pool(F.col("stage1_limit"), pool) if use_hybrid else F.col("stage1_limit")
-    near = V.knn_topk(vectors, plan, max(most, pool) if use_hybrid else most, min_score=0.15)
+    near, rows = V.nearest(vectors, plan, max(most, pool) if use_hybrid else most, min_score=0.15)
     near = near.join(plan.select(*PLAN), "query_id").filter(F.col("rank") <= wanted).drop("rank", "distance")
     cut = fallback_threshold(near)
-    hits = V.attach_metadata(cut, vectors).join(plan.select("query_id", "query_text"), "query_id")
+    hits = V.attach_metadata(cut, vectors, rows).join(plan.select("query_id", "query_text"), "query_id")
     score = V.search_score(*[F.col(c) for c in ("similarity", "importance_score", "chunk_type", "key_entities", "topics")])
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
     hits = hits.withColumn("score", F.round(score, DIGITS)).withColumn("rank", F.row_number().over(order))

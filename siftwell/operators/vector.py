@@ -3,7 +3,8 @@
 Vectors stay where they are scanned; only (query, key, score) rows move. A
 small query set is sent to every task behind a size check. Beyond that bound,
 queries and vectors meet in a grid of bounded blocks, still exact. Nothing
-emits more than the best k per query and task.
+emits more than the best k per query and task, and these are merged in steps.
+What a query may see (documents, dates) is tested in the scan, before scoring.
 """
 
 from __future__ import annotations
@@ -14,22 +15,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import rules as R
-from ..session import cut_lineage
 from .describe import describe
 from ..functions.vectors import block_scores, similarity_from_distance, valid_embedding
 
 DIGITS = 9
 TILE_CELLS = 4_000_000
-QUERY_BYTES = 32 * 1024 * 1024
+# a query set that is sent to the tasks: rows, and bytes of vectors or of document bitmaps
+QUERY_ROWS, QUERY_BYTES = 8_192, 32 * 1024 * 1024
 # ranked rows are some 100 bytes each
 NEAR_ROWS = 500_000
 BLOCK_VECTORS, BLOCK_QUERIES = 50_000, 2_048
+MERGE = 64  # tasks whose best rows are merged at once
+FILTERS = ("document_ids", "min_date", "max_date")
 
 
 def _arrow_matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -42,40 +45,109 @@ def _right_size(table, dim: int):
     return table.filter(pc.fill_null(pc.equal(pc.list_value_length(table["embedding"]), dim), False))
 
 
+class Asked:
+    """Queries of one dimension in a task: ids, vectors, own keys, and what each may see.
+
+    The documents that queries name are numbered, and each has a bitmap of the
+    queries that allow it; a last one stands for all other documents.
+    """
+
+    def __init__(self, table: pa.Table, dim: int):
+        self.table, self.dim = table, dim
+        self.ids = table["query_id"].to_numpy()
+        self.matrix = _arrow_matrix(table["embedding"], dim)
+        self.exclude = table["exclude_key"].to_numpy() if "exclude_key" in table.column_names else None
+        self.bits = self.low = self.high = None
+        if "document_ids" in table.column_names:
+            lists = table["document_ids"].combine_chunks()
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), size)
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            self.documents = flat.filter(pa.array(known)).unique()
+            at = pc.index_in(flat.filter(pa.array(known)), self.documents).to_numpy(zero_copy_only=False)
+            free = np.packbits(lists.is_null().to_numpy(zero_copy_only=False), bitorder="little")
+            self.bits = np.tile(free, (len(self.documents) + 1, 1))
+            owner = owner[known]
+            np.bitwise_or.at(self.bits, (at, owner >> 3), (1 << (owner & 7)).astype(np.uint8))
+        if "min_date" in table.column_names:
+            self.low = pc.fill_null(table["min_date"], -(2**63)).to_numpy()
+            self.high = pc.fill_null(table["max_date"], 2**63 - 1).to_numpy()
+
+    def allowed(self, rows: pa.Table | pa.RecordBatch) -> np.ndarray | None:
+        """Whether each query may see each row; None where nothing is filtered. A row without a date is seen."""
+        out = None
+        if self.bits is not None:
+            at = pc.fill_null(pc.index_in(rows["doc_id"], self.documents), len(self.documents)).to_numpy(zero_copy_only=False)
+            out = np.unpackbits(self.bits[at], axis=1, count=len(self.ids), bitorder="little").T.astype(bool)
+        if self.low is not None:
+            made = rows["created_us"]
+            free = made.is_null().to_numpy(zero_copy_only=False)
+            made = pc.fill_null(made, 0).to_numpy(zero_copy_only=False)
+            seen = free[None, :] | ((made[None, :] >= self.low[:, None]) & (made[None, :] <= self.high[:, None]))
+            out = seen if out is None else out & seen
+        return out
+
+
 class _Best:
     """The best k of each (query, group) among the rows seen so far; ties go to the smaller key."""
 
-    def __init__(self, n_queries: int, k: int, metric: str, min_score: float, unit: bool, digits: int):
-        self.k, self.metric, self.min_score, self.unit, self.digits = k, metric, min_score, unit, digits
-        self.floor = np.full(n_queries, -np.inf)
+    def __init__(self, asked: Asked, k: int, metric: str, min_score: float, unit: bool, digits: int):
+        self.asked, self.k, self.metric, self.min_score, self.unit, self.digits = asked, k, metric, min_score, unit, digits
+        self.floors: dict = {}
         self.rows: list[tuple] = []
         self.held, self.trigger = 0, TILE_CELLS
 
-    def add(self, queries, exclude, block, keys, weight, group):
-        step = max(1, TILE_CELLS // max(1, len(queries)))
-        for at in range(0, len(block), step):
-            cut = slice(at, at + step)
-            score = block_scores(queries, block[cut], self.metric, self.digits)
-            if self.unit:
-                score = np.round(np.clip((score + 1.0) * 0.5, 0.0, 1.0), self.digits)
-            rank = np.round(score * weight[cut][None, :], self.digits) if weight is not None else score
-            take = (score >= self.min_score) & np.isfinite(score)
-            if exclude is not None:
-                take &= exclude[:, None] != keys[cut][None, :]
+    def add(self, block, keys, weight, group, rows, only=None):
+        """Vectors with their keys, weights and groups; ``rows`` has their other columns, ``only`` the places of queries to meet them."""
+        n = len(self.asked.ids) if only is None else len(only)
+        step = max(1, TILE_CELLS // max(1, n))
+        for at in range(0, len(block) if n else 0, step):
+            here = np.arange(at, min(at + step, len(block)))
+            allowed = self.asked.allowed(rows.slice(at, step))
+            if allowed is not None:
+                allowed = allowed if only is None else allowed[only]
+                seen = allowed.any(axis=0)
+                here, allowed = here[seen], allowed[:, seen]
             if group is None:
-                take &= rank >= self.floor[:, None]
-                if rank.shape[1] > self.k:
-                    shown = np.where(take, rank, -np.inf)
-                    take &= rank >= np.partition(shown, -self.k, axis=1)[:, -self.k][:, None]
-            q, v = np.nonzero(take)
-            if len(q):
-                part = np.asarray(group[cut])[v] if group is not None else np.zeros(len(q), dtype=np.int8)
-                self.rows.append((q, keys[cut][v], score[q, v], rank[q, v], part))
-                self.held += len(q)
+                self._tile(block, keys, weight, None, here, allowed, only)
+                continue
+            part = group[here]
+            for g in set(part.tolist()):
+                mine = part == g
+                self._tile(block, keys, weight, g, here[mine], None if allowed is None else allowed[:, mine], only)
             if self.held > self.trigger:
                 self.shrink()
                 self.trigger = max(TILE_CELLS, 2 * self.held)
 
+    def _tile(self, block, keys, weight, part, here, allowed, only):
+        if not len(here):
+            return
+        asked = self.asked
+        floor = self.floors.setdefault(part, np.full(len(asked.ids), -np.inf))
+        queries, exclude = asked.matrix, asked.exclude
+        if only is not None:
+            queries, floor = queries[only], floor[only]
+            exclude = None if exclude is None else exclude[only]
+        score = block_scores(queries, block[here], self.metric, self.digits)
+        if self.unit:
+            score = np.round(np.clip((score + 1.0) * 0.5, 0.0, 1.0), self.digits)
+        rank = np.round(score * weight[here][None, :], self.digits) if weight is not None else score
+        take = (score >= self.min_score) & np.isfinite(score) & (rank >= floor[:, None])
+        if allowed is not None:
+            take &= allowed
+        if exclude is not None:
+            take &= exclude[:, None] != keys[here][None, :]
+        if rank.shape[1] > self.k:
+            shown = np.where(take, rank, -np.inf)
+            take &= rank >= np.partition(shown, -self.k, axis=1)[:, -self.k][:, None]
+        q, v = np.nonzero(take)
+        if len(q):
+            self.rows.append((q if only is None else only[q], keys[here][v], score[q, v], rank[q, v], np.full(len(q), 0 if part is None else part)))
+            self.held += len(q)
+        if part is None and self.held > self.trigger:
+            self.shrink()
+            self.trigger = max(TILE_CELLS, 2 * self.held)
+
     def shrink(self):
         if not self.rows:
             return
@@ -86,8 +158,9 @@ class _Best:
         first = np.maximum.accumulate(np.where(fresh, np.arange(len(q)), 0))
         place = np.arange(len(q)) - first
         last = place == self.k - 1
-        if not part.any():
-            self.floor[q[last]] = rank[last]
+        for g, floor in self.floors.items():
+            own = last if g is None else last & (part == g)
+            floor[q[own]] = rank[own]
         keep = place < self.k
         self.rows = [(q[keep], key[keep], score[keep], rank[keep], part[keep])]
         self.held = int(keep.sum())
@@ -99,23 +172,83 @@ def _schema(vectors: DataFrame, queries: DataFrame, group: str | None) -> T.Stru
         T.StructField("key", vectors.schema["key"].dataType),
         T.StructField("similarity", T.DoubleType()),
         T.StructField("rank_score", T.DoubleType()),
+        T.StructField("lot", T.LongType()),
     ]
     if group:
         fields.append(T.StructField(group, vectors.schema[group].dataType))
     return T.StructType(fields)
 
 
-def _emit(best: _Best, ids: np.ndarray, group: str | None, arrow_schema) -> pa.RecordBatch | None:
+def _emit(best: _Best, lot: int, group: str | None, arrow_schema) -> pa.RecordBatch | None:
     best.shrink()
     if not best.rows:
         return None
     q, key, score, rank, part = best.rows[0]
-    columns = [ids[q], key, score, rank] + ([part] if group else [])
+    columns = [best.asked.ids[q], key, score, rank, np.full(len(q), lot)] + ([part] if group else [])
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema
     )
 
 
+def by_dimension(queries: pa.Table) -> list[Asked]:
+    """A query set by the size of its vectors."""
+    size = pc.list_value_length(queries["embedding"]).to_numpy()
+    return [Asked(queries.filter(pa.array(size == dim)), int(dim)) for dim in np.unique(size)]
+
+
+def as_asked(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """What tasks need of the queries: id, vector, own key, allowed documents, and dates in microseconds."""
+    document = T.ArrayType(vectors.schema["doc_id"].dataType) if "doc_id" in vectors.columns else None
+    cols = [F.col("query_id"), F.col("embedding").cast("array<double>").alias("embedding")]
+    if "exclude_key" in queries.columns:
+        cols.append(F.col("exclude_key"))
+    if "document_ids" in queries.columns:
+        cols.append(F.col("document_ids").cast(document).alias("document_ids"))
+    if {"min_date", "max_date"} & set(queries.columns):
+        for c in ("min_date", "max_date"):
+            date = F.unix_micros(F.col(c).cast("timestamp")) if c in queries.columns else F.lit(None).cast("long")
+            cols.append(date.alias(c))
+    return queries.filter(valid_embedding(F.col("embedding"))).select(*cols)
+
+
+def scanned(vectors: DataFrame, asked: DataFrame, *more: str | None) -> DataFrame:
+    """What the scan reads of the vectors: no column that no query needs."""
+    cols = [F.col(c) for c in ("key", "embedding", *dict.fromkeys(m for m in more if m))]
+    if "document_ids" in asked.columns:
+        cols.append(F.col("doc_id"))
+    if "min_date" in asked.columns:
+        cols.append(F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"))
+    return vectors.select(*cols)
+
+
+def gathered(asked: DataFrame, most_bytes: int) -> pa.Table | None:
+    """The query set, if it is small enough to be sent to every task; at most ``QUERY_ROWS`` + 1 rows are fetched to tell."""
+    head = asked.limit(QUERY_ROWS + 1).toArrow()
+    held = sum(head[c].nbytes for c in head.column_names)
+    if "document_ids" in head.column_names:
+        held += pc.sum(pc.fill_null(pc.list_value_length(head["document_ids"]), 0)).as_py() * (head.num_rows // 8 + 1) if head.num_rows else 0
+    return head if head.num_rows <= QUERY_ROWS and held <= most_bytes else None
+
+
+def merged(partial: DataFrame, by: list[str], k: int, lots: int) -> DataFrame:
+    """The best k per ``by`` with their rank; ``MERGE`` lots at a time, so that no task gets the rows of all tasks."""
+    order = [F.desc("rank_score"), F.col("key")]
+    while lots > MERGE:
+        partial = partial.withColumn("lot", F.floor(F.col("lot") / MERGE))
+        step = W.partitionBy(*by, "lot").orderBy(*order)
+        partial = partial.withColumn("rank", F.row_number().over(step)).filter(F.col("rank") <= k).drop("rank")
+        lots = math.ceil(lots / MERGE)
+    return partial.drop("lot").withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def scan_tasks(df: DataFrame) -> int:
+    """About how many tasks read a table, by the plan's own statistics; no job runs for it."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // per_task, 1_000_000))
+
+
 def _grid(n: int, size: int) -> int:
     return max(1, math.ceil(n / size))
 
@@ -134,78 +267,68 @@ def top_scores(
     """Best k keys per query (and group): query_id, key, similarity, rank_score, rank.
 
     ``vectors`` has key and embedding; ``queries`` has query_id, embedding and,
-    where a query must not find itself, exclude_key. ``weight`` multiplies the
-    similarity for ranking. Vectors of another size than the query are skipped.
+    where a query must not find itself, exclude_key. Queries may bring what they
+    see: ``document_ids`` (a list; null sees all), ``min_date`` and ``max_date``
+    (null is open); vectors then have doc_id and created_at, and a vector whose
+    date is unknown is seen. ``weight`` multiplies the similarity for ranking.
+    A vector meets the queries of its own size; other pairs are skipped.
     """
+    return ranked(vectors, queries, k, metric, min_score, unit_scale, weight, group, query_bytes)[0]
+
+
+def ranked(vectors, queries, k, metric="COSINE", min_score=-math.inf, unit_scale=False, weight=None, group=None,
+           query_bytes=QUERY_BYTES) -> tuple[DataFrame, int | None]:
+    """``top_scores`` with the most rows it can have; None where the number of queries is not known."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = _schema(vectors, queries, group)
     arrow_schema = to_arrow_schema(out)
-    has_exclude = "exclude_key" in queries.columns
-    q_cols = ["query_id", "embedding"] + (["exclude_key"] if has_exclude else [])
-    v_cols = ["key", "embedding"] + ([weight] if weight else []) + ([group] if group else [])
-    queries, vectors = queries.select(*q_cols), vectors.select(*v_cols)
-
-    probe = queries.filter(F.size("embedding") > 0).select(F.size("embedding").alias("dim")).first()
-    if probe is None:
-        return vectors.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(1))
-    dim = probe["dim"]
-    queries = queries.filter(valid_embedding(F.col("embedding"), dim))
-
-    def run(best, q_matrix, exclude, table):
-        block = _arrow_matrix(table["embedding"], dim)
-        keys = table["key"].to_numpy() if isinstance(table["key"], pa.ChunkedArray) else table["key"].to_numpy(zero_copy_only=False)
-        as_np = lambda c: c.to_numpy() if isinstance(c, pa.ChunkedArray) else c.to_numpy(zero_copy_only=False)
-        w = as_np(table[weight]) if weight else None
-        g = as_np(table[group]) if group else None
-        best.add(q_matrix, exclude, block, keys, w, g)
-
-    limit = query_bytes // (8 * dim)
-    head = queries.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        ids = head["query_id"].to_numpy()
-        exclude = head["exclude_key"].to_numpy() if has_exclude else None
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, exclude, _arrow_matrix(head["embedding"], dim)))
+    queries = as_asked(queries, vectors)
+    vectors = scanned(vectors, queries, weight, group)
+    by = ["query_id"] + ([group] if group else [])
+    as_np = lambda c: c.to_numpy() if isinstance(c, pa.ChunkedArray) else c.to_numpy(zero_copy_only=False)
+
+    def run(best, table):
+        table = _right_size(table, best.asked.dim)
+        if table.num_rows:
+            w = as_np(table[weight]) if weight else None
+            g = as_np(table[group]) if group else None
+            best.add(_arrow_matrix(table["embedding"], best.asked.dim), as_np(table["key"]), w, g, table)
+
+    head = gathered(queries, query_bytes)
+    if head is not None and not head.num_rows:
+        none = T.StructType([f for f in out if f.name != "lot"] + [T.StructField("rank", T.IntegerType(), False)])
+        return vectors.sparkSession.createDataFrame([], none), 0
+    if head is not None:
+        sent = vectors.sparkSession.sparkContext.broadcast(head)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q_exclude, q_matrix = shared.value
-            best = _Best(len(q_ids), k, metric, min_score, unit_scale, DIGITS)
+            bests = [_Best(a, k, metric, min_score, unit_scale, DIGITS) for a in by_dimension(sent.value)]
             for batch in batches:
-                batch = _right_size(batch, dim)
-                if batch.num_rows and len(q_ids):
-                    run(best, q_matrix, q_exclude, batch)
-            result = _emit(best, q_ids, group, arrow_schema)
-            if result is not None:
-                yield result
-
-        partial = vectors.mapInArrow(scan, out)
-    else:
-        v_blocks, q_blocks = _grid(vectors.count(), BLOCK_VECTORS), _grid(queries.count(), BLOCK_QUERIES)
-        left = vectors.withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(v_blocks))).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")))
-        right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
-            "vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)).cast("array<bigint>")))
-        partial = _meet(left, right, ["vb", "qb"], out, arrow_schema, k, metric, min_score, unit_scale, group, has_exclude, dim, run)
-    by = ["query_id"] + ([group] if group else [])
-    order = W.partitionBy(*by).orderBy(F.desc("rank_score"), "key")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+                for best in bests:
+                    run(best, batch)
+            for best in bests:
+                result = _emit(best, TaskContext.get().partitionId(), group, arrow_schema)
+                if result is not None:
+                    yield result
 
+        return merged(vectors.mapInArrow(scan, out), by, k, scan_tasks(vectors)), None if group else head.num_rows * k
 
-def _meet(left, right, on, out, arrow_schema, k, metric, min_score, unit_scale, group, has_exclude, dim, run) -> DataFrame:
-    """Block of vectors against block of queries for each value of ``on``; both are bounded."""
+    v_blocks, q_blocks = _grid(vectors.count(), BLOCK_VECTORS), _grid(queries.count(), BLOCK_QUERIES)
+    left = vectors.withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(v_blocks))).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")))
+    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
+        "vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)).cast("array<bigint>")))
 
     def block(v: pa.Table, q: pa.Table) -> pa.Table:
-        empty = pa.Table.from_batches([], schema=arrow_schema)
-        v = _right_size(v, dim)
-        if not v.num_rows or not q.num_rows:
-            return empty
-        ids = q["query_id"].to_numpy()
-        best = _Best(len(ids), k, metric, min_score, unit_scale, DIGITS)
-        run(best, _arrow_matrix(q["embedding"], dim), q["exclude_key"].to_numpy() if has_exclude else None, v)
-        result = _emit(best, ids, group, arrow_schema)
-        return empty if result is None else pa.Table.from_batches([result])
+        found = []
+        for asked in by_dimension(q) if v.num_rows and q.num_rows else []:
+            best = _Best(asked, k, metric, min_score, unit_scale, DIGITS)
+            run(best, v.combine_chunks())
+            found.append(_emit(best, v["vb"][0].as_py(), group, arrow_schema))
+        return pa.Table.from_batches([f for f in found if f is not None], schema=arrow_schema)
 
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(block, out)
+    return merged(left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(block, out), by, k, v_blocks), None
 
 
 # --- exact searches ---------------------------------------------------------------
@@ -213,9 +336,14 @@ def _meet(left, right, on, out, arrow_schema, k, metric, min_score, unit_scale,
 
 def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", min_score: float = -math.inf) -> DataFrame:
     """Exact nearest keys per query: query_id, key, similarity, distance, rank (k rows, or all there are)."""
-    best = top_scores(vectors, queries, k, metric, min_score)
+    return nearest(vectors, queries, k, metric, min_score)[0]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", min_score: float = -math.inf) -> tuple[DataFrame, int | None]:
+    """``knn_topk`` with the most rows it can have, where that is known."""
+    best, most = ranked(vectors, queries, k, metric, min_score)
     distance = -F.col("similarity") if metric == "EUCLIDEAN" else 1.0 - F.col("similarity")
-    return best.select("query_id", "key", "similarity", distance.alias("distance"), "rank")
+    return best.select("query_id", "key", "similarity", distance.alias("distance"), "rank"), most
 
 
 def batch_cosine(vectors: DataFrame, query: list[float]) -> DataFrame:
@@ -255,15 +383,14 @@ def search_score(similarity: Column, importance: Column, kind: Column, entities:
 META = ["key", "doc_id", "chunk_index", "content", "heading", "chunk_type", "key_entities", "topics", "importance_score", "context_summary"]
 
 
-def attach_metadata(near: DataFrame, vectors: DataFrame) -> DataFrame:
+def attach_metadata(near: DataFrame, vectors: DataFrame, most: int | None = None) -> DataFrame:
     """Metadata for ranked rows. A table without description columns is described here, after the cut.
 
-    The ranked rows (ids and numbers only) are written to the shared folder, so
-    the search runs once and their number is known. Up to a bound they are sent to
-    the vector table, which then is not shuffled; beyond it the two are joined on key.
+    ``most`` is the most rows that ``near`` can have, where that is known: up to a
+    bound they are sent to the vector table, which then is not shuffled;
+    otherwise the two are joined on key.
     """
-    near = cut_lineage(near)
-    if near.count() <= NEAR_ROWS:
+    if most is not None and most <= NEAR_ROWS:
         near = F.broadcast(near)
     if "importance_score" in vectors.columns:
         return vectors.select(*META).join(near, "key")
@@ -272,10 +399,13 @@ def attach_metadata(near: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def similarity_search(vectors: DataFrame, queries: DataFrame, limit: int = 3,
                       threshold: float = R.SINGLE_STAGE_THRESHOLD) -> DataFrame:
-    """The k nearest by distance, cut by threshold, re-ranked by score; metadata is joined after the cut."""
-    near = knn_topk(vectors, queries, limit, min_score=threshold)
+    """The k nearest by distance, cut by threshold, re-ranked by score; metadata is joined after the cut.
+
+    Queries may bring filters, as in ``top_scores``.
+    """
+    near, most = nearest(vectors, queries, limit, min_score=threshold)
     near = near.withColumn("similarity", similarity_from_distance(F.col("distance"))).filter(F.col("similarity") >= threshold)
-    hits = attach_metadata(near.drop("rank"), vectors)
+    hits = attach_metadata(near.drop("rank"), vectors, most)
     score = search_score(*[F.col(c) for c in ("similarity", "importance_score", "chunk_type", "key_entities", "topics")])
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return hits.withColumn("score", F.round(score, DIGITS)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -305,139 +435,3 @@ def metadata_filter(vectors: DataFrame, document_ids: DataFrame | None = None, m
     if max_date:
         vectors = vectors.filter(F.coalesce(F.col("created_at") <= F.lit(max_date).cast("timestamp"), F.lit(True)))
     return vectors
-
-
-# --- cells ---------------------------------------------------------------------------
-
-
-def build_cells(vectors: DataFrame, cell_size: int = 1000, fan_out: int = 10, max_cells: int = 4096,
-                iterations: int = 10, seed: int = 7):
-    """Two levels of centroids: (vectors with cell_id, cells, tops).
-
-    The number of cells is bounded, so centroids always fit a task; cells then
-    grow with the data and are searched in salted blocks.
-    """
-    data = vectors.filter(valid_embedding(F.col("embedding"))).withColumn(
-        "features", array_to_vector(F.col("embedding").cast("array<double>"))
-    )
-    n_cells = max(1, min(max_cells, math.ceil(data.count() / cell_size)))
-    n_tops = max(1, math.ceil(n_cells / fan_out))
-    spark = vectors.sparkSession
-
-    def fit(df, n):
-        if n == 1:
-            return None
-        return KMeans(k=n, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(df)
-
-    model = fit(data, n_cells)
-    if model is None:
-        assigned = data.withColumn("cell_id", F.lit(0)).drop("features")
-        centers = [centroid(data)]
-    else:
-        assigned = model.setPredictionCol("cell_id").transform(data).drop("features")
-        centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    cells = spark.createDataFrame(list(enumerate(centers)), "cell_id int, embedding array<double>")
-    coarse = cells.withColumn("features", array_to_vector("embedding"))
-    top_model = fit(coarse, n_tops)
-    if top_model is None:
-        cells, tops = cells.withColumn("top_id", F.lit(0)), [centroid(cells)]
-    else:
-        cells = top_model.setPredictionCol("top_id").transform(coarse).drop("features")
-        tops = [[float(x) for x in c] for c in top_model.clusterCenters()]
-    return assigned, cells, spark.createDataFrame(list(enumerate(tops)), "top_id int, embedding array<double>")
-
-
-def rank_cells(queries: DataFrame, cells: DataFrame, tops: DataFrame, beam: int = 10) -> DataFrame:
-    """The cells each query visits: the best ``beam`` tops, then the best 2 * beam of their cells."""
-    plain = queries.select("query_id", "embedding")
-    top_hits = top_scores(tops.withColumnRenamed("top_id", "key"), plain, beam)
-    allowed = top_hits.select("query_id", F.col("key").alias("top_id"))
-    scored = top_scores(cells.withColumnRenamed("cell_id", "key"), plain, 2 * beam, group="top_id")
-    order = W.partitionBy("query_id").orderBy(F.desc("rank_score"), "key")
-    return scored.join(allowed, ["query_id", "top_id"]).select(
-        "query_id", F.col("key").alias("cell_id"), F.row_number().over(order).alias("cell_rank")
-    ).filter(F.col("cell_rank") <= 2 * beam)
-
-
-def _cell_search(vectors: DataFrame, probes: DataFrame, limit: int, threshold: float, unit_scale: bool,
-                 weight: str | None, cell: str) -> DataFrame:
-    """Best keys per query among the cells it probes.
-
-    A cell of any size is split into salted blocks by key, and its probes are
-    repeated per block, so no task sees more than a bounded block of a hot cell.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = _schema(vectors, probes, None)
-    arrow_schema = to_arrow_schema(out)
-    has_exclude = "exclude_key" in probes.columns
-    first = probes.select(F.size("embedding").alias("dim")).first()
-    if first is None:
-        return vectors.sparkSession.createDataFrame([], out)
-    dim = first["dim"]
-    v_size = vectors.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("v_blocks"))
-    q_size = probes.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("q_blocks"))
-    sizes = v_size.join(q_size, cell)
-    left = vectors.join(sizes, cell).withColumn("vb", F.pmod(F.xxhash64("key"), F.col("v_blocks"))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1).cast("array<bigint>"))).drop("v_blocks", "q_blocks")
-    right = probes.join(sizes, cell).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q_blocks"))).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1).cast("array<bigint>"))).drop("v_blocks", "q_blocks")
-
-    def run(best, q_matrix, exclude, table):
-        best.add(q_matrix, exclude, _arrow_matrix(table["embedding"], dim), table["key"].to_numpy(),
-                 table[weight].to_numpy() if weight else None, None)
-
-    return _meet(left, right, [cell, "vb", "qb"], out, arrow_schema, limit, "COSINE", threshold, unit_scale, None, has_exclude, dim, run)
-
-
-def ivf_search(vectors: DataFrame, cells: DataFrame, tops: DataFrame, queries: DataFrame, limit: int, threshold: float,
-               beam: int = 10) -> DataFrame:
-    """Approximate search in the best cells of each query; every vector of a visited cell counts.
-
-    The visit caps of a one-machine index are left out: they would drop rows by
-    storage order, and blocks bound the work here.
-    """
-    visits = rank_cells(queries, cells, tops, beam)
-    keep = ["query_id", "embedding"] + (["exclude_key"] if "exclude_key" in queries.columns else [])
-    probes = visits.join(queries.select(*keep), "query_id").drop("cell_rank")
-    hits = _cell_search(vectors.select("key", "embedding", "importance_score", "cell_id"), probes, limit, threshold, True,
-                        "importance_score", "cell_id")
-    order = W.partitionBy("query_id").orderBy(F.desc("rank_score"), "key")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(
-        "query_id", "key", "similarity", F.col("rank_score").alias("score"), "rank")
-
-
-def _bucketed(df: DataFrame, dim: int, bucket_length: float, tables: int, hashes: int, seed: int) -> DataFrame:
-    """One row per table with the id of the random-projection bucket the vector falls into."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = T.StructType(list(df.schema.fields) + [T.StructField("cell_id", T.StringType())])
-    arrow_schema = to_arrow_schema(out)
-
-    def scan(batches):
-        planes = np.random.default_rng(seed).standard_normal((dim, tables * hashes))
-        for batch in batches:
-            batch = _right_size(batch, dim)
-            if not batch.num_rows:
-                continue
-            places = np.floor(_arrow_matrix(batch["embedding"], dim) @ planes / bucket_length).astype(np.int64)
-            for t in range(tables):
-                own = places[:, t * hashes:(t + 1) * hashes]
-                cell = pa.array([f"{t}:" + "|".join(map(str, row)) for row in own])
-                yield pa.RecordBatch.from_arrays([*batch.columns, cell], schema=arrow_schema)
-
-    return df.mapInArrow(scan, out)
-
-
-def lsh_search(vectors: DataFrame, queries: DataFrame, limit: int, threshold: float = -math.inf, bucket_length: float = 0.5,
-               tables: int = 6, hashes: int = 2, seed: int = 7) -> DataFrame:
-    """Approximate neighbours: rows that share a random-projection bucket with the query in any table."""
-    keep = [c for c in ("query_id", "embedding", "exclude_key") if c in queries.columns]
-    first = queries.filter(F.size("embedding") > 0).select(F.size("embedding").alias("dim")).first()
-    dim = first["dim"] if first else 1
-    probes = _bucketed(queries.select(*keep), dim, bucket_length, tables, hashes, seed)
-    data = _bucketed(vectors.select("key", "embedding"), dim, bucket_length, tables, hashes, seed)
-    hits = _cell_search(data, probes, limit, threshold, False, None, "cell_id")
-    found = hits.groupBy("query_id", "key").agg(F.max("similarity").alias("similarity"))
-    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

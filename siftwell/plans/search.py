@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.vectors import cosine01, metric_score, similarity_from_distance
-from ..operators import vector as V
+from ..operators import cells as N, vector as V
 from ..session import scratch_path
 from ..sources.store import put_vectors, read_vectors
 from . import shared, sqltext as S
@@ -150,22 +150,108 @@ def _(t):
     return _neighbours(t).select("vec_id", F.round(similarity_from_distance(distance), 6).alias("similarity"))
 
 
+# --- what each question may see: a run of documents, dates from, dates until; every tenth vector has no date ---
+
+SEEN = """CASE WHEN query_id % 3 > 0 THEN range(query_id, query_id + 200) END AS document_ids, CASE WHEN query_id % 2 = 0 THEN TIMESTAMP '2024-01-20' END AS min_date,
+  CASE WHEN query_id % 5 = 0 THEN TIMESTAMP '2024-10-01' END AS max_date"""
+SEES = """(document_ids IS NULL OR list_contains(document_ids, key)) AND (key % 10 = 0 OR (created_at >= coalesce(min_date, created_at) AND created_at <= coalesce(max_date, created_at)))"""
+
+
+def asking(t):
+    day = lambda date: F.lit(f"{date} 00:00:00").cast("timestamp")
+    q = F.col("query_id")
+    return shared.query_set(t).withColumns({
+        "document_ids": F.when(q % 3 > 0, F.sequence(q, q + 199)), "min_date": F.when(q % 2 == 0, day("2024-01-20")), "max_date": F.when(q % 5 == 0, day("2024-10-01"))})
+
+
+def undated(vectors):
+    return vectors.withColumn("created_at", F.when(F.col("key") % 10 > 0, F.col("created_at")))
+
+
+FILTERED = f"""{WITH}, seen AS (SELECT query_id, {SEEN} FROM questions), allowed AS (SELECT p.*, v.chunk_type, v.key_entities, v.topics FROM pairs p JOIN vectors v USING (key) JOIN seen s USING (query_id) WHERE {SEES})"""
+
+
+def _filtered_knn(t, **kw):
+    best = V.top_scores(undated(shared.vectors(t)), asking(t), 5, **kw)
+    return best.select("query_id", "key", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+KNN_FILTERED = f"""{FILTERED} SELECT query_id, key, round(similarity, 6) AS similarity, (row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, key))::INT AS rank FROM allowed QUALIFY rank <= 5"""
+
+
+@query("knn_filtered", sql=KNN_FILTERED)
+def _(t):
+    """Every question with filters of its own, tested in the scan."""
+    return _filtered_knn(t)
+
+
+@query("knn_filtered_blocks", sql=KNN_FILTERED)
+def _(t):
+    return _filtered_knn(t, query_bytes=0)
+
+
+@query("search_filtered", sql=f"""
+{FILTERED}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, key) AS near_rank FROM allowed),
+cut AS (SELECT query_id, key, similarity, round(similarity * importance_score * {BOOST}, 9) AS score FROM near WHERE near_rank <= 6 AND similarity >= 0.1)
+SELECT query_id, key, round(similarity, 6) AS similarity, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key))::INT AS rank FROM cut""")
+def _(t):
+    hits = V.similarity_search(undated(shared.vectors(t)), asking(t), 6, 0.1)
+    return hits.select("query_id", "key", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
+
+
+# --- cells and buckets ---
+
 CELL_SIZE = 50
 
 
+def _stored_cells(t):
+    path = scratch_path(t.spark, "cells")
+    N.store_cells(undated(shared.described_vectors(t)), path, CELL_SIZE, 5)
+    return path
+
+
 @query("build_cells")
 def _(t):
-    assigned, cells, tops = V.build_cells(_keys(t), CELL_SIZE, 5)
+    assigned, cells, tops = N.build_cells(_keys(t), CELL_SIZE, 5)
     sizes = assigned.groupBy("cell_id").agg(F.count(F.lit(1)).alias("vectors"))
     return cells.select("cell_id", "top_id").join(sizes, "cell_id", "left")
 
 
+@query("cell_sizes", sql="SELECT true AS agree, count(*) AS vectors, ceil(count(*) / 50)::BIGINT AS cells FROM embeddings JOIN documents ON vec_id = doc_id")
+def _(t):
+    """The sizes kept beside the stored index are those of its folders, and every vector is in one."""
+    path = _stored_cells(t)
+    kept = t.spark.read.parquet(f"{path}/cells").select("cell_id", "vectors")
+    there = t.spark.read.parquet(f"{path}/rows").groupBy("cell_id").agg(F.count(F.lit(1)).alias("there"))
+    both = kept.join(there, "cell_id", "left")
+    return both.agg(F.bool_and(F.col("vectors") == F.coalesce("there", F.lit(0))).alias("agree"), F.sum("there").alias("vectors"), F.count(F.lit(1)).alias("cells"))
+
+
 @query("ivf_search")
 def _(t):
-    assigned, cells, tops = V.build_cells(_keys(t).withColumn("importance_score", F.lit(1.0)), CELL_SIZE, 5)
-    return V.ivf_search(assigned, cells, tops, shared.query_set(t), 10, 0.5, beam=4)
+    return N.stored_search(t.spark, _stored_cells(t), shared.query_set(t), 10, 0.5, beam=4)
+
+
+FULL_BEAM = """, w AS (SELECT *, round((similarity + 1) / 2, 9) AS sim FROM {pairs}), s AS (SELECT *, round(sim * importance_score, 9) AS score FROM w WHERE sim >= 0.6)
+SELECT query_id, key, round(sim, 6) AS similarity, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key))::INT AS rank FROM s QUALIFY rank <= 5"""
+
+
+def _all_cells(t, asked):
+    hits = N.stored_search(t.spark, _stored_cells(t), asked, 5, 0.6, beam=None)
+    return hits.select("query_id", "key", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("ivf_all_cells", sql=WITH + FULL_BEAM.format(pairs="pairs"))
+def _(t):
+    """Every cell visited: the exact search, from the stored index."""
+    return _all_cells(t, shared.query_set(t))
+
+
+@query("ivf_all_cells_filtered", sql=FILTERED + FULL_BEAM.format(pairs="allowed"))
+def _(t):
+    return _all_cells(t, asking(t))
 
 
 @query("lsh_search")
 def _(t):
-    return V.lsh_search(_keys(t), shared.query_set(t), 10)
+    return N.lsh_search(_keys(t), shared.query_set(t), 10)

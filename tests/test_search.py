@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import cosine01, similarity_from_distance, valid_embedding
-from siftwell.operators import keyword as K, retrieve as Q, vector as V
+from siftwell.operators import cells as N, keyword as K, retrieve as Q, vector as V
 from siftwell.operators.vector import top_scores
 
 rng = np.random.default_rng(1)
@@ -76,16 +76,95 @@ def recall(got, k):
     return np.mean([len(set(got.get(i, [])) & set(want[i])) / k for i in want])
 
 
-def test_ivf_recall(vectors, queries, monkeypatch):
-    monkeypatch.setattr(V, "BLOCK_VECTORS", 40)
-    assigned, cells, tops = V.build_cells(vectors, 60, 5)
-    got = found(V.ivf_search(assigned, cells, tops, queries, 10, 0.0, beam=4))
-    assert recall(got, 10) >= 0.9
+def test_many_tasks_are_merged_in_steps(vectors, queries, monkeypatch):
+    monkeypatch.setattr(V, "MERGE", 2)
+    monkeypatch.setattr(V, "scan_tasks", lambda df: 40)
+    got = V.top_scores(vectors.repartition(40), queries, 7)
+    assert found(got) == exact(7)
+    assert got._jdf.queryExecution().analyzed().toString().count("Window") == 6
+
+
+def test_best_per_group_and_task(spark, queries):
+    """Many tiles of many groups, so that floors cut; the result is that of one sort."""
+    rows = spark.createDataFrame([(i, i % 7, [float(x) for x in DATA[i]]) for i in range(600)], "key int, part int, embedding array<double>")
+    got = V.top_scores(rows, queries, 3, group="part").collect()
+    cos = (ASK @ DATA.T) / np.linalg.norm(ASK, axis=1)[:, None] / np.linalg.norm(DATA, axis=1)[None, :]
+    want = {(q, g): sorted((i for i in range(g, 600, 7)), key=lambda i: -cos[q, i])[:3] for q in range(9) for g in range(7)}
+    seen = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        seen.setdefault((r.query_id, r.part), []).append(r.key)
+    assert seen == want
+
+
+def test_queries_of_several_sizes(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0, 0.0]), ("d", [1.0])], "key string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.5, 0.1, 0.1]), (3, []), (4, None), (5, [0.0] * 2), (6, [1.0] * 9)], "query_id int, embedding array<double>")
+    for query_bytes in (V.QUERY_BYTES, 0):
+        assert found(V.top_scores(rows, asked, 5, query_bytes=query_bytes)) == {1: ["a", "b"], 2: ["c"]}
+    assert V.top_scores(rows, asked.filter("query_id = 4"), 5).count() == 0
+
 
+FILTERED = "query_id int, embedding array<double>, document_ids array<string>, min_date timestamp, max_date timestamp"
 
-def test_lsh_recall(vectors, queries):
-    got = found(V.lsh_search(vectors, queries, 10, bucket_length=4.0, tables=8, hashes=2))
-    assert recall(got, 10) >= 0.6
+
+@pytest.mark.parametrize("query_bytes", [V.QUERY_BYTES, 0])
+def test_filters_are_the_questions_own(spark, query_bytes, monkeypatch):
+    """Lists of documents (unknown ones, nulls, empty, none at all) and open or closed dates, against plain Python."""
+    from datetime import datetime, timedelta
+
+    monkeypatch.setattr(V, "TILE_CELLS", 300)
+    monkeypatch.setattr(V, "BLOCK_VECTORS", 70)
+    start = datetime(2024, 1, 1)
+    made = [None if i % 11 == 0 else start + timedelta(days=i % 90) for i in range(600)]
+    rows = [(f"k{i:04d}", None if i % 50 == 0 else f"d{i % 37}", [float(x) for x in DATA[i]], made[i]) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "key string, doc_id string, embedding array<double>, created_at timestamp").repartition(4)
+    lists = [None, ["d1", "d5", "d99"], [], ["d7", None], ["d3"] * 3, None, [f"d{i}" for i in range(20)], ["none"], None]
+    low = [None, None, start + timedelta(days=30), None, start + timedelta(days=10), start + timedelta(days=60), None, None, start + timedelta(days=89)]
+    high = [None, start + timedelta(days=40), None, None, start + timedelta(days=20), start + timedelta(days=61), start, None, start]
+    asked = spark.createDataFrame([(i, [float(x) for x in ASK[i]], lists[i], low[i], high[i]) for i in range(9)], FILTERED)
+    cos = (ASK @ DATA.T) / np.linalg.norm(ASK, axis=1)[:, None] / np.linalg.norm(DATA, axis=1)[None, :]
+    want = {}
+    for q in range(9):
+        ok = [i for i in range(600) if (lists[q] is None or (rows[i][1] is not None and rows[i][1] in lists[q]))
+              and (made[i] is None or ((low[q] is None or made[i] >= low[q]) and (high[q] is None or made[i] <= high[q])))]
+        if ok:
+            want[q] = [f"k{i:04d}" for i in sorted(ok, key=lambda i: (-round(cos[q, i], 9), i))[:6]]
+    assert found(V.top_scores(vectors, asked, 6, query_bytes=query_bytes)) == want and len(want) == 7
+
+
+def test_stored_cells(spark, vectors, queries, tmp_path, monkeypatch):
+    """Visited folders alone are read, without a shuffle; with all cells the result is exact, also in several scans."""
+    path = str(tmp_path / "cells")
+    N.store_cells(vectors, path, 30, 5, file_rows=10)
+    some = N.stored_search(spark, path, queries.filter("query_id = 1"), 10, 0.0, beam=2)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scan) == 1 and "PartitionFilters: [cell_id#" in scan[0] and "Exchange" not in plan[plan.index("MapInArrow"):]
+    cells = spark.read.parquet(f"{path}/cells")
+    assert cells.agg(F.sum("vectors")).first()[0] == 600 and cells.count() == 20
+    assert found(N.stored_search(spark, path, queries, 10, -1.0, beam=None)) == exact(10)
+    got = found(N.stored_search(spark, path, queries, 10, 0.0, beam=4))
+    assert recall(got, 10) >= 0.9
+    monkeypatch.setattr(V, "QUERY_ROWS", 3)
+    monkeypatch.setattr(V, "BLOCK_QUERIES", 3)
+    assert found(N.stored_search(spark, path, queries, 10, -1.0, beam=None)) == exact(10)
+    N.store_cells(vectors.limit(0), str(tmp_path / "none"), 30)
+    assert spark.read.parquet(str(tmp_path / "none/cells")).count() == 0
+
+
+def test_training_set_is_bounded(vectors):
+    """With few training rows there are fewer cells, and all vectors are still assigned."""
+    assigned, cells, _ = N.build_cells(vectors, 10, 5, train_rows=200)
+    assert cells.count() == 10 and assigned.count() == 600
+
+
+def test_buckets(vectors, queries):
+    """Recall of probed buckets; with every neighbour of a single wide bucket the result is exact."""
+    assert recall(found(N.lsh_search(vectors, queries, 10, probes=9, tables=12)), 10) >= 0.9
+    assert found(N.lsh_search(vectors, queries, 10, width=1e6, tables=1, probes=9)) == exact(10)
+    assert N.bucket_postings(vectors).columns == ["tab", "bucket", "key"]
+    own = queries.withColumn("exclude_key", F.lit("k0001"))
+    assert all("k0001" not in keys for keys in found(N.lsh_search(vectors, own, 600, width=1e6, tables=1, probes=9)).values())
 
 
 def test_filter_keeps_unknown_dates(spark):
