@@ -18,69 +18,82 @@ LONG = 2**63 - 1
 
 @dataclass(frozen=True)
 class Reading:
-    """Vectors per block, steps in which its lists are read, candidates that are few enough to be scored, and results merged at once."""
+    """Components that a block of vectors may hold, queries answered at once, share of the lists read in a step, candidates few enough to be scored, and blocks merged at once."""
 
-    block_rows: int = 8192
-    steps: int = 16
-    resolve: int = 32
+    block_cells: int = 1 << 19
+    queries: int = 64
+    step: float = 0.25
+    resolve: int = 128
     merge: int = 64
 
 
 class Lists:
-    """One list per component of a block of vectors, each sorted by value; read from either end."""
+    """Two lists per component of a block of vectors: its values from the largest and from the smallest, each relative to its last one."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         n, d = x.shape
-        order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
-        value = np.take_along_axis(x, order, axis=0).astype(np.float64)
-        self.order = np.stack((order, order[::-1]))  # 0: from the smallest, 1: from the largest
-        self.value = np.stack((value, value[::-1]))
-        self.most = np.abs(value).max(axis=0, initial=0)
-        self.columns = np.arange(d)
-
-    def best(self, own: int, query: np.ndarray, k: int, reading: Reading) -> tuple[np.ndarray, list[int]]:
-        """Ids and scores of the k best of the block but ``own``, best first, ties to the smaller id.
-
-        All lists are read in steps, each from the end that the query's component
-        favours. What was read of a row adds up to its lower bound, together with
-        the worst value of every list not read for it yet; with the value at which
-        those lists stand instead, to its upper bound. A row whose upper bound is
-        below the k-th best lower bound is out. Reading stops when no more than
-        ``resolve`` rows are left, or the lists end; those rows' scores are then
-        resolved in whole numbers.
+        order = np.argsort(x, axis=0, kind="stable").T
+        value = np.take_along_axis(x.T, order, axis=1).astype(np.float64)
+        self.least, self.largest = (value[:, 0], value[:, -1]) if n else (np.zeros(d), np.zeros(d))
+        self.order = np.concatenate((order[:, ::-1], order)).astype(np.int32)  # a list per line
+        self.value = np.concatenate((value[:, ::-1] - self.least[:, None], value - self.largest[:, None]))
+        # kept for all queries: fresh memory costs more than clearing it
+        self.read, self.mark = np.zeros((n, 2 * d)), np.zeros((n, 2 * d))
+
+    def best(self, own: np.ndarray, queries: np.ndarray, k: int, reading: Reading) -> list[tuple[np.ndarray, list[int]]]:
+        """Per query the ids and scores of the k best of the block but its own, best first, ties to the smaller id."""
+        most = np.maximum(np.abs(self.least), np.abs(self.largest))
+        exact = (np.abs(queries.astype(np.float64)) @ most) * 4 < EXACT
+        alive = self.ids[:, None] != own[None, :]
+        if exact.any():
+            alive[:, exact] = self._candidates(alive[:, exact], queries[exact].astype(np.float64), k, reading)
+        out = []
+        for j, query in enumerate(queries):
+            at = np.flatnonzero(alive[:, j])
+            if exact[j]:
+                score = (self.x[at] @ query).tolist()
+            else:  # doubles do not hold the sums, so nothing was left out
+                sums = [sum(map(int.__mul__, row, query.tolist())) for row in self.x[at].tolist()]
+                score = [max(-LONG, min(LONG, s)) for s in sums]
+            ids = self.ids[at]
+            first = sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k]
+            out.append((ids[first], [score[i] for i in first]))
+        return out
+
+    def _candidates(self, alive: np.ndarray, queries: np.ndarray, k: int, reading: Reading) -> np.ndarray:
+        """Which rows can still be among the k best of each query; ``alive`` says which take part.
+
+        All lists are read from their start, a step at a time, for a set of queries
+        together. A query uses the list of the largest values where its component
+        is positive, that of the smallest where it is negative. What was read of a
+        row, over the worst value of each list, is its lower bound; what the lists
+        not read for it yet may still add at the place where they stand makes its
+        upper bound. No upper bound is below that of a row not met at all, so
+        nothing is out as long as the k-th best lower bound does not exceed that.
+        Reading stops when no query has more than ``resolve`` rows left, or the
+        lists end.
         """
-        alive = np.flatnonzero(self.ids != own)
-        n, d = self.x.shape
-        q = query.astype(np.float64)
-        used = np.flatnonzero(q)
-        size = float((np.abs(q) * self.most).sum())
-        slack = 0.0 if size < EXACT else 1e-9 * size
-        side, column, q = (q[used] > 0).astype(np.int64), self.columns[used], q[used]
-        worst = q * self.value[side, -1, column] if n else q
-        total = np.zeros(n)
-        read = np.zeros((n, len(used)))
-        step = max(1, -(-n // reading.steps))
-        start = 0
-        while len(alive) > max(k, reading.resolve) and start < n and len(used) and np.isfinite(size):
-            end = min(n, start + step)
-            rows = self.order[side, start:end, column]  # a list per line
-            total += np.bincount(rows.ravel(), (q[:, None] * self.value[side, start:end, column]).ravel(), n)
-            read[rows, np.arange(len(used))[:, None]] = 1.0
-            here = q * self.value[side, end - 1, column]
-            seen = read[alive] @ np.stack((worst, here), axis=1)
-            lower = total[alive] + (worst.sum() - seen[:, 0])
-            upper = total[alive] + (here.sum() - seen[:, 1])
-            floor = np.partition(lower, len(lower) - k)[len(lower) - k]
-            alive = alive[upper + slack >= floor - slack]
-            start = end
-        if size < EXACT:
-            score = (self.x[alive] @ query).tolist()
-        else:  # no word holds the sums
-            score = [sum(map(int.__mul__, row, query.tolist())) for row in self.x[alive].tolist()]
-        ids = self.ids[alive]
-        first = sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k]
-        return ids[first], [max(-LONG, min(LONG, score[i])) for i in first]
+        n, width = self.read.shape
+        up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
+        use = np.concatenate((up, down))
+        worst = self.least @ up + self.largest @ down
+        self.read[:], self.mark[:] = 0, 0
+        read, mark, column = self.read.reshape(-1), self.mark.reshape(-1), np.arange(width)[:, None]
+        step, end = max(1, int(reading.step * n)), 0
+        while end < n and width and (alive.sum(axis=0) > max(k, reading.resolve)).any():
+            start, end = end, min(n, end + step)
+            at = (self.order[:, start:end].astype(np.int64) * width + column).ravel()
+            read[at] = self.value[:, start:end].ravel()
+            mark[at] = 1.0
+            lower = self.read @ use + worst
+            known = np.where(alive, lower, -np.inf)
+            floor = np.partition(known, n - k, axis=0)[n - k] if n >= k else np.full(len(worst), -np.inf)
+            still = use * self.value[:, end - 1][:, None]  # what a list may add to a row that it was not read for
+            rest = still.sum(axis=0)
+            if (worst + rest < floor).any():
+                alive &= lower + rest - self.mark @ still >= floor
+        return alive
 
 
 def _matrix(column: pa.Array, length: int) -> np.ndarray:
@@ -108,9 +121,11 @@ def _search(frames: Iterator[pa.RecordBatch], k: int, reading: Reading) -> Itera
                 continue
             if lists is None:
                 lists = Lists(np.concatenate(ids), np.concatenate(parts))
-            for i, number in enumerate(run.column("number").to_pylist()):
-                found, score = lists.best(own[i], x[i], k, reading)
-                out.append((number, own[i], block, found, score))
+            number = run.column("number").to_pylist()
+            for i in range(0, len(x), reading.queries):
+                part = slice(i, i + reading.queries)
+                for each in zip(number[part], own[part], lists.best(own[part], x[part], k, reading)):
+                    out.append((each[0], each[1], block, *each[2]))
         if out:
             count = [len(o[3]) for o in out]
             yield pa.RecordBatch.from_arrays(
@@ -146,26 +161,30 @@ def top_k(
     those of none score 0. A row is known by its id: no row with the query's id
     answers it. Rows that repeat an id are each candidates; of query rows alike in
     id and vector one asks, and those that differ in the vector ask and are ranked
-    apart. Sums beyond a long are returned as its nearest end. An empty table
+    apart. Sums beyond a long count as its nearest end. An empty table
     gives an empty result. Other columns are not read.
 
-    Vectors are dealt to blocks of about ``block_rows`` and never copied; each
-    query goes to each block, as a stream past the block's lists, so a task holds
-    one block and one batch of queries. What the blocks find is merged in
-    steps of ``merge`` blocks.
+    Vectors are dealt to blocks of about ``block_cells`` components and never
+    copied; each query goes to each block, as a stream past the block's lists, so a
+    task holds one block and one batch of queries. What the blocks find is merged
+    in steps of ``merge`` blocks. Sums that doubles do not hold are not bounded
+    but resolved for all rows of the block.
     """
     rows = settled(quantized(vectors, key, embedding).withColumn("length", F.size("x")), "vectors")
-    most = max(1, -(-rows.count() // reading.block_rows))
-    place = F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(most))
+    total = rows.count()
+    size = F.greatest(F.lit(1), F.floor(reading.block_cells / F.greatest(F.col("length"), F.lit(1))))  # rows of a block
+    blocks = F.ceil(F.lit(total) / size).cast("long")
+    place = F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), blocks)
     base = rows.select("length", place.alias("block"), F.lit(0).alias("kind"), F.lit("").alias("number"), "id", "x")
     asked = rows.filter(F.col("id") % 50 == 0 if queries is None else queries).select("length", "id", "x").distinct()
     vector = F.sha2(F.array_join(F.col("x").cast("array<string>"), ","), 256)
     asked = asked.withColumn("number", F.concat_ws(":", F.col("id").cast("string"), vector))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     asked = asked.select("length", every.alias("block"), F.lit(1).alias("kind"), "number", "id", "x")
     both = base.unionByName(asked).repartition("length", "block").sortWithinPartitions("length", "block", "kind", "number")
     found = both.mapInArrow(lambda frames: _search(frames, k, reading), "number string, query_id long, block long, vec_id long, score long")
     order = [F.col("score").desc(), F.col("vec_id")]
+    most = rows.agg(F.max(blocks)).first()[0] or 1
     while most > reading.merge:
         found = found.withColumn("block", F.expr(f"block div {reading.merge}"))
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy("number", "block").orderBy(*order))).filter(F.col("rank") <= k)
