@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on bounded samples of labelled and other documents; every row has the same chance, by a hash of its key.
 
     ``labels`` holds key and quality (1 good, 0 bad). Rows without key or label
-    are ignored; a document with several labels counts as good if all are 1.
+    are ignored; a document with several labels counts as good if all are 1, and of
+    rows that repeat a key the one with the smallest features is taken.
     """
     share = lambda n, rows: int(2**30 * min(1.0, rows / max(n, 1)))
     draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(2**30))
@@ -141,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = rows.join(F.broadcast(chosen), "k", "left")  # at most about labelled_rows rows
     sample = rows.filter(F.col("q").isNotNull() | (draw(2) < share(docs.count(), how.pool_rows)))
     sample = sample.select("k", "q", "slots", text_features(F.col("t")).alias("f"), (draw(3) / 2**30).alias("fold"))
-    got = sample.groupBy("k").agg(*[F.first(c).alias(c) for c in ("q", "slots", "f", "fold")]).orderBy("k").toPandas()
+    got = sample.groupBy("k").agg(F.min(F.struct("q", "slots", "f", "fold")).alias("x")).select("k", "x.*").orderBy("k").toPandas()
     if not len(got):
         return None
     return learn(np.array(got["f"].tolist()), np.array(got["slots"].tolist()), got["q"].fillna(-1).to_numpy(int), got["fold"].to_numpy(), how)

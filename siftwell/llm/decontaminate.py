@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, hold
+from .common import bound, free_name, hold
 
 
 @dataclass(frozen=True)
@@ -154,13 +154,19 @@ def _search(docs: DataFrame, items: DataFrame, k: int, key: str, text: str, how:
 def drop_copies(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", how: Match = Match()
 ) -> DataFrame:
-    """The documents without a copy of an item, with their own columns; rows without a key are told apart by their text."""
-    none = F.when(F.col(key).isNull(), F.xxhash64(F.col(text)))
-    named = docs.select(F.struct(F.col(key).alias("id"), none.alias("text")).alias("id"), F.col(text).alias("t"))
+    """The documents without a copy of an item, with their own columns.
+
+    A row is known by its key and its text, so a row stays whose key stands beside
+    a copy elsewhere; a null key is one like any other. An empty table, or a
+    benchmark without words, drops nothing.
+    """
+    mark = free_name(docs, "__text_hash")
+    rows = docs.withColumn(mark, F.xxhash64(text))
+    named = rows.select(F.struct(F.col(key).alias("id"), F.col(mark).alias("text")).alias("id"), F.col(text).alias("t"))
     bad = find(named, benchmark.select(item, F.col(text).alias("t")), "id", "t", item, how)
     bad = bad.select(F.col("id.id").alias("__bad"), F.col("id.text").alias("__bad_text")).distinct()
-    same = docs[key].eqNullSafe(bad["__bad"]) & none.eqNullSafe(bad["__bad_text"])
-    return docs.join(bad, same, "left_anti")
+    same = rows[key].eqNullSafe(bad["__bad"]) & rows[mark].eqNullSafe(bad["__bad_text"])
+    return rows.join(bad, same, "left_anti").drop(mark)
 
 
 SQL = r"""

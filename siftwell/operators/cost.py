@@ -66,6 +66,23 @@ def api_call_stats(calls: DataFrame, api: str, duration: str) -> DataFrame:
         F.percentile_approx(d, 0.5).alias("p50_ms"), F.percentile_approx(d, 0.95).alias("p95_ms"))
 
 
+SKETCH_K = 200  # a sketch of this size states ranks within RANK_ERROR, whatever the number of values and merges
+RANK_ERROR = 0.02
+
+
+def quantile_sketches(rows: DataFrame, keys: list[str], value: str, ts: str = "ts", every: str = "1 day") -> DataFrame:
+    """One small sketch of the values per key and window of time, to be stored and merged later: keys, window_start, n, sketch."""
+    start = F.window(F.col(ts).cast("timestamp"), every).start.alias("window_start")
+    return rows.filter(F.col(value).isNotNull()).groupBy(*keys, start).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Quantiles over all stored windows of each key; ``quantiles`` maps a column's name to its share."""
+    whole = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("s"))
+    return whole.select(*keys, "n", *[F.kll_sketch_get_quantile_double("s", F.lit(float(q))).alias(c) for c, q in quantiles.items()])
+
+
 def conversation_cost(usage: DataFrame) -> DataFrame:
     """Totals per conversation. ``usage`` rows carry whichever counters they have; missing ones count 0."""
     total = lambda name, zero=0: F.sum(F.coalesce(F.col(name), F.lit(zero))).alias(name) if name in usage.columns else F.lit(zero).alias(name)
@@ -169,21 +186,29 @@ def sliding_rate(calls: DataFrame, source: str, window_seconds: int = 60, limit:
                  block_seconds: int | None = None) -> DataFrame:
     """Add recent_calls (this one and those at most ``window_seconds`` older) and blocked.
 
-    A source is cut into blocks of one window; rows are also lent to the next
-    block, so every count is exact and a task holds two windows of a source.
+    Calls are counted per source and instant. Each instant then stands twice in
+    its source's time line: as itself, with its count, and just before its window
+    opens, with none; the difference of the running totals there is the count of
+    the window. Running totals are taken inside blocks of time and shifted by the
+    totals of the blocks before, so a task holds the instants of one block of a
+    source, however many calls they have and however long the window is.
     """
-    span = window_seconds * SECOND
-    width = max(block_seconds or window_seconds, window_seconds) * SECOND
-    us = micros(F.col("ts"))
-    block = F.floor(us / width)
-    rows = calls.withColumn("_us", us).withColumn("_home", block)
-    lent = F.when(F.col("_us") + span >= (F.col("_home") + 1) * width, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumn("_lent", F.explode(lent)).withColumn("_block", F.col("_home") + F.col("_lent"))
-    frame = W.partitionBy(source, "_block").orderBy("_us").rangeBetween(-span, 0)
+    span, width = window_seconds * SECOND, (block_seconds or max(1, window_seconds // 4)) * SECOND
+    at = calls.groupBy(F.col(source).alias("_s"), micros(F.col("ts")).alias("_us")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = F.array(
+        F.struct(F.col("_us").alias("_at"), F.col("_n"), F.lit(1).alias("_sign")),
+        F.struct((F.col("_us") - span - 1).alias("_at"), F.lit(0).cast("long").alias("_n"), F.lit(-1).alias("_sign")))
+    line = at.select("_s", "_us", F.explode(ends).alias("_e")).select("_s", "_us", "_e.*").withColumn("_block", F.floor(F.col("_at") / width))
+    sums = line.groupBy("_s", "_block").agg(F.sum("_n").alias("_n"))
+    before = W.partitionBy("_s").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("_s").alias("_s2"), F.col("_block").alias("_b2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = W.partitionBy("_s", "_block").orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    line = line.withColumn("_total", F.sum("_n").over(inside))
+    line = line.join(sums, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_block") == F.col("_b2")))
+    recent = line.groupBy("_s", "_us").agg(F.sum((F.col("_total") + F.col("_shift")) * F.col("_sign")).alias("recent_calls"))
     return (
-        rows.withColumn("recent_calls", F.count(F.lit(1)).over(frame))
-        .filter("_lent = 0").withColumn("blocked", F.col("recent_calls") > limit)
-        .drop("_us", "_home", "_lent", "_block")
+        calls.withColumn("_at", micros(F.col("ts"))).join(recent, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_at") == F.col("_us")))
+        .drop("_at", "_s", "_us").withColumn("blocked", F.col("recent_calls") > limit)
     )
 
 

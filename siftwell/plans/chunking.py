@@ -125,10 +125,12 @@ CONNECT = R.REFERENCE_STARTS + R.CONTINUATION_STARTS
 
 
 @query("contextual_overlap", sql=f"""
-WITH {SENTS.replace('doc_id, ', 'doc_id, substr(text, 1, 40) AS following, ')}
+WITH {SENTS.replace('s AS', 'w AS')}, s AS (SELECT doc_id, sents[1:(len(sents) + 1) // 2] AS sents, coalesce(sents[(len(sents) + 1) // 2 + 1], '') AS following FROM w)
 SELECT doc_id, array_to_string(CASE WHEN {S.starts('lower(following)', CONNECT)} OR len({_kept('sents', 200)}) = 0 THEN {LAST} ELSE {_kept('sents', 200)} END, ' ') AS overlap FROM s""")
 def _(t):
-    rows = t.documents.select("doc_id", sentences(F.col("text")).alias("s"), F.substring("text", 1, 40).alias("following"))
+    """The first half of each document as a chunk, the sentence after it as what follows."""
+    rows = t.documents.select("doc_id", sentences(F.col("text")).alias("w")).withColumn("half", F.expr("(size(w) + 1) div 2").cast("int"))
+    rows = rows.select("doc_id", F.slice("w", F.lit(1), F.col("half")).alias("s"), F.coalesce(F.get("w", F.col("half")), F.lit("")).alias("following"))
     return rows.select("doc_id", F.array_join(C.contextual_overlap(F.col("s"), F.lit(200), F.col("following")), " ").alias("overlap"))
 
 

@@ -58,14 +58,14 @@ def _(t):
 
 LINES = r"""doc_lines AS (
   SELECT doc_id, (i - 1)::BIGINT AS pos, CASE WHEN i % 10 = 0 THEN 'TABLE' ELSE 'LINE' END AS block_type,
-         CASE WHEN i % 7 = 0 THEN 'HEADING' END AS text_type, CASE WHEN i % 10 > 0 THEN CASE WHEN i % 4 = 0 THEN substr(line, 1, 60) || ':' ELSE line END END AS text,
+         CASE WHEN i % 7 = 0 THEN 'HEADING' END AS text_type, CASE WHEN i % 10 > 0 THEN CASE WHEN i % 4 = 0 THEN line || ':' ELSE line END END AS text,
          ((i - 1) // 5 + 1)::INT AS page
   FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))"""
 
 
 def _line_blocks(t):
     rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("i", F.col("p") + 1)
-    text = F.when(F.col("i") % 10 > 0, F.when(F.col("i") % 4 == 0, F.concat(F.substring("line", 1, 60), F.lit(":"))).otherwise(F.col("line")))
+    text = F.when(F.col("i") % 10 > 0, F.when(F.col("i") % 4 == 0, F.concat("line", F.lit(":"))).otherwise(F.col("line")))
     return _blocks(
         rows, doc_id=F.col("doc_id"), id=F.col("p").cast("string"), pos=F.col("p"),
         block_type=F.when(F.col("i") % 10 == 0, "TABLE").otherwise("LINE"), text_type=F.when(F.col("i") % 7 == 0, "HEADING"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.text import micros
 from ..operators import cost as T
+from ..session import scratch_path
 from . import shared, sqltext as S
 from .registry import query
 
@@ -52,6 +53,32 @@ def _(t):
     return rows.select("api_type", "calls", "timed_calls", F.round("total_ms", 4).alias("total_ms"), F.round("mean_ms", 6).alias("mean_ms"))
 
 
+def _within(rows, key, value, folder):
+    """Whether quantiles from sketches stored by day, read back and merged are within the stated error of their ranks."""
+    shares = {"p50": 0.5, "p95": 0.95}
+    T.quantile_sketches(rows, [key], value).write.parquet(folder)
+    found = T.merged_quantiles(rows.sparkSession.read.parquet(folder), [key], shares)
+    both = rows.filter(F.col(value).isNotNull()).join(found, key)  # a row per key
+    ranks = both.groupBy(key).agg(F.first("n").alias("timed_calls"), *[
+        (F.avg((F.col(value) < F.col(c)).cast("int")) <= q + T.RANK_ERROR).alias(f"{c}_low") for c, q in shares.items()], *[
+        (F.avg((F.col(value) <= F.col(c)).cast("int")) >= q - T.RANK_ERROR).alias(f"{c}_high") for c, q in shares.items()])
+    return ranks.select(key, "timed_calls", *[(F.col(f"{c}_low") & F.col(f"{c}_high")).alias(f"{c}_within") for c in shares])
+
+
+@query("api_call_quantiles", sql="""
+SELECT event_type AS api_type, count(*) AS timed_calls, true AS p50_within, true AS p95_within FROM events WHERE value > 0 GROUP BY event_type""")
+def _(t):
+    rows = t.events.filter("value > 0").select(F.col("event_type").alias("api_type"), "ts", "value")
+    return _within(rows, "api_type", "value", scratch_path(t.spark, "api-sketches"))
+
+
+@query("response_quantiles", sql=f"""
+WITH {shared.USAGE} SELECT model_id, count(*) AS timed_calls, true AS p50_within, true AS p95_within FROM usage GROUP BY model_id""")
+def _(t):
+    rows = shared.usage(t).select("model_id", "ts", (F.length("text") % 97 * 1.5).alias("latency_ms"))
+    return _within(rows, "model_id", "latency_ms", scratch_path(t.spark, "response-sketches"))
+
+
 CONVERSATIONS = f"""{shared.USAGE}, {shared.CACHE_LOG},
 rowsum AS (SELECT conversation_id, total_tokens, 0 AS vector_queries, 0 AS cache_hits, 0 AS cache_misses, gross_cost, {NET} AS net_cost, ts FROM costed
   UNION ALL SELECT conversation_id, 0, CASE WHEN cache_type = 'view' THEN 1 ELSE 0 END, hit::INT, (NOT hit)::INT, 0, 0, ts FROM cache_log),

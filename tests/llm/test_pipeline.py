@@ -9,7 +9,7 @@ from siftwell.llm import cotrain, packing, quality, simhash
 from siftwell.llm.queries import QUERIES, SQL
 
 from .edge import TEXTS, documents, empty
-from .test_groups import plain_components, plain_print
+from .test_resemblance import roots
 from .test_texts import base_counts, brute
 
 FOLDER = "/root/testdata/sf0.01"
@@ -92,7 +92,7 @@ def test_stages(spark, tmp_path):
     assert not {r.doc_id for r in clean.join(good, "doc_id", "left_anti").collect() if labels.get(r.doc_id) == 1}
     single = next_docs("near_duplicates", good)
     texts = {r.doc_id: r.text for r in good.collect()}
-    assert sorted(r.doc_id for r in single.collect()) == sorted(set(plain_components({i: plain_print(t) for i, t in texts.items()}).values()))
+    assert sorted(r.doc_id for r in single.collect()) == sorted(set(roots(texts).values()))
     left = next_docs("decontamination", single)
     texts = {r.doc_id: r.text for r in single.collect()}
     items = [(r.item_id, r.text) for r in read(spark, "benchmark").collect()]
@@ -118,7 +118,7 @@ def test_stages_take_edge_cases(spark):
 def test_registered():
     names = set(entry.queries())
     assert set(QUERIES) | {"pipeline"} <= names and set(SQL) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(set(SQL) - {"op5_interleaved_shards"}))

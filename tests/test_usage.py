@@ -29,6 +29,39 @@ def test_sliding_rate(frame, calls, window, block):
         assert got[i] == sum(s == source and 0 <= (ts - t).total_seconds() <= window for _, s, t in calls)
 
 
+def test_sliding_rate_of_one_hot_source(spark):
+    """90 % of 200,000 calls in one source, a tenth of them at one instant, some without a source: exact, and no task above its share."""
+    rows = spark.range(200_000).select(
+        "id", F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 50 > 0, "cold").alias("source"),
+        F.timestamp_seconds(F.when(F.col("id") % 10 == 5, 5000).otherwise(F.pmod(F.xxhash64("id"), F.lit(10_000)))).alias("ts"))
+    found = T.sliding_rate(rows, "source", 60, 5).groupBy("source", "ts").agg(F.min("recent_calls").alias("a"), F.max("recent_calls").alias("b")).collect()
+    counts = {(r.source, int(r.ts.timestamp())): r["count"] for r in rows.groupBy("source", "ts").count().collect()}
+    for r in found[::37]:
+        second = int(r.ts.timestamp())
+        assert r.a == r.b == sum(counts.get((r.source, t), 0) for t in range(second - 60, second + 1))
+    assert len(found) == len(counts)
+    at = T.sliding_rate(rows, "source", 60, 5, 10)
+    plan = at._jdf.queryExecution().analyzed().toString()
+    assert "_block" in plan and at.filter("recent_calls is null").count() == 0
+
+
+def test_stored_sketches_merge(spark):
+    """Skewed values over many windows: merged quantiles keep their rank within the stated error; nulls and empty tables."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("ts"),
+        F.when(F.col("id") % 7 > 0, F.exp(F.pmod(F.xxhash64("id"), F.lit(1000)) / 100)).alias("v"))
+    sketches = T.quantile_sketches(rows, ["k"], "v")
+    assert 80 < sketches.count() < 90
+    got = {r.k: r for r in T.merged_quantiles(sketches, ["k"], {"q10": 0.1, "q50": 0.5, "q99": 0.99}).collect()}
+    for k in ("hot", "cold"):
+        values = sorted(r.v for r in rows.filter((F.col("k") == k) & F.col("v").isNotNull()).select("v").collect())
+        assert got[k].n == len(values)
+        for c, q in (("q10", 0.1), ("q50", 0.5), ("q99", 0.99)):
+            low, high = sum(v < got[k][c] for v in values) / len(values), sum(v <= got[k][c] for v in values) / len(values)
+            assert low - T.RANK_ERROR <= q <= high + T.RANK_ERROR
+    assert T.merged_quantiles(T.quantile_sketches(rows.limit(0), ["k"], "v"), ["k"], {"m": 0.5}).count() == 0
+
+
 @pytest.mark.parametrize("ttl,block", [(100, None), (100, 100), (700, 900), (5000, None)])
 def test_ttl_reuse(frame, calls, ttl, block):
     got = {(r.source, r.ts_us): (r.requests, r.hits, r.inserted) for r in T.ttl_reuse(frame, "source", ttl, block).collect()}
