@@ -5,6 +5,8 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import rules as R
 from ..functions.text import tokens
 from ..operators import keyword as K, vector as V
+from ..session import scratch_path
+from ..sources.postings import PostingStore
 from . import shared, sqltext as S
 from .registry import query
 
@@ -97,3 +99,40 @@ def _(t):
     q = shared.query_set(t).withColumn("query_text", F.when(F.col("query_id") % 2 == 0, "?!").otherwise(F.col("query_text")))
     rows = K.hybrid_search(_candidates(t), q, 5)
     return rows.select("query_id", "key", F.round("hybrid_score", 6).alias("hybrid_score"), "hybrid_rank")
+
+
+INDEXED = f"""kept AS (SELECT doc_id::VARCHAR AS key, CASE WHEN doc_id % 10 = 5 THEN 'again river ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3),
+sized AS (SELECT key, {S.toks('text')} AS tk FROM kept),
+whole AS (SELECT count(*) AS n_docs, avg(len(tk)) AS avg_tokens FROM sized),
+qt AS (SELECT query_id, term, count(*) AS uses FROM (SELECT item_id AS query_id, unnest({S.toks('text')}) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT key, n_tokens, term, count(*) AS tf FROM (SELECT key, len(tk) AS n_tokens, unnest(tk) AS term FROM sized) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+part AS (SELECT query_id, key, sum(uses * ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (n_tokens / avg_tokens)))) AS raw
+  FROM tf JOIN qt USING (term) JOIN dfs USING (term), whole GROUP BY ALL)"""
+
+
+def _index(t):
+    """Built from nine tenths; the rest added, a tenth removed, a tenth replaced."""
+    docs = t.documents.select("doc_id", "text")
+    store = PostingStore(t.spark, scratch_path(t.spark, "postings"))
+    store.add(docs.filter("doc_id % 10 < 9"), "doc_id", "text")
+    store.add(docs.filter("doc_id % 10 = 9"), "doc_id", "text")
+    store.remove(docs.filter("doc_id % 10 = 3"), "doc_id")
+    store.add(docs.filter("doc_id % 10 = 5").withColumn("text", F.concat(F.lit("again river "), "text")), "doc_id", "text")
+    return store
+
+
+@query("bm25_index", sql=f"""
+WITH {INDEXED}, r AS (SELECT query_id, key, raw, (row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, key))::INT AS rank FROM part WHERE raw > 0)
+SELECT query_id, key, round(raw, 6) AS bm25, rank FROM r WHERE rank <= 10""")
+def _(t):
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return _index(t).bm25(asked, 10).withColumn("bm25", F.round("bm25", 6))
+
+
+@query("posting_stats", sql=f"WITH {INDEXED.split('qt AS')[0].rstrip().rstrip(',')} SELECT count(*) AS total_docs, sum(len(tk))::BIGINT AS total_tokens, round(avg(len(tk)), 6) AS avg_length FROM sized")
+def _(t):
+    """Statistics after the changes and a compaction."""
+    store = _index(t)
+    store.compact()
+    return store.stats().withColumn("avg_length", F.round("avg_length", 6))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import retrieve as Q, vector as V
-from . import keywords, shared, sqltext as S
+from . import keywords, search, shared, sqltext as S
 from .registry import query
 
 # --- analysis over every conversation turn, with a phrase by turn to reach each rule ---
@@ -157,3 +157,14 @@ SELECT query_id, key, round(score, 6) AS score, (row_number() OVER (PARTITION BY
 def _(t):
     hits = Q.retrieve(shared.vectors(t), shared.query_set(t), 5, multi_stage=False, threshold=0.3)
     return hits.select("query_id", "key", F.round("score", 6).alias("score"), "rank")
+
+
+ALLOWED = f"""{shared.PAIRS.replace('pairs AS (', 'all_pairs AS (', 1)}, seen AS (SELECT query_id, {search.SEEN} FROM questions),
+pairs AS (SELECT p.* FROM all_pairs p JOIN vectors v USING (key) JOIN seen s USING (query_id) WHERE {search.SEES})"""
+
+
+@query("retrieve_filtered", sql=f"{HYBRID.replace(shared.PAIRS, ALLOWED, 1)} {FINAL}")
+def _(t):
+    """All stages, with filters of each question's own."""
+    found = Q.retrieve(search.undated(shared.vectors(t)), search.asking(t))
+    return _rounded(found, IDS, "similarity", "rerank_score", "final_threshold")

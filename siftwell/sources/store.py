@@ -28,36 +28,15 @@ class Change:
     bound: int = 0  # of an expiry: microseconds since 1970
 
 
-class VectorStore:
-    """An existing table; ``create`` makes one. A document is replaced, deleted and read as a whole.
+class ChangeLog:
+    """Marker files below ``_log`` of a table's folder: claimed version numbers, and the changes that count."""
 
-    The table records the dimension and the metric of its vectors; rows of another
-    dimension are not stored, ``misfits`` returns them. Buckets hold whole
-    documents, whose size the readers of ``corpus`` bound.
-    """
+    KINDS = ("put", "delete", "expire", "compact")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._files = self._path(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        spec = [n for n in self._names() if n.startswith("spec-")]
-        if not spec:
-            raise FileNotFoundError(f"{path} holds no vector table")
-        _, dim, self.metric, buckets = spec[0].split("-")
-        self.dim, self.buckets = int(dim), int(buckets)
-
-    @classmethod
-    def create(cls, spark: SparkSession, path: str, dim: int = 0, metric: str = "COSINE", buckets: int = VECTOR_BUCKETS) -> VectorStore:
-        """An empty table; an existing one is left as it is and returned. Dimension 0 takes vectors of any size."""
-        if metric not in METRICS:
-            raise ValueError(f"unknown metric {metric}")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_log")
-        files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        if not files.exists(folder):
-            files.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(folder, f"spec-{int(dim)}-{metric}-{int(buckets)}"))
-        return cls(spark, path)
-
-    # --- the log ---
 
     def _names(self) -> list[str]:
         folder = self._path(f"{self.path}/_log")
@@ -79,7 +58,45 @@ class VectorStore:
     def changes(self) -> list[Change]:
         """Changes that count, oldest first."""
         parts = [n.split("-") for n in sorted(self._names()) if n[0].isdigit()]
-        return [Change(int(p[0]), p[1], int(p[2]) if len(p) > 2 else 0) for p in parts if p[1] in ("put", "delete", "expire", "compact")]
+        return [Change(int(p[0]), p[1], int(p[2]) if len(p) > 2 else 0) for p in parts if p[1] in self.KINDS]
+
+    def _generation(self, changes: list[Change]) -> int:
+        """Version of the last compaction; what is older is not read."""
+        return max((c.version for c in changes if c.kind == "compact"), default=0)
+
+    def _current(self) -> list[int]:
+        """Versions to read."""
+        changes = self.changes()
+        last = self._generation(changes)
+        return [c.version for c in changes if c.version >= last and c.kind != "expire"]
+
+
+class VectorStore(ChangeLog):
+    """An existing table; ``create`` makes one. A document is replaced, deleted and read as a whole.
+
+    The table records the dimension and the metric of its vectors; rows of another
+    dimension are not stored, ``misfits`` returns them. Buckets hold whole
+    documents, whose size the readers of ``corpus`` bound.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path)
+        spec = [n for n in self._names() if n.startswith("spec-")]
+        if not spec:
+            raise FileNotFoundError(f"{path} holds no vector table")
+        _, dim, self.metric, buckets = spec[0].split("-")
+        self.dim, self.buckets = int(dim), int(buckets)
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, dim: int = 0, metric: str = "COSINE", buckets: int = VECTOR_BUCKETS) -> VectorStore:
+        """An empty table; an existing one is left as it is and returned. Dimension 0 takes vectors of any size."""
+        if metric not in METRICS:
+            raise ValueError(f"unknown metric {metric}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_log")
+        files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not files.exists(folder):
+            files.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(folder, f"spec-{int(dim)}-{metric}-{int(buckets)}"))
+        return cls(spark, path)
 
     # --- the rows ---
 
@@ -104,9 +121,6 @@ class VectorStore:
         rows = rows.withColumns({"version": F.lit(version).cast("long"), "gone": F.coalesce("gone", F.lit(False))})
         rows.select(*self.spark.table(table).columns).write.option("maxRecordsPerFile", MOST_ROWS).insertInto(table)
 
-    def _generation(self, changes: list[Change]) -> int:
-        return max((c.version for c in changes if c.kind == "compact"), default=0)
-
     def _fits(self) -> Column:
         return F.lit(True) if not self.dim else F.size("embedding") == self.dim
 
@@ -197,6 +211,39 @@ class VectorStore:
                 self._files.delete(status.getPath(), True)
 
 
+class KeyedTable(ChangeLog):
+    """The last row per key of a stream of updates: updates are appended, and merged into one folder every few of them."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], every: int = 20):
+        super().__init__(spark, path)
+        self.keys, self.every = keys, every
+
+    def _rows(self, versions: list[int]) -> DataFrame:
+        rows = self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/version={v}" for v in versions])
+        last = [c for c in rows.columns if c not in (*self.keys, "version")]
+        merged = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*last), "version").alias("row"))
+        return merged.select(*self.keys, "row.*")
+
+    def read(self) -> DataFrame:
+        """One row per key: those of the last merged folder and of the updates since."""
+        return self._rows(self._current())
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Rows that replace those of the same keys; a key may come once in them. Every ``every`` updates all are merged."""
+        version = self._claim()
+        rows.write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        self._mark(f"{version:012d}-put")
+        if len(self._current()) > self.every:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write one row per key as a folder of its own; older folders are not read any more and go once nobody reads them."""
+        version, held = self._claim(), self._current()
+        self._mark(f"{version:012d}-compacting")
+        self._rows(held).write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        self._mark(f"{version:012d}-compact")
+
+
 def put_vectors(chunks: DataFrame, path: str, gone: DataFrame | None = None, dim: int = 0) -> int:
     """Store documents by key in the table at ``path``, which is made if there is none."""
     return VectorStore.create(chunks.sparkSession, path, dim).put(chunks, gone)

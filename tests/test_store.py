@@ -1,5 +1,6 @@
 """The appending vector table: what changes cost, who sees what, and named tables."""
 
+import math
 import os
 
 import pytest
@@ -9,7 +10,8 @@ from siftwell.operators import lifecycle
 from siftwell.operators.chunk import chunk_neighbours
 from siftwell.operators.describe import describe
 from siftwell.sources import corpus
-from siftwell.sources.store import VectorStore, put_vectors, read_vectors
+from siftwell.sources.postings import PostingStore
+from siftwell.sources.store import KeyedTable, VectorStore, put_vectors, read_vectors
 
 
 def chunks(spark, ids, chunks=3, mark="", at="2024-05-01", dim=4):
@@ -119,3 +121,65 @@ def test_named_table_holds_stored_rows(spark, tmp_path):
     with pytest.raises(Exception, match="takes 4 dimensions"):
         lifecycle.insert_vectors(corpus.vector_rows(chunks(spark, [4], dim=5)), "named_vectors")
     assert lifecycle.drop_vectors(spark, "named_vectors", force=True) == 9
+
+
+def test_keyed_table_keeps_the_last_row(spark, tmp_path):
+    """Many updates: one row per key, and no more folders are read than since the last merge."""
+    table = KeyedTable(spark, str(tmp_path / "k"), ["id"], every=4)
+    want = {}
+    for n in range(11):
+        rows = [(i, n * 100 + i) for i in range(n % 3, 12, 3)]
+        table.upsert(spark.createDataFrame(rows, "id int, v int"))
+        want |= dict(rows)
+        assert {r.id: r.v for r in table.read().collect()} == want
+        assert len(table._current()) <= 5
+    assert len(table.read().inputFiles()) < 30
+
+
+def plain_bm25(docs, question):
+    words = {k: t.lower().split() for k, t in docs.items()}
+    mean, out = sum(map(len, words.values())) / len(words), {}
+    for k, w in words.items():
+        score = 0.0
+        for term in question.lower().split():
+            tf, df = w.count(term), sum(term in x for x in words.values())
+            if tf:
+                score += math.log((len(words) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))
+        if score > 0:
+            out[k] = round(score, 6)
+    return out
+
+
+def test_postings_change_by_document(spark, tmp_path):
+    """Added, replaced (by a shorter text), removed, repeated and empty documents: scores are those of a fresh index."""
+    import random
+
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(n))
+    docs = {str(i): text(rng.randint(5, 40)) for i in range(120)}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id string, text string")
+    asked = spark.createDataFrame([(1, "w30 w31 w30"), (2, "w1 nothing"), (3, ""), (4, None)], "query_id int, query_text string")
+    store = PostingStore(spark, str(tmp_path / "p"))
+    assert store.bm25(asked, 5).count() == 0 and store.stats().first().total_docs == 0
+
+    def same(now):
+        got = store.bm25(asked, 1000).collect()
+        for q, question in ((1, "w30 w31 w30"), (2, "w1 nothing")):
+            assert {r.key: round(r.bm25, 6) for r in got if r.query_id == q} == plain_bm25(now, question)
+        assert {r.query_id for r in got} <= {1, 2}
+
+    store.add(frame(docs), "id", "text")
+    same(docs)
+    store.remove(frame({k: "" for k in list(docs)[:12]}), "id")
+    docs = dict(list(docs.items())[12:])
+    same(docs)
+    changed = {k: text(3) for k in list(docs)[:12]} | {"new": text(30), "blank": "..."}
+    store.add(frame(changed), "id", "text")
+    docs |= changed | {"blank": ""}
+    same(docs)
+    store._claim()  # a change that failed
+    store.compact()
+    same(docs)
+    store.remove(frame({"new": ""}), "id")
+    del docs["new"]
+    same(docs)
