@@ -161,3 +161,35 @@ def _(t):
     rows = t.spark.read.parquet(J.drain(stream, "late-out"))
     return rows.select(F.lit(resent).cast("bigint").alias("resent"), micros(F.col("window_start")).alias("window_us"), "metric_name",
                        F.round("total", 4).alias("total"), "samples", "peak")
+
+
+@query("stream_totals", sql=f"""
+WITH {shared.USAGE} SELECT conversation_id, sum(total_tokens)::BIGINT AS total_tokens, round(sum(gross_cost), 9) AS gross_cost, count(*) AS rows, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us FROM costed GROUP BY conversation_id""")
+def _(t):
+    """Totals whose state ends after an hour's pause, the last row per conversation in a keyed table."""
+    spent, path = K.token_cost(shared.usage(_streams(t)), K.price_table(t.spark)), scratch_path(t.spark, "totals")
+    values = ["total_tokens", "gross_cost"]
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    try:
+        J.stream_totals(spent, "conversation_id", values, path, scratch_path(t.spark, "totals-state")).awaitTermination()
+    finally:
+        t.spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    rows = J.read_totals(t.spark, path, "conversation_id", values)
+    return rows.select("conversation_id", F.col("total_tokens").cast("bigint"), F.round("gross_cost", 9).alias("gross_cost"), "rows", "start_us", "last_us")
+
+
+@query("stream_late_rows", sql="""
+WITH e AS (SELECT event_type, ts < (SELECT min(ts) + INTERVAL 1 DAY FROM events) AS again FROM events)
+SELECT event_type, count(*) AS on_time, count_if(again)::BIGINT AS late, (count(*) + count_if(again))::BIGINT AS rows FROM e GROUP BY event_type""")
+def _(t):
+    """The table, then its first day once more: late rows are kept beside the others, and both together are the input."""
+    folder, path = scratch_path(t.spark, "late-in"), scratch_path(t.spark, "late-split")
+    first = t.events.agg(F.min("ts")).first()[0]
+    again = t.events.filter(F.timestamp_diff("HOUR", F.lit(first).cast("timestamp_ntz"), F.col("ts")) < 24)
+    for part, rows in enumerate((t.events, again)):
+        rows.coalesce(1).write.parquet(f"{folder}/part={part}")
+    stream = J.table_stream(t.spark, f"{folder}/*/*.parquet", t.events.schema, "1")
+    J.split_late(stream, path, scratch_path(t.spark, "late-split-state")).awaitTermination()
+    counts = lambda sink: J.split_rows(t.spark, path, sink).groupBy("event_type").agg(F.count(F.lit(1)).alias(sink))
+    both = counts("on_time").join(counts("late"), "event_type", "left").fillna(0, ["late"])
+    return both.withColumn("rows", F.col("on_time") + F.col("late"))

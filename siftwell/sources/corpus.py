@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import rules as R
@@ -32,6 +34,12 @@ def doc_id_from_path(path: Column, root: str = "") -> Column:
     return F.regexp_replace(relative, r"[/\\]", "_")
 
 
+def below(path: Column, folder: str) -> Column:
+    """A file's path without the folder it was read from."""
+    root = "(?:[a-z]+:)?/*" + re.escape(folder.split(":", 1)[-1].strip("/")) + "/"
+    return F.regexp_replace(path, "^" + root, "")
+
+
 def stem(path: Column) -> Column:
     """File name without its last extension."""
     return F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
@@ -62,10 +70,8 @@ def read_text_corpus(spark: SparkSession, path: str, exts: list[str] | None = No
     )
     meta = files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
                         F.col("_metadata.file_modification_time").alias("modified"))
-    root = "(?:file:)?/*" + path.split(":", 1)[-1].strip("/").replace(".", r"\.") + "/"
-    relative = F.regexp_replace("path", "^" + root, "")
     return meta.filter(F.col("size") <= max_bytes).select(
-        doc_id_from_path(relative).alias("doc_id"), "path", extension(F.col("path")).alias("ext"), "size", "modified",
+        doc_id_from_path(below(F.col("path"), path)).alias("doc_id"), "path", extension(F.col("path")).alias("ext"), "size", "modified",
         F.col("value").alias("text"))
 
 

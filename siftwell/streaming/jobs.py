@@ -19,10 +19,10 @@ from ..functions.text import micros
 from ..operators import chunk as C, cost as K, describe as D, screen as G
 from ..session import scratch_path
 from ..sources import corpus as S
-from ..sources.store import put_vectors
+from ..sources.store import KeyedTable, put_vectors
 
 LATENESS = "10 minutes"
-MAX_FILES, MAX_BYTES = "1000", "10g"
+MAX_FILES, MAX_BYTES = "1000", str(10 * 1024**3)
 
 
 # --- plumbing -------------------------------------------------------------------------
@@ -33,15 +33,31 @@ def table_stream(spark: SparkSession, path: str, schema: T.StructType, max_files
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def document_stream(spark: SparkSession, path: str, exts: list[str], max_bytes: str = MAX_BYTES) -> DataFrame:
-    """Text files as they arrive: doc_id, ext, text. The size guard runs on the listing's sizes."""
+def _file_stream(spark: SparkSession, path: str, max_bytes: str) -> DataFrame:
     files = (
         spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{" + ",".join(exts) + "}").option("maxBytesPerTrigger", max_bytes).load(path)
+        .option("maxBytesPerTrigger", max_bytes).load(path)
     )
-    named = files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
-    return named.filter(S.size_reason(F.col("size"), F.lit(0)).isNull()).select(
-        S.stem(F.col("path")).alias("doc_id"), S.extension(F.col("path")).alias("ext"), F.col("value").alias("text"))
+    return files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+
+
+def document_stream(spark: SparkSession, path: str, exts: list[str], max_bytes: str = MAX_BYTES) -> DataFrame:
+    """Text files as they arrive: doc_id, ext, text. Ids come from the path below ``path``, so files of one name stay apart.
+
+    Sizes are known from the listing; a text that is too long is left out after
+    reading. ``rejected_stream`` has what is left out.
+    """
+    named = _file_stream(spark, path, max_bytes).filter(S.supported_type(F.col("path"), exts))
+    fits = S.size_reason(F.col("size"), F.lit(0)).isNull() & S.size_reason(F.lit(0), F.length("value")).isNull()
+    return named.filter(fits).select(
+        S.doc_id_from_path(S.below(F.col("path"), path)).alias("doc_id"), S.extension(F.col("path")).alias("ext"), F.col("value").alias("text"))
+
+
+def rejected_stream(spark: SparkSession, path: str, exts: list[str], max_bytes: str = MAX_BYTES) -> DataFrame:
+    """The files that ``document_stream`` leaves out, as they arrive: path, size, reject_reason."""
+    named = _file_stream(spark, path, max_bytes)
+    reason = F.when(~S.supported_type(F.col("path"), exts), "unsupported_type").otherwise(S.size_reason(F.col("size"), F.length("value")))
+    return named.select("path", "size", reason.alias("reject_reason")).filter("reject_reason is not null")
 
 
 def start(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append",
@@ -137,6 +153,48 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
 
 
+def split_late(stream: DataFrame, path: str, checkpoint: str, width: str = "5 minutes", lateness: str = LATENESS,
+               interval: str | None = None) -> StreamingQuery:
+    """Two sinks below ``path``: ``on_time`` and ``late``, with all rows of the input between them.
+
+    A row is late when its window of ``width`` had closed before its micro-batch:
+    when the window's end is not after the latest time of all earlier
+    micro-batches less ``lateness``. That mark is written per micro-batch, so a
+    repeated one splits the same way. A row without a time is on time.
+    """
+    spark = stream.sparkSession
+    marks = f"{path}/marks"
+
+    def mark_before(batch_id: int) -> int | None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(marks)
+        files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        earlier = [n.split("-") for n in names if int(n.split("-")[0]) < batch_id]
+        return max((int(us) for _, us in earlier), default=None)
+
+    length = lambda text: int(spark.sql(f"SELECT unix_micros(TIMESTAMP_SECONDS(0) + INTERVAL {text})").first()[0])
+    wide, slack = length(width), length(lateness)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("_end", (F.floor(micros(F.col("ts")) / wide) + 1) * wide)
+        seen = mark_before(batch_id)
+        bound = None if seen is None else seen - slack
+        late = F.lit(False) if bound is None else F.coalesce(F.col("_end") <= bound, F.lit(False))
+        rows.withColumn("sink", F.when(late, "late").otherwise("on_time")).drop("_end").write.mode("overwrite").partitionBy("sink").parquet(
+            f"{path}/rows/batch_id={batch_id}")
+        latest_us = batch.agg(F.max(micros(F.col("ts")))).first()[0]
+        if latest_us is not None or seen is not None:
+            mark = spark._jvm.org.apache.hadoop.fs.Path(f"{marks}/{batch_id}-{max(x for x in (latest_us, seen) if x is not None)}")
+            mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).createNewFile(mark)
+
+    return start(stream, checkpoint, write, interval=interval)
+
+
+def split_rows(spark: SparkSession, path: str, sink: str) -> DataFrame:
+    """What ``split_late`` wrote to one of its sinks."""
+    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").filter(F.col("sink") == sink).drop("sink", "batch_id")
+
+
 # --- W4: conversations -------------------------------------------------------------------------------
 
 
@@ -145,6 +203,66 @@ def stream_conversation_state(usage: DataFrame) -> DataFrame:
     return K.conversation_cost(usage)
 
 
+class _Totals(StatefulProcessor):
+    """Per key: totals since its first row. A timer ends them once nothing came for the gap, by event time."""
+
+    def __init__(self, key: str, values: list[str], gap_us: int):
+        self.key, self.values, self.gap_us = key, values, gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = [T.StructField(c, T.DoubleType()) for c in self.values]
+        self.state = handle.getValueState("totals", T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("part", "rows", "start_us", "last_us")]]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        sums, n, low, high = np.zeros(len(self.values)), 0, None, None
+        for r in rows:
+            sums += r[self.values].sum().to_numpy(dtype=float)
+            n += len(r)
+            a, b = int(r["ts_us"].min()), int(r["ts_us"].max())
+            low, high = a if low is None else min(low, a), b if high is None else max(high, b)
+        part = low
+        if self.state.exists():
+            *old, began, before, start, last = self.state.get()
+            self.handle.deleteTimer((last + self.gap_us) // 1000)
+            if low <= last + self.gap_us:  # else the pause came before its timer
+                sums, part, n, low, high = sums + np.array(old), began, n + before, min(low, start), max(high, last)
+        self.state.update((*map(float, sums), part, n, low, high))
+        self.handle.registerTimer((high + self.gap_us) // 1000)
+        yield pd.DataFrame({self.key: [key[0]], "part": [part], **{c: [float(x)] for c, x in zip(self.values, sums)}, "rows": [n], "start_us": [low], "last_us": [high]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_totals(rows: DataFrame, key: str, values: list[str], path: str, checkpoint: str, gap_seconds: int = 3600,
+                  lateness: str = LATENESS, interval: str | None = None, every: int = 20) -> StreamingQuery:
+    """Running totals per key whose state ends with a pause, and the last of them in a keyed table at ``path``.
+
+    A row of the table is one key and ``part``, the time its state began; totals
+    per key are sums over its parts (``read_totals``). Needs the RocksDB state
+    store. A repeated micro-batch writes the same rows again.
+    """
+    spark = rows.sparkSession
+    table = KeyedTable(spark, path, [key, "part"], every)
+    fields = [rows.schema[key], T.StructField("part", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in values]]
+    out = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("rows", "start_us", "last_us")]])
+    picked = timed(rows, lateness).select(key, "ts", micros(F.col("ts")).alias("ts_us"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in values])
+    totals = picked.groupBy(key).transformWithStateInPandas(
+        _Totals(key, values, gap_seconds * 1_000_000), outputStructType=out, outputMode="update", timeMode="eventTime")
+    return start(totals, checkpoint, lambda batch, batch_id: table.upsert(batch), "update", interval)
+
+
+def read_totals(spark: SparkSession, path: str, key: str, values: list[str]) -> DataFrame:
+    """Totals per key over all its parts."""
+    return KeyedTable(spark, path, [key, "part"]).read().groupBy(key).agg(
+        *[F.sum(c).alias(c) for c in values], F.sum("rows").alias("rows"), F.min("start_us").alias("start_us"), F.max("last_us").alias("last_us"))
+
+
 def stream_sessions(usage: DataFrame, gap: str, value: str, lateness: str = LATENESS) -> DataFrame:
     """Bounded form: a conversation's state ends with a pause longer than ``gap``."""
     return (
