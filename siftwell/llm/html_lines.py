@@ -19,9 +19,10 @@ LINES = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas audio video map "
-    "dialog menu fieldset".split()
+    "script style noscript template head title nav footer aside button select option textarea iframe object svg canvas audio video map "
+    "dialog menu".split()
 )
+FORMS = frozenset("form fieldset".split())
 OUTSIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split()
 )
@@ -31,6 +32,9 @@ OUTSIDE_WORDS = frozenset(
     "paywall comment comments disqus replies respond share sharing social related recommended trending pagination pager toolbar".split()
 )
 OUTSIDE_NAMES = frozenset("header site-header page-header top-bar topbar".split())
+# A name with such a beginning says how something else is laid out; words that name a part a layout may be called after.
+LAYOUT = ("has-", "with-", "without-", "no-", "is-", "has_", "with_", "no_", "is_")
+LAYOUT_WORDS = frozenset("sidebar nav navbar navigation menu banner footer masthead toolbar breadcrumb breadcrumbs".split())
 
 
 @dataclass(frozen=True)
@@ -64,30 +68,38 @@ def _tag_end(html: str, at: int) -> int:
 
 
 class _Lines:
-    """A page as lines: (text, characters outside links, inside the marked article); removed parts leave a gap.
+    """A page as lines: (text, characters outside links, inside the marked article, inside a form, container); removed parts leave a gap.
 
-    The page is scanned once from left to right, so its cost is its length however broken the markup is.
+    The container is the number of the element that holds the line's own block.
+    What is called after a layout is cut only as far as it does not hold the
+    first marked article, and ``main`` is never cut by its name. The page is
+    scanned once from left to right, so its cost is its length however broken the
+    markup is.
     """
 
     def __init__(self, gap: int):
         self.gap = gap
-        self.out: list[tuple[str, int, bool]] = []
+        self.out: list[tuple[str, int, bool, bool, int]] = []
         self.parts: list[str] = []
         self.plain = 0
         self.open: list[tuple[str, str]] = []  # open elements and what they are: cut, article, link or nothing
         self.count: dict[str, int] = {}
-        self.cut = self.article = self.link = 0
+        self.cut = self.article = self.link = self.form = 0
+        self.held: list[int] = []  # numbers of cuts that a marked article inside them has lifted
+        self.blocks = [0, 0]  # numbers of the open block elements
+        self.number = 0
+        self.seen = False  # an article was marked
 
     def _end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.out.append((text, self.plain, self.article > 0))
+                self.out.append((text, self.plain, self.article > 0, self.form > 0 and not self.article, self.blocks[-2]))
             self.parts, self.plain = [], 0
 
     def _gap(self) -> None:
         self._end_line()
-        self.out += [("", 0, self.article > 0)] * self.gap
+        self.out += [("", 0, self.article > 0, False, 0)] * self.gap
 
     def _kind(self, tag: str, attributes: str) -> str:
         if tag in ("body", "html"):
@@ -100,22 +112,36 @@ class _Lines:
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
         if tag in OUTSIDE or role in OUTSIDE_ROLES or hidden or (tag == "header" and not self.article):
             return "cut"
-        if names.strip() and (OUTSIDE_WORDS & set(re.split(r"[^a-z0-9]+", names)) or OUTSIDE_NAMES & set(names.split())):
+        whole = [n for n in names.split() if not n.startswith(LAYOUT)]
+        words = OUTSIDE_WORDS & set(re.split(r"[^a-z0-9]+", " ".join(whole)))
+        main = tag == "main" or role == "main"
+        if words and not (main or words <= LAYOUT_WORDS) or OUTSIDE_NAMES & set(whole):
             return "cut"
-        if tag in ("article", "main") or role in ("article", "main") or values.get("itemprop") == "articleBody":
+        if main or tag == "article" or role == "article" or values.get("itemprop") == "articleBody":
             return "article"
+        if words:
+            return "layout"
+        if tag in FORMS:
+            return "cut" if self.article else "form"
         return "link" if tag == "a" else ""
 
     def _leave(self) -> str:
         tag, kind = self.open.pop()
         self.count[tag] -= 1
-        if kind == "cut":
+        if tag in LINES:
+            self.blocks.pop()
+        if kind in ("cut", "layout"):
             self.cut -= 1
-        elif kind == "article":
+        elif kind in ("article", "lifted"):
             self._gap()
             self.article -= 1
+            if kind == "lifted":
+                self.cut = self.held.pop()
         elif kind == "link":
             self.link -= 1
+        elif kind == "form":
+            self._end_line()
+            self.form -= 1
         return tag
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -129,15 +155,26 @@ class _Lines:
         if tag in VOID:
             return
         kind = self._kind(tag, attributes)
-        if kind == "cut":
+        if kind in ("cut", "layout"):
             if not self.cut and tag in LINES:
                 self._gap()
             self.cut += 1
         elif kind == "article":
+            if self.cut and not self.seen and all(k != "cut" for _, k in self.open):
+                kind = "lifted"
+                self.held.append(self.cut)
+                self.cut = 0
             self._gap()
             self.article += 1
+            self.seen = self.seen or not self.cut
         elif kind == "link":
             self.link += 1
+        elif kind == "form":
+            self._end_line()
+            self.form += 1
+        if tag in LINES:
+            self.number += 1
+            self.blocks.append(self.number)
         self.open.append((tag, kind))
         self.count[tag] = self.count.get(tag, 0) + 1
 
@@ -201,28 +238,55 @@ def extract(html: str | None, window: Window = Window()) -> str:
     """Main text of one page: the lines between each surge of the line-block distribution and the dive after it.
 
     A line weighs its characters outside links. Where the page marks an article
-    (``article``, ``main`` or their roles), lines outside it weigh nothing and
-    every surge within it counts; elsewhere a surge must reach ``window.surge``.
-    If nothing surges, the heaviest run of lines is the text.
+    (``article``, ``main`` or their roles), lines outside it weigh nothing, every
+    line within it weighs something and every surge counts; elsewhere a surge must
+    reach ``window.surge``, what stands in a form counts only if nothing else
+    surges, and lines in a container of kept lines stay too: all that have text
+    outside links, and those of links alone that stand between kept ones or next
+    to one. If nothing surges, the heaviest run of lines is the text.
     """
     lines = _Lines(window.lines).read(html or "")
     if not lines:
         return ""
-    marked = np.array([a for _, _, a in lines])
-    full = np.array([bool(t) for t, _, _ in lines])
-    weight = np.array([w for _, w, _ in lines], np.int64)
-    least = window.surge
+    marked = np.array([x[2] for x in lines])
+    full = np.array([bool(x[0]) for x in lines])
+    weight = np.array([x[1] for x in lines], np.int64)
+    form = np.array([x[3] for x in lines])
     if (marked & (weight > 0)).any():
-        full, weight, least = full & marked, np.where(marked, weight, 0), 1
+        full &= marked
+        keep = _between(np.where(full, np.maximum(weight, 1), 0), window, 1) & full
+    else:
+        plain = np.where(form, 0, weight)
+        if _blocks(plain, window).max() >= window.surge:
+            full, weight = full & ~form, plain
+        keep = _between(weight, window, window.surge) & full & (weight > 0)
+        container = np.array([x[4] for x in lines])
+        beside = full & np.isin(container, np.unique(container[keep]))
+        keep |= beside & (weight > 0)
+        near = keep.copy()
+        near[1:] |= keep[:-1]
+        near[:-1] |= keep[1:]
+        at = np.flatnonzero(keep)
+        if len(at):
+            near[at[0] : at[-1]] = True
+        keep |= beside & near
+    return "\n".join(lines[i][0] for i in np.flatnonzero(keep))
+
+
+def _blocks(weight: np.ndarray, window: Window) -> np.ndarray:
+    """Weight of each line and those behind it, ``window.lines`` in all."""
     total = np.cumsum(np.concatenate((weight, np.zeros(window.lines, np.int64))))
-    block = total[window.lines - 1 : len(weight) + window.lines - 1] - total[: len(weight)] + weight
-    # runs of lines between dives: a dive is where the block sum falls to zero
+    return total[window.lines - 1 : len(weight) + window.lines - 1] - total[: len(weight)] + weight
+
+
+def _between(weight: np.ndarray, window: Window, least: int) -> np.ndarray:
+    """Lines of the runs between dives, where the block sum falls to zero, in which it reaches ``least``."""
+    block = _blocks(weight, window)
     runs = np.cumsum(block == 0)
     risen = np.unique(runs[(block >= least)])
     if not len(risen) and weight.any():
         risen = np.array([np.argmax(np.bincount(runs, weight))])
-    keep = full & np.isin(runs, risen) & (block > 0)
-    return "\n".join(lines[i][0] for i in np.flatnonzero(keep))
+    return np.isin(runs, risen) & (block > 0)
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", window: Window = Window()) -> DataFrame:
