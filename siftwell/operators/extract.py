@@ -146,11 +146,10 @@ def key_value_pairs(blocks: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "field").agg(F.max_by("value", "pos").alias("value"), F.max("pos").alias("pos"))
 
 
-def table_grid(blocks: DataFrame) -> DataFrame:
-    """Cell blocks as rows of text: doc_id, table_id, row_count, column_count, within_limits, grid.
+def table_cells(blocks: DataFrame) -> DataFrame:
+    """Every cell of every table in long form, whatever its size: doc_id, table_id, row_index, column_index, cell.
 
-    Gaps are empty strings and rows stay ragged. Tables over the size limit are
-    marked and carry no grid; their cells are dropped before anything is gathered.
+    Of several cells at one place the last in reading order counts.
     """
     tables = blocks.filter("block_type = 'TABLE'").select("doc_id", F.col("id").alias("table_id"))
     cells = blocks.filter("block_type = 'CELL'").select(
@@ -158,17 +157,25 @@ def table_grid(blocks: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(F.flatten(F.transform(
             F.filter("relationships", lambda r: r["type"] == "CHILD"), lambda r: r["ids"])))).alias("table_id"),
     ).join(tables, ["doc_id", "table_id"])
+    texts = block_children_text(blocks.filter("block_type in ('CELL', 'WORD', 'LINE')"))
+    return cells.join(texts, ["doc_id", "id"]).groupBy("doc_id", "table_id", "row_index", "column_index").agg(
+        F.max_by("block_text", "pos").alias("cell"))
+
+
+def table_grid(blocks: DataFrame) -> DataFrame:
+    """Cell blocks as rows of text: doc_id, table_id, row_count, column_count, within_limits, grid.
+
+    Gaps are empty strings and rows stay ragged. Tables over the size limit are
+    marked and carry no grid; ``table_cells`` has their cells.
+    """
+    tables = blocks.filter("block_type = 'TABLE'").select("doc_id", F.col("id").alias("table_id"))
+    cells = table_cells(blocks)
     sizes = cells.groupBy("doc_id", "table_id").agg(
         F.max("row_index").alias("row_count"), F.max("column_index").alias("column_count")
     ).withColumn("within_limits", (F.col("row_count") <= MAX_TABLE_ROWS) & (F.col("column_count") <= MAX_TABLE_COLUMNS))
-    texts = block_children_text(blocks.filter("block_type in ('CELL', 'WORD', 'LINE')"))
-    # cells beyond the limits are dropped first, so one table is a bounded group and is shuffled once
+    # cells beyond the limits stay out of the grid, so one table is a bounded group
     rows = (
         cells.filter((F.col("row_index") <= MAX_TABLE_ROWS) & (F.col("column_index") <= MAX_TABLE_COLUMNS))
-        .join(texts, ["doc_id", "id"])
-        .repartition("doc_id", "table_id")
-        .groupBy("doc_id", "table_id", "row_index", "column_index")
-        .agg(F.max_by("block_text", "pos").alias("cell"))
         .groupBy("doc_id", "table_id", "row_index")
         .agg(F.map_from_entries(F.collect_list(F.struct("column_index", "cell"))).alias("cells"))
         .select(

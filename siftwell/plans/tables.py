@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions.text import micros
 from ..operators import lifecycle as D
@@ -53,6 +53,18 @@ def _(t):
     return D.compaction_report(t.spark.read.parquet(path))
 
 
+@query("compacted_rows", sql="SELECT label, count(*) AS vectors, sum(vec_id)::BIGINT AS keys, 0::BIGINT AS out_of_order FROM embeddings GROUP BY label")
+def _(t):
+    """Content and order of the files that a compaction wrote."""
+    path = scratch_path(t.spark, "compacted")
+    D.compact_vectors(_v(t), path, "label")
+    rows = t.spark.read.parquet(path).select("label", "key", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = F.lag(F.struct("label", "key")).over(W.partitionBy("file").orderBy("at"))
+    wrong = F.coalesce(before > F.struct("label", "key"), F.lit(False))
+    return rows.withColumn("wrong", wrong).groupBy("label").agg(
+        F.count(F.lit(1)).alias("vectors"), F.sum("key").alias("keys"), F.count_if("wrong").alias("out_of_order"))
+
+
 @query("upsert_vectors", sql=f"""
 WITH {V}, c AS (SELECT key, doc_id, label + 100 AS label, CASE WHEN key % 2 = 0 THEN created_at ELSE created_at + INTERVAL 1 DAY * (CASE WHEN key % 3 = 0 THEN -1 ELSE 1 END) END AS created_at FROM v WHERE key IN (SELECT doc_id FROM labels)
   UNION ALL SELECT key + 1000000, doc_id, label, created_at FROM v WHERE label = 3),
