@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .chunks import batches
+from .common import free_name
 
 SEED = 42
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -279,12 +280,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     )
 
 
+def chosen_rows(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each (k, text_hash) of ``chosen``, and all rows without a key."""
+    mark = free_name(docs, "__text_hash")
+    rows = docs.withColumn(mark, F.xxhash64(text))
+    named = rows.filter(F.col(key).isNotNull()).join(chosen.select(F.col("k").alias(key), F.col("text_hash").alias(mark)).distinct(), [key, mark], "left_semi")
+    return named.dropDuplicates([key, mark]).select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest key, one of equal rows.
+    """The documents without near-duplicates: of each component one row, that with the smallest key.
 
+    A row is known by its key and its text: of rows with the smallest key the one
+    whose text has the smallest hash stays, and one of rows equal in both. Rows of
+    one key whose texts are not linked are in different components and each stay.
     Rows without a key were not compared and stay.
     """
-    found = near_duplicates(docs, key, text, width, radius)
-    stay = found.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = docs.filter(F.col(key).isNotNull()).join(stay, key, "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.filter(F.col(key).isNull())).select(*docs.columns)
+    names = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("text_hash")).alias("id")
+    rows = docs.filter(F.col(key).isNotNull()).select(names, F.col(text).alias("t"))
+    found = near_duplicates(rows, "id", "t", width, radius)
+    first = found.filter(F.col("id") == F.col("component_id")).select("id.*")
+    return chosen_rows(docs, first, key, text)
