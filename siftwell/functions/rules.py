@@ -210,6 +210,56 @@ LOG_SIGNATURES = [
     ("Permission denied", "permission_denied", "Permission Denied"),
     ("command not found", "command_not_found", "Command Not Found"),
 ]
+# Description and solutions by error type; a mapping where they depend on the system.
+SIGNATURE_ADVICE = {
+    "aws_user_not_found": ("The AWS user specified in your credentials doesn't exist", [
+        "Check your AWS Access Key ID is correct", "Verify the user exists in AWS IAM console", "Run 'aws configure' to update credentials"]),
+    "aws_signature_error": ("Your AWS Secret Access Key is incorrect", [
+        "Run 'aws configure' and enter the correct Secret Access Key", "Check for extra spaces or characters in your key",
+        "Generate a new Access Key pair in AWS IAM console"]),
+    "aws_permissions": ("Your AWS user doesn't have required permissions", [
+        "Ask your AWS admin to attach 'AdministratorAccess' policy",
+        "Or attach these specific policies: IAM, CloudFormation, Lambda, S3, RDS, API Gateway", "Check if your account has MFA requirements"]),
+    "aws_token_expired": ("Your temporary AWS credentials have expired", [
+        "If using AWS SSO, run 'aws sso login'", "If using temporary credentials, refresh them",
+        "Consider using long-term Access Keys for deployment"]),
+    "aws_quota_limit": ("You've hit an AWS service limit or quota", [
+        "Check AWS Service Quotas console for current limits", "Request a quota increase if needed", "Try deploying in a different region",
+        "Clean up unused resources"]),
+    "aws_capacity": ("AWS doesn't have enough capacity in this region", [
+        "Try again in a few minutes", "Deploy to a different availability zone", "Consider using a different instance type",
+        "Try a different AWS region"]),
+    "cdk_template_error": ("There's an error in the CloudFormation template", [
+        "Update AWS CDK to the latest version: npm install -g aws-cdk", "Run 'cdk doctor' to check for issues",
+        "Try 'cdk bootstrap' if not already done", "Check if your region supports all required services"]),
+    "cdk_permissions": ("CDK doesn't have permission to create/modify resources", [
+        "Ensure your AWS user has CloudFormation permissions", "Check if there are resource-based policies blocking access",
+        "Verify your account isn't in an organization with restrictive SCPs"]),
+    "network_timeout": ("Cannot connect to AWS services", [
+        "Check your internet connection", "Verify firewall isn't blocking AWS endpoints", "Try using a different network",
+        "Check if you're behind a corporate proxy"]),
+    "network_endpoint": ("Cannot reach AWS service endpoints", [
+        "Check if the AWS region is correct", "Verify the service is available in your region", "Check DNS resolution for AWS endpoints",
+        "Try using AWS CLI with --debug flag for more info"]),
+    "service_not_supported": ("The requested service/feature isn't available in your region", [
+        "Try a different AWS region (us-east-1 has most services)", "Check AWS service availability by region",
+        "Use alternative services if available", "Contact AWS support for service availability"]),
+    "python_module_missing": ("Required Python package is not installed", [
+        "Run 'pip3 install -r requirements.txt'", "Check if you're in the correct directory", "Verify Python virtual environment is activated",
+        "Try 'pip3 install --upgrade pip' first"]),
+    "permission_denied": ("Insufficient permissions to perform operation", {
+        "windows": ["Run Command Prompt as Administrator", "Check file/folder permissions", "Ensure you have write access to the directory"],
+        "": ["Try running with 'sudo' if appropriate", "Check file permissions with 'ls -la'",
+             "Ensure you own the files: 'sudo chown -R $USER:$USER .'", "Make scripts executable: 'chmod +x chatbot'"]}),
+    "command_not_found": ("Required command/tool is not installed or not in PATH", {
+        "darwin": ["Install missing tools with Homebrew: 'brew install <tool>'", "Check if Xcode Command Line Tools are installed",
+                   "Update your PATH environment variable", "Restart your terminal after installation"],
+        "linux": ["Install with package manager: 'sudo apt install <tool>' or 'sudo yum install <tool>'",
+                  "Check if the tool is in your PATH: 'which <command>'", "Update package lists: 'sudo apt update'",
+                  "Install build tools if needed: 'sudo apt install build-essential'"],
+        "": ["Install from official website or use package manager", "Add installation directory to PATH environment variable",
+             "Restart Command Prompt after installation", "Consider using Windows Subsystem for Linux (WSL)"]}),
+}
 GENERIC_INDICATORS = ["ERROR:", "Error:", "Exception:", "Failed:", "FAILED:"]
 RETRYABLE_INGEST_NAMES = [
     "throttlingexception", "serviceunavailableexception", "internalservererror",

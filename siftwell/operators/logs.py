@@ -89,6 +89,20 @@ def match_signatures(lines: DataFrame) -> DataFrame:
         F.col("m.line_no").alias("match_line"))
 
 
+def solutions_for(error_type: str, system: str) -> list[str]:
+    """What to try, by error type and system (linux, darwin or windows)."""
+    known = R.SIGNATURE_ADVICE[error_type][1]
+    return known if isinstance(known, list) else known.get(system, known[""])
+
+
+def explain(matches: DataFrame, system: str = "linux") -> DataFrame:
+    """Add description and solutions to matched signatures, from a fixed list inside the row."""
+    advice = F.create_map(*[x for kind, (text, _) in R.SIGNATURE_ADVICE.items() for x in (
+        F.lit(kind), F.struct(F.lit(text).alias("description"), F.array(*map(F.lit, solutions_for(kind, system))).alias("solutions")))])
+    found = F.try_element_at(advice, F.col("error_type"))
+    return matches.withColumns({"description": found["description"], "solutions": found["solutions"]})
+
+
 def log_context(lines: DataFrame, matches: DataFrame, around: int = 2, limit: int = 10) -> DataFrame:
     """The lines around each file's first match: file, line_no, line.
 

@@ -82,6 +82,20 @@ def _(t):
     return L.match_signatures(shared.log_lines(t))
 
 
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+ADVICE = "CASE error_type " + " ".join(f"WHEN '{k}' THEN {_quoted(d)}" for k, (d, _) in R.SIGNATURE_ADVICE.items()) + " END"
+TRY = "CASE error_type " + " ".join(f"WHEN '{k}' THEN {_quoted('; '.join(L.solutions_for(k, 'linux')))}" for k in R.SIGNATURE_ADVICE) + " END"
+
+
+@query("explain_signatures", sql=f"WITH {MATCHES} SELECT file, error_type, {ADVICE} AS description, {TRY} AS solutions FROM matches")
+def _(t):
+    found = L.explain(L.match_signatures(shared.log_lines(t)), "linux")
+    return found.select("file", "error_type", "description", F.array_join("solutions", "; ").alias("solutions"))
+
+
 @query("log_context", sql=f"WITH {MATCHES} SELECT l.file, l.line_no, l.line FROM log_lines l JOIN matches m ON l.file = m.file AND l.line_no BETWEEN m.match_line - 2 AND m.match_line + 2")
 def _(t):
     lines = shared.log_lines(t)
