@@ -13,7 +13,7 @@ from .test_resemblance import roots
 from .test_texts import base_counts, brute
 
 FOLDER = "/root/testdata/sf0.01"
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents pages benchmark labels conversations embeddings".split()
 
 
 def read(spark, name, folder=FOLDER):
