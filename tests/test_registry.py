@@ -8,7 +8,7 @@ from siftwell.plans import load
 from siftwell.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"strip_markup_rules", "chunk_chars", "build_cells", "ivf_search", "lsh_search"}
+WITHOUT_SQL = {"chunk_chars", "build_cells", "ivf_search", "lsh_search"}
 
 
 def test_every_query_has_sql_but_the_listed_ones():
