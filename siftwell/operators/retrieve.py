@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
@@ -82,7 +83,7 @@ def most_candidates(target: int) -> int:
 
 
 def stage1_candidates(vectors: DataFrame, plan: DataFrame, use_hybrid: bool = True, target: int = 3,
-                      pool: int = R.HYBRID_POOL) -> DataFrame:
+                      pool: int = R.HYBRID_POOL, head=None) -> DataFrame:
     """Scored candidates per query, with per-query limit and threshold.
 
     One search serves all queries with the largest pool and the lowest threshold;
@@ -91,7 +92,7 @@ def stage1_candidates(vectors: DataFrame, plan: DataFrame, use_hybrid: bool = Tr
     """
     most = most_candidates(target)
     wanted = K.hybrid_pool(F.col("stage1_limit"), pool) if use_hybrid else F.col("stage1_limit")
-    near, rows = V.nearest(vectors, plan, max(most, pool) if use_hybrid else most, min_score=0.15)
+    near, rows = V.nearest(vectors, plan, max(most, pool) if use_hybrid else most, min_score=0.15, head=head)
     near = near.join(plan.select(*PLAN), "query_id").filter(F.col("rank") <= wanted).drop("rank", "distance")
     cut = fallback_threshold(near)
     hits = V.attach_metadata(cut, vectors, rows).join(plan.select("query_id", "query_text"), "query_id")
@@ -158,14 +159,20 @@ def retrieve(vectors: DataFrame, queries: DataFrame, target: int = 3, multi_stag
     if not multi_stage:
         return V.similarity_search(vectors, queries, target, threshold)
     has_text = F.coalesce(F.trim(F.col("query_text")) != "", F.lit(False))
+    # a small query set is fetched once for both parts; a part without queries plans no search
+    both = V.gathered(V.as_asked(queries, vectors, has_text.alias("has_text")), V.QUERY_BYTES)
+    told, bare = (None, None) if both is None else (both.filter(both["has_text"]), both.filter(pc.invert(both["has_text"])))
     plan = stage1_plan(analyze_query(queries.filter(has_text)), target)
-    ranked = final_threshold(rerank(stage1_candidates(vectors, plan, use_hybrid, target, pool)))
+    ranked = final_threshold(rerank(stage1_candidates(vectors, plan, use_hybrid, target, pool, told)))
     staged = (
         final_results(ranked, target)
         .withColumn("retrieval_stage", F.lit("multi_stage"))
         .withColumn("search_method", F.lit("hybrid" if use_hybrid else "semantic"))
     )
-    bare = V.similarity_search(vectors, queries.filter(~has_text), target, threshold)
-    single = bare.drop("distance").withColumns(
+    if bare is not None and not bare.num_rows:
+        blank = {"final_rank": "int", "score": "double", "rank": "int"}
+        return staged.withColumns({c: F.lit(None).cast(kind) for c, kind in blank.items() if c not in staged.columns})
+    single = V.similarity_search(vectors, queries.filter(~has_text), target, threshold, bare)
+    single = single.drop("distance").withColumns(
         {"final_rank": F.col("rank"), "retrieval_stage": F.lit("single_stage"), "search_method": F.lit("semantic")})
     return staged.unionByName(single, allowMissingColumns=True)

@@ -196,8 +196,8 @@ def by_dimension(queries: pa.Table) -> list[Asked]:
     return [Asked(queries.filter(pa.array(size == dim)), int(dim)) for dim in np.unique(size)]
 
 
-def as_asked(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """What tasks need of the queries: id, vector, own key, allowed documents, and dates in microseconds."""
+def as_asked(queries: DataFrame, vectors: DataFrame, *more: Column) -> DataFrame:
+    """What tasks need of the queries: id, vector, own key, allowed documents, and dates in microseconds; ``more`` goes along."""
     document = T.ArrayType(vectors.schema["doc_id"].dataType) if "doc_id" in vectors.columns else None
     cols = [F.col("query_id"), F.col("embedding").cast("array<double>").alias("embedding")]
     if "exclude_key" in queries.columns:
@@ -208,7 +208,7 @@ def as_asked(queries: DataFrame, vectors: DataFrame) -> DataFrame:
         for c in ("min_date", "max_date"):
             date = F.unix_micros(F.col(c).cast("timestamp")) if c in queries.columns else F.lit(None).cast("long")
             cols.append(date.alias(c))
-    return queries.filter(valid_embedding(F.col("embedding"))).select(*cols)
+    return queries.filter(valid_embedding(F.col("embedding"))).select(*cols, *more)
 
 
 def scanned(vectors: DataFrame, asked: DataFrame, *more: str | None) -> DataFrame:
@@ -277,8 +277,11 @@ def top_scores(
 
 
 def ranked(vectors, queries, k, metric="COSINE", min_score=-math.inf, unit_scale=False, weight=None, group=None,
-           query_bytes=QUERY_BYTES) -> tuple[DataFrame, int | None]:
-    """``top_scores`` with the most rows it can have; None where the number of queries is not known."""
+           query_bytes=QUERY_BYTES, head: pa.Table | None = None) -> tuple[DataFrame, int | None]:
+    """``top_scores`` with the most rows it can have; None where the number of queries is not known.
+
+    ``head`` is the query set where the caller has gathered it already.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = _schema(vectors, queries, group)
@@ -295,7 +298,7 @@ def ranked(vectors, queries, k, metric="COSINE", min_score=-math.inf, unit_scale
             g = as_np(table[group]) if group else None
             best.add(_arrow_matrix(table["embedding"], best.asked.dim), as_np(table["key"]), w, g, table)
 
-    head = gathered(queries, query_bytes)
+    head = gathered(queries, query_bytes) if head is None else head
     if head is not None and not head.num_rows:
         none = T.StructType([f for f in out if f.name != "lot"] + [T.StructField("rank", T.IntegerType(), False)])
         return vectors.sparkSession.createDataFrame([], none), 0
@@ -339,9 +342,10 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSI
     return nearest(vectors, queries, k, metric, min_score)[0]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", min_score: float = -math.inf) -> tuple[DataFrame, int | None]:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", min_score: float = -math.inf,
+            head: pa.Table | None = None) -> tuple[DataFrame, int | None]:
     """``knn_topk`` with the most rows it can have, where that is known."""
-    best, most = ranked(vectors, queries, k, metric, min_score)
+    best, most = ranked(vectors, queries, k, metric, min_score, head=head)
     distance = -F.col("similarity") if metric == "EUCLIDEAN" else 1.0 - F.col("similarity")
     return best.select("query_id", "key", "similarity", distance.alias("distance"), "rank"), most
 
@@ -398,12 +402,12 @@ def attach_metadata(near: DataFrame, vectors: DataFrame, most: int | None = None
 
 
 def similarity_search(vectors: DataFrame, queries: DataFrame, limit: int = 3,
-                      threshold: float = R.SINGLE_STAGE_THRESHOLD) -> DataFrame:
+                      threshold: float = R.SINGLE_STAGE_THRESHOLD, head: pa.Table | None = None) -> DataFrame:
     """The k nearest by distance, cut by threshold, re-ranked by score; metadata is joined after the cut.
 
     Queries may bring filters, as in ``top_scores``.
     """
-    near, most = nearest(vectors, queries, limit, min_score=threshold)
+    near, most = nearest(vectors, queries, limit, min_score=threshold, head=head)
     near = near.withColumn("similarity", similarity_from_distance(F.col("distance"))).filter(F.col("similarity") >= threshold)
     hits = attach_metadata(near.drop("rank"), vectors, most)
     score = search_score(*[F.col(c) for c in ("similarity", "importance_score", "chunk_type", "key_entities", "topics")])
