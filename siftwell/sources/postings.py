@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
 from ..functions.text import tokens

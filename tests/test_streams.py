@@ -2,8 +2,6 @@
 
 from datetime import datetime, timedelta
 
-import pytest
-from pyspark.sql import functions as F
 
 from siftwell.sources.store import KeyedTable
 from siftwell.streaming import jobs as J
