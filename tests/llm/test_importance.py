@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from siftwell.llm import importance
 
-from .edge import TEXTS, documents, empty
+from .edge import documents, empty
 
 
 def runs(text, longest=3):
@@ -78,7 +78,7 @@ def test_documents(spark, spec):
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))), "en", "s", 1) for i in range(150)]
     df = documents(spark, extra=True)
     more = spark.createDataFrame(rows, documents(spark).schema)
-    docs = df.unionByName(more.withColumns({c: df[c] for c in []}), allowMissingColumns=True)
+    docs = df.unionByName(more, allowMissingColumns=True)
     target = spark.createDataFrame([(1, "w1 w2 w3 w4"), (2, None), (3, "The river bends"), (4, "")], "item_id long, text string")
     got = importance.resample(docs, target, spec=spec)
     assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
