@@ -146,20 +146,65 @@ def key_value_pairs(blocks: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "field").agg(F.max_by("value", "pos").alias("value"), F.max("pos").alias("pos"))
 
 
+def _placed_cells(blocks: DataFrame) -> DataFrame:
+    """Cells at their place and the blocks of tables: doc_id, table_id, row_index, column_index, cell, blocks.
+
+    ``blocks`` is null for a cell; for a table's own row it is the number of its
+    TABLE blocks, and that row has no place. Cells of ids that are no table are
+    among them. Every step groups by document and one more key and joins nothing,
+    so blocks that come hashed by document are not shuffled at all.
+    """
+    has_text = F.coalesce(F.col("text"), F.lit("")) != ""
+    kind = F.col("block_type")
+    rows = blocks.filter(kind.isin("TABLE", "CELL", "WORD", "LINE") & ((kind == "TABLE") | (F.col("doc_id").isNotNull() & F.col("id").isNotNull())))
+    linked = F.filter("relationships", lambda r: r["type"] == "CHILD")
+    rows = rows.select(
+        "doc_id", "id", (kind == "TABLE").alias("table"), F.when((kind != "TABLE") & has_text, F.col("text")).alias("text"),
+        F.when((kind != "TABLE") & ~has_text, F.coalesce(_links(blocks, "CHILD"), F.array().cast("array<string>"))).alias("children"),
+        F.when(kind == "CELL", F.struct(
+            "pos", "row_index", "column_index",
+            F.array_distinct(F.flatten(F.transform(linked, lambda r: r["ids"]))).alias("tables"))).alias("at"),
+    )
+
+    # a row per block at its id, and one per child without which its text is not known, at the child's id
+    own = F.struct(F.when(~F.col("table"), F.col("id")).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("child_pos"))
+    asked = F.transform(F.coalesce("children", F.array().cast("array<string>")), lambda c, i: F.struct(
+        c.alias("node"), F.col("id").alias("parent"), i.alias("child_pos")))
+    rows = rows.select("*", F.explode(F.concat(F.array(own), F.filter(asked, lambda x: x["node"].isNotNull()))).alias("x")).select("*", "x.*").drop("x")
+    mine = F.col("parent").isNull()
+    at_node = W.partitionBy("doc_id", "node")
+    rows = rows.select(
+        "doc_id", F.coalesce("parent", "node").alias("node"), "child_pos", mine.alias("mine"),
+        F.when(mine, F.col("at")).alias("at"), (mine & F.col("children").isNotNull()).alias("wanting"),
+        F.when(mine & F.col("table"), F.struct("id")).alias("table"),
+        F.collect_list(F.when(mine, F.col("text"))).over(at_node).alias("texts"),
+    ).filter(F.when(F.col("mine"), F.col("at").isNotNull() | F.col("wanting") | F.col("table").isNotNull()).otherwise(F.size("texts") > 0))
+
+    parts = F.flatten(F.collect_list(F.when(~F.col("mine"), F.transform("texts", lambda t: F.struct(F.col("child_pos").alias("pos"), t.alias("text"))))).over(at_node))
+    rows = rows.select(
+        "doc_id", "at", "table", "texts", F.max("wanting").over(at_node).alias("wanting"), parts.alias("parts"),
+    ).filter(F.col("at").isNotNull() | F.col("table").isNotNull())
+    gathered = F.array_join(F.transform(F.array_sort("parts"), lambda p: p["text"]), " ")
+    texts = F.when(F.col("wanting"), F.concat("texts", F.array(gathered))).otherwise(F.col("texts"))
+    rows = rows.select(
+        "doc_id", "at", "table", F.when(F.col("table").isNull(), texts).otherwise(F.array(F.lit(None).cast("string"))).alias("texts"),
+        F.explode(F.when(F.col("table").isNull(), F.col("at.tables")).otherwise(F.array("table.id"))).alias("table_id"),
+    ).filter(F.col("table").isNotNull() | F.col("table_id").isNotNull())
+    rows = rows.select("doc_id", "table_id", F.col("table").isNotNull().alias("is_table"), "at.pos", "at.row_index", "at.column_index",
+                       F.explode("texts").alias("block_text"))
+    return rows.groupBy("doc_id", "table_id", "is_table", "row_index", "column_index").agg(
+        F.max_by("block_text", "pos").alias("cell"), F.count(F.when(F.col("is_table"), 1)).alias("n"),
+    ).select("doc_id", "table_id", "row_index", "column_index", "cell", F.when(F.col("is_table"), F.col("n")).alias("blocks"))
+
+
 def table_cells(blocks: DataFrame) -> DataFrame:
     """Every cell of every table in long form, whatever its size: doc_id, table_id, row_index, column_index, cell.
 
     Of several cells at one place the last in reading order counts.
     """
-    tables = blocks.filter("block_type = 'TABLE'").select("doc_id", F.col("id").alias("table_id"))
-    cells = blocks.filter("block_type = 'CELL'").select(
-        "doc_id", "id", "pos", "row_index", "column_index",
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            F.filter("relationships", lambda r: r["type"] == "CHILD"), lambda r: r["ids"])))).alias("table_id"),
-    ).join(tables, ["doc_id", "table_id"])
-    texts = block_children_text(blocks.filter("block_type in ('CELL', 'WORD', 'LINE')"))
-    return cells.join(texts, ["doc_id", "id"]).groupBy("doc_id", "table_id", "row_index", "column_index").agg(
-        F.max_by("block_text", "pos").alias("cell"))
+    known = F.count("blocks").over(W.partitionBy("doc_id", "table_id"))
+    rows = _placed_cells(blocks).withColumn("known", known).filter("known > 0 and blocks is null")
+    return rows.select("doc_id", "table_id", "row_index", "column_index", "cell")
 
 
 def table_grid(blocks: DataFrame) -> DataFrame:
@@ -168,41 +213,36 @@ def table_grid(blocks: DataFrame) -> DataFrame:
     Gaps are empty strings and rows stay ragged. Tables over the size limit are
     marked and carry no grid; ``table_cells`` has their cells.
     """
-    tables = blocks.filter("block_type = 'TABLE'").select("doc_id", F.col("id").alias("table_id"))
-    cells = table_cells(blocks)
-    sizes = cells.groupBy("doc_id", "table_id").agg(
-        F.max("row_index").alias("row_count"), F.max("column_index").alias("column_count")
-    ).withColumn("within_limits", (F.col("row_count") <= MAX_TABLE_ROWS) & (F.col("column_count") <= MAX_TABLE_COLUMNS))
     # cells beyond the limits stay out of the grid, so one table is a bounded group
+    inside = (F.col("row_index") <= MAX_TABLE_ROWS) & (F.col("column_index") <= MAX_TABLE_COLUMNS)
+    line = F.transform(
+        F.sequence(F.lit(1), F.array_max(F.map_keys("cells"))),
+        lambda c: F.coalesce(F.try_element_at("cells", c), F.lit("")),
+    )
     rows = (
-        cells.filter((F.col("row_index") <= MAX_TABLE_ROWS) & (F.col("column_index") <= MAX_TABLE_COLUMNS))
-        .groupBy("doc_id", "table_id", "row_index")
-        .agg(F.map_from_entries(F.collect_list(F.struct("column_index", "cell"))).alias("cells"))
-        .select(
-            "doc_id", "table_id", "row_index",
-            F.transform(
-                F.sequence(F.lit(1), F.array_max(F.map_keys("cells"))),
-                lambda c: F.coalesce(F.try_element_at("cells", c), F.lit("")),
-            ).alias("cells"),
-        )
+        _placed_cells(blocks).groupBy("doc_id", "table_id", "row_index")
+        .agg(F.collect_list(F.when(inside, F.struct("column_index", "cell"))).alias("cells"),
+             F.max("column_index").alias("column_index"), F.sum("blocks").alias("blocks"))
+        .withColumn("cells", F.when(F.size("cells") > 0, F.map_from_entries("cells")))
         .groupBy("doc_id", "table_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("row_index", "cells"))).alias("rows"))
+        .agg(F.collect_list(F.when(F.col("cells").isNotNull(), F.struct("row_index", line.alias("cells")))).alias("rows"),
+             F.max("row_index").alias("row_count"), F.max("column_index").alias("column_count"), F.sum("blocks").alias("blocks"))
+        .filter("blocks > 0")
+        .withColumn("within_limits", (F.col("row_count") <= MAX_TABLE_ROWS) & (F.col("column_count") <= MAX_TABLE_COLUMNS))
+        .withColumn("rows", F.when(F.size("rows") > 0, F.map_from_entries("rows")))
     )
     grid = F.when(F.col("within_limits") & F.col("rows").isNotNull(), F.transform(
         F.sequence(F.lit(1), F.col("row_count")),
         lambda r: F.coalesce(F.try_element_at("rows", r), F.array().cast("array<string>")),
     ))
-    return (
-        tables.join(sizes, ["doc_id", "table_id"], "left")
-        .join(rows, ["doc_id", "table_id"], "left")
-        .select(
-            "doc_id", "table_id",
-            F.coalesce("row_count", F.lit(0)).alias("row_count"),
-            F.coalesce("column_count", F.lit(0)).alias("column_count"),
-            F.coalesce("within_limits", F.lit(True)).alias("within_limits"),
-            grid.alias("grid"),
-        )
-    )
+    # a row per TABLE block, as ids may repeat
+    return rows.select(
+        "doc_id", "table_id",
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        F.coalesce("column_count", F.lit(0)).alias("column_count"),
+        F.coalesce("within_limits", F.lit(True)).alias("within_limits"),
+        grid.alias("grid"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks"))).alias("_nth"),
+    ).drop("_nth")
 
 
 def page_lines(blocks: DataFrame) -> DataFrame:

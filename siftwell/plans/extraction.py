@@ -1,9 +1,10 @@
 """Extraction: X1 to X10. Layout blocks are derived from the star-schema tables and documents."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions import rules as R
 from ..operators import extract as X
+from ..session import tasks_for
 from . import shared, sqltext as S
 from .registry import query
 
@@ -185,21 +186,35 @@ def _(t):
     return X.table_cells(_table_blocks(t))
 
 
+def _block(**values):
+    """A block but its document as a struct: given columns, the others null."""
+    cols = [(values[c] if c in values else F.lit(None)).cast(ty).alias(c) for c, ty in COLUMNS.items()]
+    return F.struct(values["id"].alias("id"), values["pos"].cast("bigint").alias("pos"), *cols)
+
+
+TASK_BYTES = 2 * 1024 * 1024  # of files: a line is some 10 bytes there, and a kilobyte or so as blocks
+
+
 def _table_blocks(t):
-    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(
+    """A table per order. Lines are shuffled once, by order; all blocks of a line, and the table at its order's first, come of one row."""
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = t.lineitem.select(*cols, "l_returnflag", "l_linestatus")
+    lines = lines.repartition(tasks_for(lines, TASK_BYTES), "l_orderkey").groupBy(*cols).agg(
         F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
-    base = lines.withColumn("uid", F.concat_ws("_", "l_linenumber", "l_partkey", "l_suppkey"))
-    doc, pos = F.col("l_orderkey"), F.col("l_partkey") * 100000 + F.col("l_suppkey")
-    tables = _blocks(t.lineitem.select("l_orderkey").distinct(), doc_id=doc, id=F.lit("t"), pos=F.lit(0), block_type=F.lit("TABLE"))
-    first = _blocks(base, doc_id=doc, id=F.concat(F.lit("a"), F.col("uid")), pos=pos, block_type=F.lit("CELL"), text=F.col("l_returnflag"),
-                    row_index=F.col("l_linenumber"), column_index=F.lit(1), relationships=_link("CHILD", F.array(F.lit("t"))))
-    kept = base.filter("l_returnflag <> 'R'")
+    head = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*cols[1:])) == 1
+    base = lines.withColumn("uid", F.concat_ws("_", *cols[1:])).withColumn("head", head)
+    pos = F.col("l_partkey") * 100000 + F.col("l_suppkey")
+    table = _block(id=F.lit("t"), pos=F.lit(0), block_type=F.lit("TABLE"))
+    first = _block(id=F.concat(F.lit("a"), F.col("uid")), pos=pos, block_type=F.lit("CELL"), text=F.col("l_returnflag"),
+                   row_index=F.col("l_linenumber"), column_index=F.lit(1), relationships=_link("CHILD", F.array(F.lit("t"))))
     w1, w2 = F.concat(F.lit("w"), F.col("uid")), F.concat(F.lit("x"), F.col("uid"))
-    third = _blocks(kept, doc_id=doc, id=F.concat(F.lit("c"), F.col("uid")), pos=pos, block_type=F.lit("CELL"),
-                    row_index=F.col("l_linenumber"), column_index=F.lit(3), relationships=_link("CHILD", F.array(F.lit("t"), w1, w2)))
-    words = _blocks(kept, doc_id=doc, id=w1, pos=pos, block_type=F.lit("WORD"), text=F.col("l_linestatus")).unionByName(
-        _blocks(kept, doc_id=doc, id=w2, pos=pos, block_type=F.lit("WORD"), text=F.lit("line")))
-    return tables.unionByName(first).unionByName(third).unionByName(words)
+    third = _block(id=F.concat(F.lit("c"), F.col("uid")), pos=pos, block_type=F.lit("CELL"),
+                   row_index=F.col("l_linenumber"), column_index=F.lit(3), relationships=_link("CHILD", F.array(F.lit("t"), w1, w2)))
+    words = [_block(id=w1, pos=pos, block_type=F.lit("WORD"), text=F.col("l_linestatus")),
+             _block(id=w2, pos=pos, block_type=F.lit("WORD"), text=F.lit("line"))]
+    kept = F.col("l_returnflag") != "R"
+    blocks = F.array(F.when(F.col("head"), table), first, *[F.when(kept, b) for b in (third, *words)])
+    return base.select(F.col("l_orderkey").alias("doc_id"), F.explode(F.filter(blocks, lambda b: b.isNotNull())).alias("b")).select("doc_id", "b.*")
 
 
 # The SQL leaves out the two rules that look ahead; both engines run the other twelve.

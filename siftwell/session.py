@@ -42,6 +42,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL_TASK_BYTES else df
 
 
+def tasks_for(df: DataFrame, task_bytes: int) -> int:
+    """Tasks of about ``task_bytes`` of a table's files each, by the plan's statistics; no fewer than the session's."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // task_bytes, 100_000))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
