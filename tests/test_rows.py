@@ -60,6 +60,28 @@ def test_table_over_the_limit_is_marked(spark):
     assert (grid.within_limits, grid.grid) == (False, None)
 
 
+def test_tables_of_hashed_blocks_need_no_shuffle(spark):
+    child = lambda *ids: [("CHILD", list(ids))]
+    block = lambda doc, id, pos, kind, text=None, row=None, col=None, links=None: (doc, id, pos, kind, None, text, 1, row, col, None, links)
+    rows = [
+        block(0, "t", 0, "TABLE"), block(0, "t", 1, "TABLE"), block(1, "u", 0, "TABLE"), block(None, "t", 0, "TABLE"),
+        block(0, "a", 2, "CELL", "old", 1, 1, child("t")), block(0, "b", 3, "CELL", "new", 1, 1, child("t", "t")),
+        block(0, "c", 4, "CELL", None, 2, 2, child("w2", "w1", "t", "gone")), block(0, "w1", 5, "WORD", "one"), block(0, "w2", 6, "WORD", "two"),
+        block(0, "d", 7, "CELL", "", 2, 1, [("CHILD", ["w1"]), ("CHILD", ["t"])]), block(0, "e", 8, "CELL", "lost", 1, 3, child("no table")),
+        block(0, "f", 9, "CELL", "", 3, 1, child("t")), block(None, "g", 9, "CELL", "x", 1, 1, child("t")),
+    ]
+    blocks = spark.createDataFrame(rows, BLOCK).repartition(3, "doc_id")
+    cells, grids = X.table_cells(blocks), X.table_grid(blocks)
+    assert {(r.doc_id, r.table_id, r.row_index, r.column_index): r.cell for r in cells.collect()} == {
+        (0, "t", 1, 1): "new", (0, "t", 2, 2): "two one", (0, "t", 2, 1): "one", (0, "t", 3, 1): ""}
+    found = sorted(map(str, grids.drop("within_limits").collect()))
+    grid = "Row(doc_id=0, table_id='t', row_count=3, column_count=2, grid=[['new'], ['one', 'two one'], ['']])"
+    assert found == [grid, grid, "Row(doc_id=1, table_id='u', row_count=0, column_count=0, grid=None)",
+                     "Row(doc_id=None, table_id='t', row_count=0, column_count=0, grid=None)"]
+    for df in (cells, grids):
+        assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_markup(spark):
     row = one(spark, x=X.strip_markup(F.lit('<p onclick="go()">a</p><script>b</script> data:image/png;base64,zz data:text &#39; &#60; eval (')))
     assert row.x == "<p>a</p> data:image/png;base64,zz text &#39;  "
