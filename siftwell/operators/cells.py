@@ -9,10 +9,11 @@ only; embeddings are fetched once, for what was found.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -222,6 +223,11 @@ def _bucket(cells: np.ndarray, dim: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _own_buckets(matrix: np.ndarray, width: float, tables: int, hashes: int, seed: int) -> np.ndarray:
+    """The bucket of each row in each table."""
+    return _bucket(np.floor(_places(matrix, width, tables, hashes, seed)), matrix.shape[1])
+
+
 def bucket_postings(vectors: DataFrame, width: float = 0.5, tables: int = 6, hashes: int = 2, seed: int = 7) -> DataFrame:
     """tab, bucket, key: where each usable vector lies. Whole numbers and keys only."""
     rows = vectors.filter(valid_embedding(F.col("embedding"))).select("key", "embedding")
@@ -232,7 +238,7 @@ def bucket_postings(vectors: DataFrame, width: float = 0.5, tables: int = 6, has
             size = batch["embedding"].value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(size):
                 own = batch.filter(pa.array(size == dim))
-                bucket = _bucket(np.floor(_places(V._arrow_matrix(own["embedding"], int(dim)), width, tables, hashes, seed)), int(dim))
+                bucket = _own_buckets(V._arrow_matrix(own["embedding"], int(dim)), width, tables, hashes, seed)
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(own), t), pa.int32()), pa.array(bucket[:, t]), own["key"]], ["tab", "bucket", "key"])
@@ -269,16 +275,78 @@ def bucket_probes(queries: DataFrame, probes: int = 8, width: float = 0.5, table
     return rows.mapInArrow(place, f"tab int, bucket long, query_id {kind}")
 
 
+class _Probed(V.Asked):
+    """Queries that see the rows in the buckets they probe; ``probes`` has tab, bucket and query_id."""
+
+    def __init__(self, table: pa.Table, dim: int, probes: pa.Table, buckets: Callable[[np.ndarray], np.ndarray]):
+        super().__init__(table, dim)
+        self.buckets, self.by_tab = buckets, {}
+        ids = pa.table({"query_id": table["query_id"], "place": np.arange(len(self.ids))})
+        placed = probes.join(ids, "query_id", join_type="inner")
+        tab, bucket, place = (placed[c].to_numpy() for c in ("tab", "bucket", "place"))
+        for t in np.unique(tab):
+            mine = np.flatnonzero(tab == t)
+            mine = mine[np.argsort(bucket[mine], kind="stable")]
+            known, first, size = np.unique(bucket[mine], return_index=True, return_counts=True)
+            self.by_tab[int(t)] = known, first, size, place[mine]
+
+    def allowed(self, rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        own = self.buckets(V._arrow_matrix(rows["embedding"], self.dim))
+        seen = np.zeros((len(self.ids), len(own)), bool)
+        for t, (known, first, size, place) in self.by_tab.items():
+            at = np.minimum(np.searchsorted(known, own[:, t]), len(known) - 1)
+            hit = np.flatnonzero(known[at] == own[:, t])
+            at = at[hit]
+            row = np.repeat(hit, size[at])
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(size[at]) - size[at], size[at])
+            seen[place[np.repeat(first[at], size[at]) + nth], row] = True
+        return seen
+
+
+def _probe_scan(vectors: DataFrame, head: pa.Table, probes: DataFrame, limit: int, threshold: float, width: float, tables: int,
+                hashes: int, seed: int, out: T.StructType) -> DataFrame:
+    """``lsh_search`` of a bounded query set: rows meet the probes where they are scanned, and no candidate is shuffled."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(out)
+    rows = vectors.filter(valid_embedding(F.col("embedding")) & F.col("key").isNotNull()).select("key", "embedding")
+    sent = rows.sparkSession.sparkContext.broadcast((head, probes.toArrow()))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, probed = sent.value
+        size = pc.list_value_length(asked["embedding"]).to_numpy()
+        buckets = lambda matrix: _own_buckets(matrix, width, tables, hashes, seed)
+        bests = [V._Best(_Probed(asked.filter(pa.array(size == dim)), int(dim), probed, buckets), limit, "COSINE", threshold, False, V.DIGITS)
+                 for dim in np.unique(size)]
+        for batch in batches:
+            for best in bests:
+                own = V._right_size(batch, best.asked.dim)
+                if own.num_rows:
+                    best.add(V._arrow_matrix(own["embedding"], best.asked.dim), own["key"].to_numpy(zero_copy_only=False), None, None, own)
+        for best in bests:
+            result = V._emit(best, TaskContext.get().partitionId(), None, schema)
+            if result is not None:
+                yield result
+
+    best = V.merged(rows.mapInArrow(scan, out), ["query_id"], limit, V.scan_tasks(rows))
+    return best.select("query_id", "key", "similarity", "rank")
+
+
 def lsh_search(vectors: DataFrame, queries: DataFrame, limit: int, threshold: float = -math.inf, width: float = 0.5, tables: int = 6,
                hashes: int = 2, probes: int = 8, seed: int = 7, postings: DataFrame | None = None) -> DataFrame:
     """Approximate neighbours by cosine: rows in one of the buckets that a query probes: query_id, key, similarity, rank.
 
     ``postings`` may be a stored result of ``bucket_postings`` with the same
-    numbers. Candidates are gathered per key, so an embedding is fetched once,
-    however many tables and queries found it.
+    numbers. A query set within the bounds of ``vector.gathered`` is sent to the
+    scan of the vectors, unless postings are given. Else candidates are gathered
+    per key, so an embedding is fetched once, however many tables and queries
+    found it.
     """
-    postings = bucket_postings(vectors, width, tables, hashes, seed) if postings is None else postings
     asked = bucket_probes(queries, probes, width, tables, hashes, seed)
+    small = V.gathered(V.as_asked(queries, vectors).filter("query_id is not null"), V.QUERY_BYTES)
+    if postings is None and small is not None and small.num_rows:
+        return _probe_scan(vectors, small, asked, limit, threshold, width, tables, hashes, seed, V._schema(vectors, queries, None))
+    postings = bucket_postings(vectors, width, tables, hashes, seed) if postings is None else postings
     pairs = postings.join(asked, ["tab", "bucket"]).select("key", "query_id").distinct()
     if "exclude_key" in queries.columns:
         own = queries.select("query_id", F.col("exclude_key").alias("key"))
@@ -287,7 +355,7 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, limit: int, threshold: fl
     found = pairs.groupBy("key").agg(F.collect_set("query_id").alias("query_ids"))  # queries, not vectors, bound the list
     found = found.join(vectors.select("key", "embedding"), "key").select("key", unit("embedding").alias("x"), F.explode("query_ids").alias("query_id"))
     sides = queries.select("query_id", unit("embedding").alias("y"))
-    if V.gathered(V.as_asked(queries, vectors), V.QUERY_BYTES) is not None:
+    if small is not None:
         sides = F.broadcast(sides)
     found = found.join(sides, "query_id").filter(F.size("x") == F.size("y"))
     score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda acc, p: acc + p)
