@@ -25,7 +25,8 @@ from .describe import describe
 from ..functions.vectors import block_scores, similarity_from_distance, valid_embedding
 
 DIGITS = 9
-TILE_CELLS = 4_000_000
+TILE_CELLS = 1_000_000  # scores at once; a tile has some ten arrays of this size on its way
+HELD_ROWS = 250_000  # found rows held before they are cut to the best, unless the best alone are more than half of them
 # a query set that is sent to the tasks: rows, and bytes of vectors or of document bitmaps
 QUERY_ROWS, QUERY_BYTES = 8_192, 32 * 1024 * 1024
 # ranked rows are some 100 bytes each
@@ -95,7 +96,7 @@ class _Best:
         self.asked, self.k, self.metric, self.min_score, self.unit, self.digits = asked, k, metric, min_score, unit, digits
         self.floors: dict = {}
         self.rows: list[tuple] = []
-        self.held, self.trigger = 0, TILE_CELLS
+        self.held, self.trigger = 0, HELD_ROWS
 
     def add(self, block, keys, weight, group, rows, only=None):
         """Vectors with their keys, weights and groups; ``rows`` has their other columns, ``only`` the places of queries to meet them."""
@@ -117,7 +118,7 @@ class _Best:
                 self._tile(block, keys, weight, g, here[mine], None if allowed is None else allowed[:, mine], only)
             if self.held > self.trigger:
                 self.shrink()
-                self.trigger = max(TILE_CELLS, 2 * self.held)
+                self.trigger = max(HELD_ROWS, 2 * self.held)
 
     def _tile(self, block, keys, weight, part, here, allowed, only):
         if not len(here):
@@ -146,7 +147,7 @@ class _Best:
             self.held += len(q)
         if part is None and self.held > self.trigger:
             self.shrink()
-            self.trigger = max(TILE_CELLS, 2 * self.held)
+            self.trigger = max(HELD_ROWS, 2 * self.held)
 
     def shrink(self):
         if not self.rows:
