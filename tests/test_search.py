@@ -239,3 +239,30 @@ def test_queries_with_and_without_text_in_one_batch(spark):
     assert stages == {(1, "multi_stage"), (2, "single_stage"), (3, "single_stage")}
     alone = V.similarity_search(rows, asked.filter("query_id = 2"), 3, 0.1)
     assert sorted(r.key for r in got.filter("query_id = 2").collect()) == sorted(r.key for r in alone.collect())
+
+
+def test_probes_in_the_scan_find_what_the_postings_find(spark):
+    made = np.random.default_rng(3).standard_normal((300, 8))
+    vectors = spark.createDataFrame([(f"k{i:04d}", [float(x) for x in v]) for i, v in enumerate(made)], "key string, embedding array<double>")
+    queries = vectors.limit(9).select(F.col("key").alias("query_id"), "embedding", F.col("key").alias("exclude_key"))
+    scanned, joined = N.lsh_search(vectors, queries, 7), N.lsh_search(vectors, queries, 7, postings=N.bucket_postings(vectors))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.key, round(r.similarity, 7)) for r in df.collect())
+    assert rows(scanned) == rows(joined) and len(rows(scanned)) > 30
+    # candidates are no rows of a join
+    assert "Join" not in scanned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_found_rows_are_cut_often(spark):
+    import pyarrow as pa
+
+    made = np.random.default_rng(5).standard_normal((4_000, 4))
+    asked = V.Asked(pa.table({"query_id": np.arange(1_000), "embedding": pa.array(made[:1_000].tolist())}), 4)
+    best, held = V._Best(asked, 10, "COSINE", -1.0, False, 9), 0
+    for at in range(0, 4_000, 20):
+        best.add(made[at : at + 20], np.arange(at, at + 20), None, None, pa.table({"key": np.arange(at, at + 20)}))
+        held = max(held, best.held)
+    assert held <= V.HELD_ROWS + 20_000
+    best.shrink()
+    q, key = best.rows[0][:2]
+    exact = np.argsort(-np.round(made[:1_000] @ made.T / np.outer(np.linalg.norm(made[:1_000], axis=1), np.linalg.norm(made, axis=1)), 9), axis=1, kind="stable")[:, :10]
+    assert (key.reshape(1_000, 10) == exact).all()
