@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 from .store import ChangeLog
 
 BUCKETS = 64
+SENT_TERMS = 200_000  # terms of all questions that are sent to every task
+
+
+def _counted(words: Column) -> Column:
+    """Distinct words of an array with their counts, as (term, tf): runs of the sorted array."""
+    def runs(ordered):
+        starts = F.filter(F.transform(ordered, lambda w, i: F.when((i == 0) | (w != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, n: F.struct(
+            F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(ordered)) - i).cast("long").alias("tf"))))
+
+    return let(F.sort_array(words), runs)
 
 
 class PostingStore(ChangeLog):
@@ -24,11 +35,13 @@ class PostingStore(ChangeLog):
         rows = docs.select(F.col(key).cast("string").alias("key"), tokens(F.col(text)).alias("words"))
         sizes = rows.groupBy("key").agg(F.sum(F.greatest(F.size("words"), F.lit(0))).cast("long").alias("length"))
         sizes.write.parquet(f"{self.path}/lengths/version={version}")
-        terms = rows.select("key", F.explode("words").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+        terms = rows.select("key", F.explode(_counted(F.col("words"))).alias("x")).select("key", "x.term", "x.tf")
         bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-        # a frequent term's postings go to several files
+        # a frequent term's postings go to several files; counts of a key that comes in several rows meet where they are written
         spread = F.pmod(F.xxhash64("key"), F.lit(4))
-        terms.withColumn("bucket", bucket).repartition("bucket", spread).write.partitionBy("bucket").parquet(f"{self.path}/postings/version={version}")
+        dealt = terms.withColumns({"bucket": bucket, "spread": spread}).repartition("bucket", "spread")
+        terms = dealt.groupBy("bucket", "spread", "key", "term").agg(F.sum("tf").alias("tf"))
+        terms.select("key", "term", "tf", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/postings/version={version}")
         self._mark(f"{version:012d}-put")
         return version
 
@@ -83,9 +96,11 @@ class PostingStore(ChangeLog):
         df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(1))
         df = df.join(F.broadcast(self.stats().withColumn("one", F.lit(1))), "one")  # one row
         weight = F.log((F.col("total_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        df = df.select("term", weight.alias("weight"), "avg_length")
+        df = df.select("term", weight.alias("weight"), "avg_length").join(asked, "term")
+        if asked.limit(SENT_TERMS + 1).count() <= SENT_TERMS:
+            df = F.broadcast(df)  # then scores are summed where a document's postings met its length
         base = k1 * (1 - b + b * (F.col("length") / F.col("avg_length")))
         part = F.col("uses") * F.col("weight") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + base)
-        scored = hits.join(df, "term").join(asked, "term").groupBy("query_id", "key").agg(F.sum(part).alias("bm25")).filter("bm25 > 0")
+        scored = hits.join(df, "term").groupBy("query_id", "key", "version").agg(F.sum(part).alias("bm25")).filter("bm25 > 0").drop("version")
         order = W.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "key")
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
