@@ -183,3 +183,18 @@ def test_postings_change_by_document(spark, tmp_path):
     store.remove(frame({"new": ""}), "id")
     del docs["new"]
     same(docs)
+
+
+def test_postings_are_shuffled_once_to_their_files(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from siftwell.sources.postings import PostingStore
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **kw: (plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())), write(self, path, **kw))[1])
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a c"), (2, None), (3, ""), (None, "b")], "doc_id int, text string")
+    store = PostingStore(spark, str(tmp_path / "p"))
+    store.add(docs, "doc_id", "text")
+    rows = {(r.key, r.term): r.tf for r in store._postings().collect()}
+    assert rows == {("1", "a"): 3, ("1", "b"): 1, ("1", "c"): 1, (None, "b"): 1}
+    plan = next(p for path, p in plans if "/postings/" in path)
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
