@@ -166,18 +166,22 @@ def _placed_cells(blocks: DataFrame) -> DataFrame:
             F.array_distinct(F.flatten(F.transform(linked, lambda r: r["ids"]))).alias("tables"))).alias("at"),
     )
 
-    # a row per block at its id, and one per child without which its text is not known, at the child's id
-    own = F.struct(F.when(~F.col("table"), F.col("id")).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("child_pos"))
+    # a row per block at its id, and one per child without which its text is not known, at the child's id;
+    # the latter is sorted too and takes nothing of its block along but the id
+    wanting = F.col("children").isNotNull()
+    own = F.struct(
+        F.when(~F.col("table"), F.col("id")).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("child_pos"),
+        "text", "at", wanting.alias("wanting"), F.when(F.col("table"), F.struct("id")).alias("table"))
+    no = {f.name: F.lit(None).cast(f.dataType) for f in rows.select(own.alias("x")).schema["x"].dataType}
     asked = F.transform(F.coalesce("children", F.array().cast("array<string>")), lambda c, i: F.struct(
-        c.alias("node"), F.col("id").alias("parent"), i.alias("child_pos")))
-    rows = rows.select("*", F.explode(F.concat(F.array(own), F.filter(asked, lambda x: x["node"].isNotNull()))).alias("x")).select("*", "x.*").drop("x")
+        c.alias("node"), F.col("id").alias("parent"), i.alias("child_pos"), no["text"].alias("text"), no["at"].alias("at"),
+        F.lit(False).alias("wanting"), no["table"].alias("table")))
+    rows = rows.select("doc_id", F.explode(F.concat(F.array(own), F.filter(asked, lambda x: x["node"].isNotNull()))).alias("x")).select("doc_id", "x.*")
     mine = F.col("parent").isNull()
     at_node = W.partitionBy("doc_id", "node")
     rows = rows.select(
-        "doc_id", F.coalesce("parent", "node").alias("node"), "child_pos", mine.alias("mine"),
-        F.when(mine, F.col("at")).alias("at"), (mine & F.col("children").isNotNull()).alias("wanting"),
-        F.when(mine & F.col("table"), F.struct("id")).alias("table"),
-        F.collect_list(F.when(mine, F.col("text"))).over(at_node).alias("texts"),
+        "doc_id", F.coalesce("parent", "node").alias("node"), "child_pos", mine.alias("mine"), "at", "wanting", "table",
+        F.collect_list("text").over(at_node).alias("texts"),
     ).filter(F.when(F.col("mine"), F.col("at").isNotNull() | F.col("wanting") | F.col("table").isNotNull()).otherwise(F.size("texts") > 0))
 
     parts = F.flatten(F.collect_list(F.when(~F.col("mine"), F.transform("texts", lambda t: F.struct(F.col("child_pos").alias("pos"), t.alias("text"))))).over(at_node))

@@ -192,7 +192,7 @@ def _block(**values):
     return F.struct(values["id"].alias("id"), values["pos"].cast("bigint").alias("pos"), *cols)
 
 
-TASK_BYTES = 2 * 1024 * 1024  # of files: a line is some 10 bytes there, and a kilobyte or so as blocks
+TASK_BYTES = 512 * 1024  # of files: a line is some 6 to 10 bytes there, and two kilobytes or so while its blocks are sorted
 
 
 def _table_blocks(t):

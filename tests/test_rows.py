@@ -82,6 +82,16 @@ def test_tables_of_hashed_blocks_need_no_shuffle(spark):
         assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
 
 
+def test_cells_are_sorted_without_their_links(spark):
+    plan = X.table_cells(spark.createDataFrame([], BLOCK))._jdf.queryExecution().optimizedPlan()
+    windows, nodes = [], [plan]
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        windows += [node] if node.nodeName() == "Window" else []
+    out = windows[-1].children().apply(0).output()
+    assert {out.apply(i).name() for i in range(out.size())} <= {"doc_id", "node", "parent", "child_pos", "text", "at", "wanting", "table", "mine"}
+
+
 def test_markup(spark):
     row = one(spark, x=X.strip_markup(F.lit('<p onclick="go()">a</p><script>b</script> data:image/png;base64,zz data:text &#39; &#60; eval (')))
     assert row.x == "<p>a</p> data:image/png;base64,zz text &#39;  "
