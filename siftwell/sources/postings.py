@@ -53,13 +53,15 @@ class PostingStore(ChangeLog):
         return version
 
     def compact(self) -> int:
-        """Write what counts as one batch; older batches are not read any more."""
+        """Write what counts as one batch; older batches are not read any more.
+
+        Postings are written where they met the length of their document, and moved no further.
+        """
         version, current = self._claim(), self.lengths()
         self._mark(f"{version:012d}-compacting")
         rows = self._postings().join(current, ["key", "version"]).select("key", "term", "tf", "bucket")
         current.select("key", "length").write.parquet(f"{self.path}/lengths/version={version}")
-        spread = F.pmod(F.xxhash64("key"), F.lit(4))
-        rows.repartition("bucket", spread).write.partitionBy("bucket").parquet(f"{self.path}/postings/version={version}")
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/postings/version={version}")
         self._mark(f"{version:012d}-compact")
         return version
 

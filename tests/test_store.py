@@ -198,3 +198,18 @@ def test_postings_are_shuffled_once_to_their_files(spark, tmp_path, monkeypatch)
     assert rows == {("1", "a"): 3, ("1", "b"): 1, ("1", "c"): 1, (None, "b"): 1}
     plan = next(p for path, p in plans if "/postings/" in path)
     assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_compaction_moves_postings_only_to_their_lengths(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from siftwell.sources.postings import PostingStore
+
+    plans, write = [], DataFrameWriter.parquet
+    store = PostingStore(spark, str(tmp_path / "p"))
+    store.add(spark.createDataFrame([(1, "a b a"), (2, "c"), (3, "a")], "doc_id int, text string"), "doc_id", "text")
+    store.add(spark.createDataFrame([(1, "d a")], "doc_id int, text string"), "doc_id", "text")
+    store.remove(spark.createDataFrame([(2,)], "doc_id int"), "doc_id")
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **kw: (plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())), write(self, path, **kw))[1])
+    store.compact()
+    assert "REPARTITION" not in next(p for path, p in plans if "/postings/" in path)
+    assert sorted((r.key, r.term, r.tf) for r in store._postings().collect()) == [("1", "a", 1), ("1", "d", 1), ("3", "a", 1)]
