@@ -115,11 +115,14 @@ def stream_ingest(documents: DataFrame, path: str, checkpoint: str, dim: int = 6
                   tasks: int | None = None) -> StreamingQuery:
     """Ingest documents as they arrive; a document that comes again, or a repeated micro-batch, replaces its rows.
 
-    ``tasks`` deals a micro-batch out where its files are too few to fill the cores.
+    ``tasks`` deals a micro-batch out where its files are too few to fill the cores, to as many tasks
+    at least and no fewer than the session's; documents go by their id, so their chunks meet their neighbours there.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        put_vectors(ingest_chunks(batch.repartition(tasks) if tasks else batch, dim), path)
+        if tasks:
+            batch = batch.repartition(max(tasks, int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+        put_vectors(ingest_chunks(batch, dim), path)
 
     return start(documents, checkpoint, write, interval=interval)
 

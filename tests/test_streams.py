@@ -58,3 +58,15 @@ def test_state_ends_after_the_gap(spark, tmp_path):
     table = KeyedTable(spark, path, ["k", "part"])
     assert table.read().filter("k = 'a'").count() == 2 and len(table._current()) <= 3
     assert held <= 4  # the value, the timer and its index of d alone
+
+
+def test_ingested_documents_are_dealt_by_id(spark, tmp_path, monkeypatch):
+    from siftwell.sources.store import read_vectors
+
+    spark.createDataFrame([(1, "One is here. Two is there."), (2, "Three."), (None, "Four."), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    put, plans = J.put_vectors, []
+    monkeypatch.setattr(J, "put_vectors", lambda rows, path: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), put(rows, path))[1])
+    docs = J.table_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    J.stream_ingest(docs, str(tmp_path / "v"), str(tmp_path / "state"), tasks=2).awaitTermination()
+    assert [p.split("Initial Plan")[-1].count("Exchange ") for p in plans] == [1]
+    assert {"1", "2"} <= {r.doc_id for r in read_vectors(spark, str(tmp_path / "v")).collect()}
