@@ -8,17 +8,16 @@ again need not be tokenized again.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # Fixed value: the pattern that splits a text before the merges of a byte-level vocabulary.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_ODD = re.compile(r" (?:\s|$)")
-_CUT = re.compile(r"(?= \S)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,13 +34,13 @@ def any_of(strings: Iterable[str]) -> regex.Pattern | None:
 
 
 class PieceCache(dict):
-    """Piece number by piece, numbered as they come; new ones wait until ``settle``.
+    """Number by string, numbered as they come; new ones wait until ``settle``.
 
-    ``solve(pieces)`` returns one array of ints per piece, end to end, with their
+    ``solve(strings)`` returns one array of ints per string, end to end, with their
     lengths. Once the cache holds ``limit`` characters it starts anew between
-    batches and keeps what it had as a second generation, from which pieces that
+    batches and keeps what it had as a second generation, from which strings that
     come again are taken over; so memory is bounded whatever the number of
-    distinct pieces, and frequent ones stay.
+    distinct strings, and frequent ones stay.
     """
 
     def __init__(self, solve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 16_000_000):
@@ -59,30 +58,28 @@ class PieceCache(dict):
         self.lengths = np.empty(0, np.int64)
 
     def _wait(self) -> None:
-        self.new: list[str | tuple[str]] = []
+        self.new: list[str] = []
         self.add = self.new.append
 
-    def __missing__(self, piece: str | tuple[str]) -> int:
-        n = self[piece] = len(self)
-        self.add(piece)
+    def __missing__(self, string: str) -> int:
+        n = self[string] = len(self)
+        self.add(string)
         return n
 
-    def numbers(self, text: str) -> list[int]:
-        """Piece numbers of a text. The key of a piece is what follows its space, or a tuple of itself if none leads it."""
-        if _ODD.search(text) is None:
-            first, *rest = text.split(" ")
-            head = [self[first,]] if first else []
-            return head + list(map(self.__getitem__, rest))
-        return [self[p[1:] if p[0] == " " else (p,)] for p in _CUT.split(text) if p]
+    def numbers(self, strings: pa.Array) -> np.ndarray:
+        """Numbers of the given strings, all settled."""
+        out = np.fromiter(map(self.__getitem__, strings.to_numpy(zero_copy_only=False).tolist()), np.int64, len(strings))
+        self.settle()
+        return out
 
     def settle(self) -> None:
-        """Solve the pieces that wait, or take them over from the generation before."""
+        """Solve the strings that wait, or take them over from the generation before."""
         if not self.new:
             return
         known = np.fromiter(map(self.before.get, self.new, repeat(-1)), np.int64, len(self.new))
-        pieces = [p[0] if type(p) is tuple else " " + p for p, n in zip(self.new, known.tolist()) if n < 0]
-        self.held += 50 * len(self.new) + sum(len(p[0]) if type(p) is tuple else len(p) for p in self.new)
-        flat, solved = self.solve(pieces) if pieces else (self.flat[:0], self.lengths[:0])
+        fresh = [s for s, n in zip(self.new, known.tolist()) if n < 0] if self.before else self.new
+        self.held += 50 * len(self.new) + sum(map(len, self.new))
+        flat, solved = self.solve(fresh) if fresh else (self.flat[:0], self.lengths[:0])
         old = known[known >= 0]
         lengths = np.empty(len(known), np.int64)
         starts = np.empty(len(known), np.int64)
@@ -129,13 +126,32 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
-def per_text(cache: PieceCache, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Piece numbers of all texts end to end, and how many each text has."""
-    lists = [cache.numbers(t) for t in texts]
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    cache.settle()
-    out = np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum()))
-    return out, counts
+def pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Pieces of a batch, for each piece of each text its place among them, and how many each text has.
+
+    Arrow splits the texts at every space and numbers the distinct parts, so what is
+    done with a piece is done once however often the texts hold it. A part that is empty or
+    begins with white space starts no piece and is put back behind the part before it.
+    """
+    parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    ends, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+    distinct, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    head = np.zeros(len(at), bool)  # the part before a text's first space
+    head[ends[:-1]] = True
+    inner = pc.or_(pc.equal(distinct, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, 0, 1))).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(head | ~inner[at])
+    size = np.diff(first, append=len(at))
+    apart = head[first] | (size > 1)
+    led = np.zeros(len(distinct), bool)
+    led[at[first[~apart]]] = True
+    numbers = np.empty(len(first), np.int64)
+    numbers[~apart] = (np.cumsum(led) - 1)[at[first[~apart]]]
+    numbers[apart] = led.sum() + np.arange(apart.sum())
+    own = parts.values.filter(pa.array(np.repeat(apart, size))).to_pylist()
+    stop = np.cumsum(size[apart])
+    others = [("" if leads else " ") + " ".join(own[a:b]) for a, b, leads in zip((stop - size[apart]).tolist(), stop.tolist(), head[first[apart]].tolist())]
+    found = pa.concat_arrays([pc.binary_join_element_wise(" ", distinct.filter(pa.array(led)), ""), pa.array(others, pa.string())])
+    return found, numbers, np.bincount(np.cumsum(head)[first] - 1, minlength=len(texts))
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

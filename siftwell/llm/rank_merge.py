@@ -114,8 +114,9 @@ class RankCounter:
         return left
 
     def count(self, texts: list[str]) -> np.ndarray:
-        numbers, counts = chunks.per_text(self.cache, texts)
-        out = chunks.sums(self.cache.flat[self.cache.starts[numbers]] if len(numbers) else numbers, counts)
+        pieces, at, counts = chunks.pieces(texts)
+        numbers = self.cache.numbers(pieces)
+        out = chunks.sums(self.cache.flat[self.cache.starts[numbers]][at], counts)
         self.cache.trim()
         return out
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import zlib
@@ -12,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,71 +39,94 @@ class OrcLayout:
         }
 
 
-class _WordIds(dict):
-    """Ids of a pre-token, as the library's own model gives them."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.letters = model, str.maketrans({chr(b): x for b, x in chunks.byte_letters().items()})
-
-    def __missing__(self, word: str) -> list[int]:
-        letters = word.encode().decode("latin-1").translate(self.letters)
-        ids = self[word] = [t.id for t in self.model.tokenize(letters)]
-        return ids
-
-
 class Encoder:
     """Token ids from the tokenizers library, with the ids of a repeated piece looked up instead of encoded again.
 
-    A plain byte-level tokenizer is its split into pre-tokens and its model; new
-    pieces are split here and go to the library's model directly, which costs
-    about half of an encode call for each. Pieces that hold one of its added
-    tokens, and all pieces of any other tokenizer, go through the library's encode.
+    A plain byte-level tokenizer is its split into pre-tokens and its model. A batch's
+    distinct pieces are split here, and the pre-tokens that are new in a batch go to the
+    library thousands in a call, written in the vocabulary's letters and cut at
+    spaces, which those letters lack; as a letter is a byte, the lengths of the tokens
+    tell which belong to which pre-token. Pieces that hold one of its added tokens,
+    and all pieces of any other tokenizer, go through the library's encode.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
         spec = json.loads(self.tool.to_str())
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+        letters = chunks.byte_letters()
         self.plain = (
             pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"]
-            and model["type"] == "BPE" and not model["ignore_merges"]
+            and model["type"] == "BPE" and not any(model.get(x) for x in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+            and all(x in model["vocab"] for x in letters.values())
         )
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.words = _WordIds(self.tool.model)
+        if self.plain:
+            self.merger = Tokenizer(self.tool.model)
+            self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.letter = np.array([ord(letters[b]) for b in range(255)] + [ord(" ")], "<u2")  # no UTF-8 text holds byte 255
+            self.width = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+            self.width[list(model["vocab"].values())] = list(map(len, model["vocab"]))
         self.cache = chunks.PieceCache(self._solve)
 
-    def _ids(self, piece: str) -> list[int]:
-        if self.plain and piece[0] == " ":  # a word, or a word and its punctuation: no pattern is needed to split them
-            if piece[1:].isalpha():
-                return self.words[piece]
-            if piece[-1] in ",.;:!?" and piece[1:-1].isalpha():
-                return self.words[piece[:-1]] + self.words[piece[-1]]
-        if not self.plain or any(s in piece for s in self.special):
-            return self.tool.encode(piece, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self.words.__getitem__, chunks.BYTE_LEVEL.findall(piece))))
-
-    def _solve(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        gc.disable()  # many short lists and no cycles: a collection between them costs more than the encoding
-        ids = list(map(self._ids, pieces))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        out = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
-        del ids
-        if len(self.words) > 200_000:
-            self.words.clear()
-        gc.enable()
-        return out, lengths
+    def _whole(self, strings: pa.Array) -> np.ndarray:
+        """Which strings the library must encode as they are."""
+        out = np.full(len(strings), not self.plain)
+        for special in self.special:
+            out |= pc.match_substring(strings, special).to_numpy(zero_copy_only=False)
+        return out
+
+    def _words(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens, for each pre-token of each piece its place among them, and how many each piece has."""
+        whole = self._whole(pieces)
+        # a word is one pre-token, a word and its punctuation are two: only the other pieces need the whole pattern
+        one = pc.match_substring_regex(pieces, r"\A ?\pL+\z").to_numpy(zero_copy_only=False) & ~whole
+        two = pc.match_substring_regex(pieces, r"\A ?\pL+[,.;:!?]\z").to_numpy(zero_copy_only=False) & ~whole
+        rest = np.flatnonzero(~one & ~two)
+        found = [[p] if as_is and p else chunks.BYTE_LEVEL.findall(p) for p, as_is in zip(pieces.take(pa.array(rest)).to_pylist(), whole[rest].tolist())]
+        pairs = pieces.filter(pa.array(two))
+        words = pa.concat_arrays([
+            pieces.filter(pa.array(one)), pc.utf8_slice_codeunits(pairs, 0, -1), pc.utf8_slice_codeunits(pairs, -1),
+            pa.array(list(chain.from_iterable(found)), pa.string()),
+        ])
+        one, two = np.flatnonzero(one), np.flatnonzero(two)
+        owner = np.concatenate((one, two, two, np.repeat(rest, np.array(list(map(len, found)), np.int64))))
+        coded = words.dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy()[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(pieces))
+
+    def _solve(self, words: list[str], most: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, at most ``most`` in a call of the library; strings it must encode as they are go one by one."""
+        whole = self._whole(pa.array(words, pa.string()))
+        rest = [w.encode() for w, one in zip(words, whole.tolist()) if not one]
+        ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for a in range(0, len(rest), most):
+            some = rest[a : a + most]
+            text = self.letter[np.frombuffer(b"\xff".join(some), np.uint8)].tobytes().decode("utf-16-le")
+            ids.append(np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32))
+            ends = np.searchsorted(np.cumsum(self.width[ids[-1]]), np.cumsum(list(map(len, some)))) + 1
+            sizes.append(np.diff(ends, prepend=0))
+        for i in np.flatnonzero(whole).tolist():
+            ids.append(np.array(self.tool.encode(words[i], add_special_tokens=False).ids, np.int32))
+            sizes.append(np.array([len(ids[-1])]))
+        order = np.argsort(whole, kind="stable")
+        found = np.concatenate(sizes)
+        lengths, starts = np.empty_like(found), np.empty_like(found)
+        lengths[order], starts[order] = found, np.cumsum(found) - found
+        return chunks.ragged(np.concatenate(ids), starts, lengths), lengths
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each text closed by ``end``, and the number of ids of each."""
-        numbers, counts = chunks.per_text(self.cache, texts)
+        pieces, at, counts = chunks.pieces(texts)
+        words, parts, sizes = self._words(pieces)
         cache = self.cache
-        lengths = cache.lengths[numbers] if len(numbers) else np.empty(0, np.int64)
-        starts = cache.starts[numbers] if len(numbers) else lengths
-        body = chunks.ragged(cache.flat, starts, lengths)
+        numbers = cache.numbers(words)[parts]
+        taken = cache.lengths[numbers]
+        flat, lengths = chunks.ragged(cache.flat, cache.starts[numbers], taken), chunks.sums(taken, sizes)
+        starts, lengths = (np.cumsum(lengths) - lengths)[at], lengths[at]
+        body = chunks.ragged(flat, starts, lengths)
         each = chunks.sums(lengths, counts)
         out = np.insert(body, np.cumsum(each), end).astype(np.int32)
         cache.trim()

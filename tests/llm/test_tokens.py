@@ -133,3 +133,38 @@ def test_other_tokenizers_go_through_the_library():
     assert not tool.plain
     with pytest.raises(ValueError):
         rank_merge.RankCounter(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_words_that_are_added_tokens(tmp_path):
+    """An added token made of letters is one token wherever it stands, inside words and before a mark."""
+    tool = Tokenizer.from_file(PATH)
+    tool.add_tokens(["ock"])
+    tool.save(str(tmp_path / "added.json"))
+    texts = ["ock", "a clock, an ock.", " ocks o ock!", "no such word", ""]
+    flat, lengths = token_orc.Encoder(str(tmp_path / "added.json")).encode(texts, 0)
+    assert [x.tolist()[:-1] for x in np.split(flat, np.cumsum(lengths)[:-1])] == [x.ids for x in tool.encode_batch(texts)]
+
+
+def test_new_words_go_to_the_library_together(monkeypatch):
+    """A batch takes one call of the library for thousands of new words, and looks a word up once however often it occurs."""
+    tool, calls, asked = token_orc.Encoder(PATH), [], []
+
+    class Merger:
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return merger.encode_batch_fast(texts, **how)
+
+    class Cache(chunks.PieceCache):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    merger = tool.merger
+    monkeypatch.setattr(tool, "merger", Merger())
+    monkeypatch.setattr(tool, "cache", Cache(tool._solve))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioklmnrst") for _ in range(9)) for _ in range(4000)]
+    texts = [" ".join(rng.sample(words, 4000)) + end for end in ("", ".", " x\n")]
+    flat, lengths = tool.encode(texts, 0)
+    assert [x.tolist()[:-1] for x in np.split(flat, np.cumsum(lengths)[:-1])] == [x.ids for x in TOOL.encode_batch(texts)]
+    assert calls == [1] and len(asked) == len(set(asked)) < 4010
