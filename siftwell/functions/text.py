@@ -109,9 +109,9 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def proper_nouns(text: Column) -> Column:
-    """Runs of capitalised words."""
-    run = rf"[A-Z][a-z]+(?:{R.WS}+[A-Z][a-z]+)*"
-    return F.regexp_extract_all(text, F.lit(R.NOT_AFTER_WORD + run + R.NOT_BEFORE_WORD), F.lit(0))
+    """Runs of capitalised words, of any length: a repeat that gives nothing back takes no stack per word."""
+    word = "[A-Z][a-z]+" + R.NOT_BEFORE_WORD
+    return F.regexp_extract_all(text, F.lit(f"{R.NOT_AFTER_WORD}{word}(?:{R.WS}+{word})*+"), F.lit(0))
 
 
 def has_proper_noun(text: Column) -> Column:

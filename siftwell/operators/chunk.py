@@ -146,9 +146,9 @@ def chunk_sentence_overlap(df: DataFrame, key: str, text: str) -> DataFrame:
     # sizes are bound once per document; a bare column could be computed again for every sentence
     spans = let(F.struct(F.col("size_limit").alias("size"), F.col("overlap").alias("lap")), lambda cfg: fold_out(
         F.transform("sents", lambda s: F.length(s)), zero, SPAN, lambda a, n: step(cfg, a, n), close))
-    packed = df.select(
-        key, sentences(F.col(text)).alias("sents"), size_limit.alias("size_limit"), overlap.alias("overlap")
-    ).filter(F.size("sents") > 0)
+    # tested on the text: the size of the sentences would split it once more, below the shuffle of a dealt table
+    packed = df.filter(F.col(text) != "").select(
+        key, sentences(F.col(text)).alias("sents"), size_limit.alias("size_limit"), overlap.alias("overlap"))
     texts = F.transform(spans, lambda span: strip(_joined(span)))
     return packed.select(key, F.posexplode(texts).alias("chunk_index", "content")).filter("content <> ''")
 

@@ -160,7 +160,8 @@ def hash_embedding(text: Column, dim: int) -> Column:
             byte = F.conv(F.substring(digest, at * 2 + 1, F.lit(2)), 16, 10).cast("double")
             return (byte / 255.0 - 0.5) * 0.2
 
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), place)
+        period = F.transform(F.sequence(F.lit(0), F.lit(min(dim, 16) - 1)), place)
+        return F.slice(F.flatten(F.array_repeat(period, -(-dim // 16))), 1, dim) if dim > 16 else period
 
     return let(F.md5(text), spread)
 

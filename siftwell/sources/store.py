@@ -19,6 +19,7 @@ from .corpus import STORED, VECTOR_BUCKETS, vector_rows
 
 METRICS = ("COSINE", "EUCLIDEAN", "DOT_PRODUCT")
 MOST_ROWS = 1_000_000  # a file
+DEALT = "dealt"  # metadata of an id column: the number of tasks its rows are dealt to by it
 
 
 @dataclass(frozen=True)
@@ -113,7 +114,7 @@ class VectorStore(ChangeLog):
         return name
 
     def _append(self, rows: DataFrame, generation: int, version: int) -> None:
-        """``rows`` must be dealt by document into as many tasks as there are buckets."""
+        """``rows`` should be dealt by document into as many tasks as there are buckets, or a multiple, for few files."""
         table = self._table(generation)
         for c, kind in self.spark.table(table).dtypes:
             if c not in rows.columns:
@@ -133,15 +134,18 @@ class VectorStore(ChangeLog):
 
         A document stored before is replaced. Of rows with the same key the one
         created last is stored, ties by content. The cost is one shuffle of the
-        change; nothing stored is read or rewritten.
+        change, and none where ``deal`` did it before; nothing stored is read or rewritten.
         """
+        dealt = sum(f.metadata.get(DEALT, 0) for f in chunks.schema if f.name == "doc_id")
         version = self._claim()
         rows = vector_rows(chunks).filter(self._fits()).withColumn("gone", F.lit(False))
         if gone is not None:
             marks = gone.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().withColumn("gone", F.lit(True))
             rows = rows.unionByName(marks, allowMissingColumns=True)
         order = W.partitionBy("doc_id", "key").orderBy(F.desc_nulls_last("created_at"), "content", F.xxhash64("embedding"))
-        rows = rows.repartition(self.buckets, "doc_id").withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+        if gone is not None or not dealt or dealt % self.buckets:
+            rows = rows.repartition(self.buckets, "doc_id")
+        rows = rows.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
         self._append(rows, self._generation(self.changes()), version)
         self._mark(f"{version:012d}-put")
         return version
@@ -244,6 +248,17 @@ class KeyedTable(ChangeLog):
         self._mark(f"{version:012d}-compact")
 
 
+def deal(documents: DataFrame, tasks: int, buckets: int = VECTOR_BUCKETS) -> DataFrame:
+    """Documents by their id, as the table stores it, to ``tasks`` tasks at least, each with documents of one bucket.
+
+    Chunks made of them can be put without a shuffle, and a task holds its share
+    of the documents instead of a whole bucket.
+    """
+    n = buckets * -(-tasks // buckets)
+    named = documents.withColumn("doc_id", F.col("doc_id").cast("string").alias("doc_id", metadata={DEALT: n}))
+    return named.repartition(n, "doc_id")
+
+
 def put_vectors(chunks: DataFrame, path: str, gone: DataFrame | None = None, dim: int = 0) -> int:
     """Store documents by key in the table at ``path``, which is made if there is none."""
     return VectorStore.create(chunks.sparkSession, path, dim).put(chunks, gone)

@@ -17,12 +17,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.text import micros
 from ..operators import chunk as C, cost as K, describe as D, screen as G
-from ..session import scratch_path
+from ..session import scratch_path, tasks_for
 from ..sources import corpus as S
-from ..sources.store import KeyedTable, put_vectors
+from ..sources.store import KeyedTable, deal, put_vectors
 
 LATENESS = "10 minutes"
 MAX_FILES, MAX_BYTES = "1000", str(10 * 1024**3)
+INGEST_TASK_BYTES, INGEST_MOST_TASKS = 16 * 1024 * 1024, 4096
 
 
 # --- plumbing -------------------------------------------------------------------------
@@ -106,23 +107,24 @@ def timed(stream: DataFrame, lateness: str) -> DataFrame:
 def ingest_chunks(documents: DataFrame, dim: int = 64, created_at: Column | None = None) -> DataFrame:
     """Documents to chunks ready to store: chunk, describe, embed, and what stands beside each chunk in its document."""
     chunks = C.chunk_sentence_overlap(documents, "doc_id", "text")
-    described = C.chunk_neighbours(D.describe(chunks), "doc_id")
+    # below the windows: a filter on the vectors would otherwise compute them once more for each of its conditions
+    embedded = D.embed(D.describe(chunks), "content", dim=dim)
     stamp = created_at if created_at is not None else F.current_timestamp()
-    return D.embed(described, "content", dim=dim).withColumn("created_at", stamp)
+    return C.chunk_neighbours(embedded, "doc_id").withColumn("created_at", stamp)
 
 
 def stream_ingest(documents: DataFrame, path: str, checkpoint: str, dim: int = 64, interval: str | None = None,
                   tasks: int | None = None) -> StreamingQuery:
     """Ingest documents as they arrive; a document that comes again, or a repeated micro-batch, replaces its rows.
 
-    ``tasks`` deals a micro-batch out where its files are too few to fill the cores, to as many tasks
-    at least and no fewer than the session's; documents go by their id, so their chunks meet their neighbours there.
+    A micro-batch is dealt once, by document, to tasks of about ``INGEST_TASK_BYTES`` of its input, to ``tasks``
+    at least and no fewer than the session's; chunks meet their neighbours there and are stored from there.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if tasks:
-            batch = batch.repartition(max(tasks, int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
-        put_vectors(ingest_chunks(batch, dim), path)
+        # a batch made by a join may be estimated far too large
+        by_size = min(tasks_for(batch, INGEST_TASK_BYTES), INGEST_MOST_TASKS)
+        put_vectors(ingest_chunks(deal(batch, max(tasks or 1, by_size)), dim), path)
 
     return start(documents, checkpoint, write, interval=interval)
 

@@ -1,9 +1,11 @@
 """Extraction, screening, logs, prompts, lifecycle and sources on literal rows."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import estimate_tokens, first_sentence, is_title, sentences, words
+from siftwell.functions.text import estimate_tokens, first_sentence, is_title, proper_nouns, sentences, words
 from siftwell.operators import describe as D, extract as X, lifecycle as L, logs as G, prompt as P, screen as S
 from siftwell.sources import corpus as C, events as E
 
@@ -106,6 +108,21 @@ def test_description(spark):
     assert (whole.loose, whole.strict) == ("action", "paragraph")
 
 
+def test_runs_of_capitals(spark):
+    text = "Ann Lee met Bob9 Ray. Per \n Ole Dag_ saw Éva Mo Ni, ToM Ida"
+    row = one(spark, runs=proper_nouns(F.lit(text)), none=proper_nouns(F.lit(None).cast("string")), long=proper_nouns(F.repeat(F.lit("Aabc "), F.lit(50000))))
+    assert (row.runs, row.none) == (["Ann Lee", "Ray", "Per \n Ole", "Mo Ni", "Ida"], None)
+    assert [len(x) for x in row.long] == [5 * 50000 - 1]
+
+
+@pytest.mark.parametrize("dim", [5, 16, 40, 64])
+def test_hash_vectors_repeat(spark, dim):
+    row = one(spark, v=D.hash_embedding(F.lit("some text"), dim), none=D.hash_embedding(F.lit(None).cast("string"), dim))
+    digest = hashlib.md5(b"some text").digest()
+    assert row.v == [(digest[0 if i % 16 == 15 else i % 16] / 255.0 - 0.5) * 0.2 for i in range(dim)]
+    assert row.none == [None] * dim
+
+
 def test_keywords_break_ties_by_place(spark):
     df = spark.createDataFrame([(1, "zebra apple apple zebra mango the the the the"), (2, "")], "doc_id int, t string")
     rows = D.keyword_top(df, "doc_id", "t").orderBy("rank").collect()

@@ -70,3 +70,32 @@ def test_ingested_documents_are_dealt_by_id(spark, tmp_path, monkeypatch):
     J.stream_ingest(docs, str(tmp_path / "v"), str(tmp_path / "state"), tasks=2).awaitTermination()
     assert [p.split("Initial Plan")[-1].count("Exchange ") for p in plans] == [1]
     assert {"1", "2"} <= {r.doc_id for r in read_vectors(spark, str(tmp_path / "v")).collect()}
+
+
+def test_ingested_chunks_are_stored_where_they_were_made(spark, tmp_path, monkeypatch):
+    from siftwell.sources.store import VectorStore, read_vectors
+
+    rows = [(i, f"Text {i} is here. " * 100) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    append, plans = VectorStore._append, []
+    monkeypatch.setattr(VectorStore, "_append", lambda self, rows, *rest: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), append(self, rows, *rest))[1])
+    docs = J.table_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    J.stream_ingest(docs, str(tmp_path / "v"), str(tmp_path / "state"), tasks=100).awaitTermination()
+    plan = plans[0].split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(doc_id#" in plan and ", 128), " in plan
+    assert "md5" not in "".join(x for x in plan.splitlines() if "Filter " in x)  # vectors are not computed again to test them
+    files = [f.name for f in (tmp_path / "v" / "rows-0").glob("*.parquet")]
+    assert 64 < len(files) <= 128  # of one bucket each
+    stored = read_vectors(spark, str(tmp_path / "v"))
+    assert stored.select("doc_id").distinct().count() == 300 and stored.filter("size(embedding) <> 64").count() == 0
+
+
+def test_a_long_run_of_capitals_is_ingested(spark, tmp_path):
+    from siftwell.sources.store import read_vectors
+
+    text = "Thouinger " * 20000
+    spark.createDataFrame([(1, text), (2, "Some Name9 met Other Name. Yes.")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    docs = J.table_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    J.stream_ingest(docs, str(tmp_path / "v"), str(tmp_path / "state")).awaitTermination()
+    got = {r.doc_id: r for r in read_vectors(spark, str(tmp_path / "v")).collect()}
+    assert got["1"].content == text[:500] and got["2"].key_entities == ["Some", "Other Name", "Yes"]
